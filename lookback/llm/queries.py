@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, tokenbin, vafile, warc
+from . import langid, mixing, neardup, packing, quality, tokenbin, vafile, warc
 
 QUERIES = {
+    "op1_language": langid.op1_language,
+    "op2_quality": quality.op2_quality,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_token_files": tokenbin.op4_token_files,
     "op6_top_k": vafile.op6_top_k,
     "op7_packing": packing.op7_packing,
