@@ -237,16 +237,16 @@ def segments(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score: the language with most of the words' probability, and its share of it.
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds lang_pred and score, or columns of other names: the language with most of the words' probability, and its share of it.
 
     A text that is null or has no letter is `und` with score 0; so is every text where nothing was learned. All other
     columns pass through. Every word of a text counts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in (lang, score)]
     place = names.index("text")
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*names).schema.add(lang, "string").add(score, "double")
 
     def run(batches):
         m = sent.value
@@ -256,16 +256,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for a, b in shared.slices(texts, 1_000_000):
                 found = [words_of(t) if m.languages else [] for t in texts[a:b]]
                 lengths = np.array([len(w) for w in found], np.int64)
-                lang, score = ["und"] * (b - a), [0.0] * (b - a)
+                best_lang, best_score = ["und"] * (b - a), [0.0] * (b - a)
                 if lengths.sum():
                     rows = scored.rows([w for ws in found for w in ws])
                     p, _ = posteriors(rows.astype(np.float64), segments(lengths), m.start, m.move)
                     has = np.flatnonzero(lengths)
                     share = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[has], axis=0) / lengths[has, None]
                     for i, best, s in zip(has, share.argmax(axis=1), share.max(axis=1)):
-                        lang[i], score[i] = m.languages[best], float(min(1.0, s))
+                        best_lang[i], best_score[i] = m.languages[best], float(min(1.0, s))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best_lang, pa.string()), pa.array(best_score, pa.float64())], names=[*names, lang, score])
 
     return docs.select(*names).mapInArrow(run, schema)
 

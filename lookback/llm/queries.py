@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, neardup, packing, quality, tokenbin, vafile, warc
+from . import langid, licenses, mixing, neardup, packing, quality, suffixtree, tokenbin, vafile, warc
 
 QUERIES = {
     "op1_language": langid.op1_language,
     "op2_quality": quality.op2_quality,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_token_files": tokenbin.op4_token_files,
+    "op5_suffix_tree": suffixtree.op5_suffix_tree,
     "op6_top_k": vafile.op6_top_k,
     "op7_packing": packing.op7_packing,
+    "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
