@@ -9,7 +9,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -116,31 +116,27 @@ def salvage(data: bytes):
         yield "gap", gap, len(data), reason, None
 
 
-def originals(pages: DataFrame, least: int) -> DataFrame:
-    """Where equal payloads of at least `least` bytes occur: each page_id and sha1 with the smallest page_id among them."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    seen = pages.select("page_id", F.sha1(payload).alias("sha1"), F.length(payload).alias("n")).filter(F.col("n") >= least)
-    each = seen.groupBy("sha1", "page_id").agg(F.count("*").alias("n"))
-    each = shared.materialize(each, "payloads")
-    first = each.groupBy("sha1").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n")
-    return each.drop("n").join(first, "sha1").select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "first")
+def revisits(numbered: DataFrame, least: int) -> DataFrame:
+    """_row and refers_to of the pages that are revisits: all but the first of equal payloads of at least `least` bytes."""
+    seen = numbered.filter(F.length("_payload") >= least).select(F.sha1("_payload").alias("sha1"), "_row", "page_id")
+    seen = shared.materialize(seen, "payloads")
+    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_row")  # null ids last
+    first = seen.groupBy("sha1").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    others = seen.join(first, "sha1").filter(F.col("_row") != F.col("first._row"))
+    return others.select("_row", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 0, level: int = LEVEL) -> DataFrame:
     """Writes a record a page and gives the manifest: path, records, bytes.
 
     Of pages with equal payloads of at least `least` bytes the one with the smallest page_id is the response and the
-    others are revisits of it; where rows repeat page_id and payload, the first by url is the response. Null ids come
+    others are revisits of it; where rows repeat page_id and payload, the first as read is the response. Null ids come
     last. Null html is an empty payload. A lost task writes again under another name; only files of the manifest count.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    known = pages.select("page_id", "url", payload.alias("_payload")).withColumn("_sha1", F.sha1("_payload"))
-    refers = originals(pages, least)
-    same = known["page_id"].eqNullSafe(refers["_page"]) & (known["_sha1"] == refers["_sha1"])
-    joined = known.join(refers, same, "left").select("page_id", "url", "_payload", known["_sha1"], "first", refers["_sha1"].isNotNull().alias("_shared"))
-    again = Window.partitionBy("page_id", "_sha1").orderBy("url")
-    revisit = F.col("_shared") & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.row_number().over(again) == 1))
-    planned = joined.select("page_id", "url", "_payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    # rows are numbered by file split and place, alike in both reads
+    numbered = pages.select("page_id", "url", payload.alias("_payload"), F.monotonically_increasing_id().alias("_row"))
+    planned = numbered.join(revisits(numbered, least), "_row", "left").select("page_id", "url", "_payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
     def write(batches):
         part, k, buffer, size = TaskContext.get().partitionId(), 0, [], 0
