@@ -56,10 +56,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return materialize_at(df, name)[0]
 
 
-def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialize_at(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -86,8 +86,15 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id and the ids of the whole text with end_id, as little-endian unsigned 32-bit integers; null texts are empty."""
+def id_width(vocabulary: str) -> str:
+    """What ids are kept in until they are written: 2 bytes where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokens.vocabulary(vocabulary)).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, width: str) -> DataFrame:
+    """doc_id and the ids of the whole text with end_id, in integers of the given width; null texts are empty."""
 
     def run(batches):
         encode = tokens.encoder(tokens.vocabulary(vocabulary), tokens.BYTE_LEVEL)
@@ -95,20 +102,20 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in shared.slices([t or "" for t in texts], 4_000_000):
-                ids = [encode(t or "") + end for t in texts[a:b]]
+                ids = [np.frombuffer(encode(t or "") + end, "<u4").astype(width).tobytes() for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_counts(encoded: DataFrame, width: str) -> DataFrame:
     """How often each id occurs; each task hands on at most one row an id."""
 
     def run(batches):
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(ids, "<u4"))
+                c = np.bincount(np.frombuffer(ids, width))
                 if len(c) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(c) - len(counts), np.int64)])
                 counts[: len(c)] += c
@@ -125,8 +132,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
     come first. Rows that repeat a doc_id are all written, next to each other.
     """
     spark = docs.sparkSession
-    encoded, at = shared.materialize_at(encode_documents(docs, vocabulary, end_id), "ids")
-    counts = id_counts(encoded).toPandas()  # at most the vocabulary
+    width = id_width(vocabulary)
+    encoded, at = shared.materialize_at(encode_documents(docs, vocabulary, end_id, width), "ids", compression="zstd")
+    counts = id_counts(encoded, width).toPandas()  # at most the vocabulary
     if len(counts) and counts.id.max() >= VOCABULARY_BOUND:
         raise ValueError("the vocabulary is too large to send to every task")
     by_rank = counts.sort_values(["n", "id"], ascending=[False, True]).id.to_numpy("<u4")
@@ -148,7 +156,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(raw, "<u4")
+                own = np.frombuffer(raw, width)
                 ids.append(doc_id)
                 lengths.append(len(own))
                 parts.append(own)
