@@ -145,8 +145,8 @@ def keys_of_text(text: Column) -> Column:
 def paper_key(text: Column, url: Column) -> Column:
     """One key for a work: the least of its arxiv keys, else doi, gh, url, else url: and its address in lower case."""
     keys = keys_of_text(text)
-    first = [F.array_min(F.filter(keys, lambda k, p=p: F.startswith(k, F.lit(p)))) for p in ("arxiv:", "doi:", "gh:", "url:")]
-    return F.coalesce(*first, F.concat(F.lit("url:"), F.lower(url)))
+    least = lambda prefix: F.array_min(F.filter(keys, lambda k: F.startswith(k, F.lit(prefix))))
+    return F.coalesce(*map(least, ("arxiv:", "doi:", "gh:", "url:")), F.concat(F.lit("url:"), F.lower(url)))
 
 
 def title_key(title: Column, least: int = 30, suffix: Column | None = None) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..operators.windows import latest
 
@@ -15,7 +15,7 @@ class SchemaError(ValueError):
 
 def read_partition(spark: SparkSession, path: str, node: StructType, context: str) -> DataFrame:
     """The nodes of JSON documents {"@context", "@graph": [...]} with their file in _file; another context or an id twice is an error."""
-    schema = StructType().add("@context", "string").add("@graph", f"array<{node.simpleString()}>")
+    schema = StructType().add("@context", "string").add("@graph", ArrayType(node))
     docs = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
     if docs.filter(F.col("`@context`").isNull() | (F.col("`@context`") != context)).limit(1).count():
         raise SchemaError(f"a document of another context than {context}")
@@ -31,8 +31,7 @@ def read_lifted(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     verdict, detail = schema_verdict(stored.schema, schema)
     if verdict == "incompatible":
         raise SchemaError(detail)
-    empty = spark.createDataFrame([], schema)
-    return empty.unionByName(stored, allowMissingColumns=True).select(*[f.name for f in schema])
+    return stored.select(*[F.col(f.name) if f.name in stored.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def schema_verdict(stored: StructType, today: StructType) -> tuple[str, str]:

@@ -17,7 +17,8 @@ def first_sightings(stream: DataFrame, key: list[str], time: str, late: str) ->
 def weekly_counts(stream: DataFrame, time: str, by: list[str], maturity: str = "7 days") -> DataFrame:
     """Events a week and group; a week's row comes once it is `maturity` past. Weeks start on Monday."""
     week = F.window(time, "7 days", "7 days", "4 days")  # the epoch's first Monday is 4 days in
-    return stream.withWatermark(time, maturity).groupBy(week, *by).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("week"), *by, "n")
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, maturity).groupBy(week, *by).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("week"), *by, "n")
 
 
 def upsert_stream(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
