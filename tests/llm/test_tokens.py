@@ -1,5 +1,6 @@
 """Token files and packing against the library, text by text."""
 
+import functools
 import random
 import zlib
 
@@ -11,12 +12,17 @@ from lookback.llm import packing, shared, tokenbin, tokens
 TEXTS = ["", None, "Hello, world!", "don't  stop\n\n x", " lead and trail ", "é日本語 İ ß ²", "a" * 5000, "x 'll 're\t\x1cy <|endoftext|>"]
 
 
-def reference(name, text):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary(name))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def reference(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name,pattern", [("byte_bpe_50k.json", tokens.BYTE_LEVEL), ("word_bpe_49k.json", tokens.WORD_LEVEL)])
