@@ -157,11 +157,11 @@ def test_upsert_delete_and_schema(spark, tmp_path):
     assert gone == 1 and left.count() == 2
     from pyspark.sql.types import StructType
 
-    today = StructType().add("id", "string").add("v", "int").add("w", "string")
+    today = StructType().add("id", "string").add("v", "integer").add("w", "string")
     assert graph.schema_verdict(spark.read.parquet(path).schema, today)[0] == "additive"
     assert graph.read_lifted(spark, path, today).filter("w IS NULL").count() == 3
     with pytest.raises(graph.SchemaError):
-        graph.read_lifted(spark, path, StructType().add("id", "int").add("v", "int"))
+        graph.read_lifted(spark, path, StructType().add("id", "integer").add("v", "integer"))
 
 
 def test_partition_documents(spark, tmp_path):
