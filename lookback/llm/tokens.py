@@ -13,7 +13,8 @@ from array import array
 
 #: The Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Latin letters that stay one letter in lower case: without the dotted capital I (U+0130).
+LATIN = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ"
 #: ASCII punctuation but for the apostrophe, which can start a contraction, and the underscore.
 EDGE = r"!-&(-/:-@\[-\^`{-~"
 WORD = rf"[{LATIN}]++(?=[{SPACE}{EDGE}]|\Z)"
@@ -22,20 +23,38 @@ BYTE_LEVEL = re.compile(rf" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPA
 #: The lower-casing vocabulary drops white space.
 WORD_LEVEL = re.compile(rf"{WORD}|[^{SPACE}]+")
 #: Pieces whose ids a worker keeps; when it has more, it starts anew. Speed only.
-KEEP = 500_000
+KEEP = 800_000
+
+
+PLAIN = re.compile(rf" ?[{LATIN}]+")
+
+#: Characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow from 256.
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_others = [b for b in range(256) if b not in _printable]
+BYTE_CHARACTERS = {b: b for b in _printable} | {b: 256 + k for k, b in enumerate(_others)}
 
 
 class Pieces(dict):
-    """ids of pieces as little-endian unsigned 32-bit integers."""
+    """ids of pieces as little-endian unsigned 32-bit integers.
+
+    A plain word goes to the model at once, written in byte characters: normalisers and splitting leave it as it is,
+    but for its case where the vocabulary is lower-case. Everything else takes the library's whole way.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if PLAIN.fullmatch(piece):
+            word = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(BYTE_CHARACTERS)
+            found = [t.id for t in self.model.tokenize(word)]
+        else:
+            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = self[piece] = array("I", found).tobytes()
         return ids
 
 
