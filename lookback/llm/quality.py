@@ -108,7 +108,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     log_ratio is the mean over a text's hashed unigrams and bigrams of log(p_target / p_raw), 0 without any. A row is
     kept if it passes the base rules and log_ratio >= threshold. Null texts have no words. Rows that repeat a doc_id are
     judged each by its text. Without trusted documents all ratios are 0. An empty table gives an empty one. Other columns
-    pass through; names beginning with _ are the operator's own and must not be among them.
+    pass through; names beginning with _ are the operator's own and must not be among them. To filter the result, write it
+    down first or take passed().
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     ratios = shared.materialize(ratio_array(log_ratios(docs, labels)), "ratios")
@@ -122,6 +123,16 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     return scored.select(*passed, *added, "log_ratio", base_failed().alias("base_failed"), kept.alias("kept"))
 
 
+def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of quality() that are kept.
+
+    The filter also reads a row number, so that Spark doesn't move it below the columns that it reads: there it would
+    hold their expressions over and over, each column's within the next one's.
+    """
+    placed = quality(docs, labels).withColumn("_place", F.monotonically_increasing_id())
+    return placed.filter(F.col("kept") & (F.col("_place") >= 0)).drop("_place")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (shared.table(spark, sf_dir, t) for t in ("documents", "labels"))
     found = quality(docs.select("doc_id", "text"), labels)
