@@ -94,7 +94,7 @@ def likeliest(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
         return greater * safe(up) + less * safe(down) + equal * safe(1 - up - down)
 
     low, high = np.zeros(len(a)), np.minimum(na, nb) / np.maximum(na, nb)
-    for _ in range(30):
+    for _ in range(16):
         x, y = low + (high - low) / 3, high - (high - low) / 3
         better = likelihood(x) < likelihood(y)
         low, high = np.where(better, x, low), np.where(better, high, y)
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     of_class = sets.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("_component"))
     # hot sets: AQE splits the side of many rows
     found = signed.join(of_class, "set_id", "left")
-    component = F.coalesce("_component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -244,7 +244,7 @@ def linked_classes(sets: DataFrame, docs: DataFrame, width: int, percent: int) -
         known = shared.materialize(known.select("band", "node", "size", mine.alias("label"), (mine != theirs).alias("apart")), "labelled")
         if not known.filter("apart").limit(1).count():
             return links
-        near = neighbours(known, sets, threshold, most)
+        near = neighbours(known, sets, docs, width, percent, most)
         fresh = shared.materialize(ordered_pairs(near, "node", "other").join(tested, ["a", "b"], "left_anti"), "pairs")
         links = shared.materialize(links.unionByName(verified(fresh, docs, width, percent)), "links")
         tested = tested.unionByName(fresh)
@@ -255,39 +255,72 @@ def ordered_pairs(pairs: DataFrame, one: str, two: str) -> DataFrame:
     return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
 
-def neighbours(known: DataFrame, sets: DataFrame, threshold: float, most: int | None) -> DataFrame:
+def short_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node and its set, each shingle by the upper half of its hash."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique((shingles(t, width) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "short"])
+
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
+    return texts.mapInArrow(run, "node long, short binary")
+
+
+def neighbours(known: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, most: int | None) -> DataFrame:
     """node and other: for classes that are apart from their bucket's centre, plausible partners of other components.
 
     known: band, node, size, label, apart. Buckets are dealt in blocks of at most about BLOCK classes that are apart
-    against BLOCK classes of the bucket; registers are compared within a block pair, and only plausible pairs come
-    out, the `most` likeliest of each class that is apart if that is given.
+    against BLOCK classes of the bucket; registers are compared within a block pair, each pair only in the first of the
+    buckets that it shares. With `most` given, the likeliest partners of each class that is apart come out. Without, all
+    plausible pairs are counted through there by sets of half hashes, which can only overrate them, and those that reach
+    the threshold come out.
     """
+    threshold = percent / 100
     registers = sets.select("node", "n_shingles", "registers")
     live = known.filter("apart").select("band").distinct()
     here = known.join(live, "band").join(registers, "node")
+    short = F.lit(None).cast("binary").alias("short")
+    if most is None:
+        here = here.join(short_sets(here.select("node").distinct(), docs, width), "node")
+        short = F.col("short")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     part = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
     each = F.explode(F.sequence(F.lit(0), blocks - 1))
-    columns = ["node", "label", "n_shingles", "registers"]
+    columns = ["node", "label", "n_shingles", "registers", "apart", short]
     apart = here.filter("apart").select("band", part(1).alias("x"), each.alias("y"), *columns)
-    others = here.select("band", part(2).alias("y"), each.alias("x"), *columns).toDF(*(f"r_{c}" for c in ("band", "y", "x", *columns)))
+    others = here.select("band", part(2).alias("y"), each.alias("x"), *columns).toDF(*(f"r_{c}" for c in ("band", "y", "x", *columns[:-1], "short")))
     bound = max(0.0, threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / REGISTERS))
 
+    def small(t, k):
+        return np.frombuffer(t.column(8)[int(k)].as_py(), "<u4")
+
+    def reaches(one, two, n_one, n_two):
+        # shingles of one set whose half hashes are equal might all be common
+        common = len(np.intersect1d(one, two, assume_unique=True)) + n_one - len(one) + n_two - len(two)
+        return 100 * common >= percent * (n_one + n_two - common)
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if len(left) and len(right):
-            (ia, la, na, ra), (ib, lb, nb, rb) = (
-                (t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy().astype(float), np.frombuffer(b"".join(t.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS))
+            (ia, la, na, ra, _), (ib, lb, nb, rb, outside) = (
+                (t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy().astype(float), np.frombuffer(b"".join(t.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS), t.column(7).to_numpy(zero_copy_only=False))
                 for t in (left, right)
             )
+            here, mine, theirs = left.column(0)[0].as_py(), bands(ra), bands(rb)
             for k in range(len(ia)):
-                j = np.flatnonzero((lb != la[k]) & (np.minimum(nb, na[k]) >= threshold * np.maximum(nb, na[k])))
-                # so few equal registers that no likely similarity reaches the bound
-                j = j[(rb[j] == ra[k]).sum(axis=1) >= REGISTERS * bound / 2]
+                shared_bands = theirs == mine[k]
+                j = np.flatnonzero((lb != la[k]) & (theirs[np.arange(len(ib)), shared_bands.argmax(axis=1)] == here) & (np.minimum(nb, na[k]) >= threshold * np.maximum(nb, na[k])))
+                if most is None:
+                    j = j[~outside[j] | (ib[j] > ia[k])]
+                # registers are equal at least as often as the similarity says
+                j = j[(rb[j] == ra[k]).sum(axis=1) >= REGISTERS * bound]
                 if len(j):
                     est = likeliest(np.broadcast_to(ra[k], (len(j), REGISTERS)), rb[j], np.full(len(j), na[k]), nb[j])
                     j, est = j[est >= bound], est[est >= bound]
-                    if most is not None:
+                    if most is None:
+                        j = j[[reaches(small(left, k), small(right, x), na[k], nb[x]) for x in j]] if len(j) else j
+                    else:
                         j = j[np.lexsort((ib[j], -est))[:most]]
                     found += [(ia[k], x) for x in ib[j]]
         return pa.table({"node": pa.array([x for x, _ in found], pa.int64()), "other": pa.array([y for _, y in found], pa.int64())})
