@@ -136,6 +136,62 @@ def test_states_are_distributions(spark):
         assert (10 ** model.tree.log_probability(symbols, codes)).sum() == pytest.approx(1, abs=0.02)
 
 
+def tree_score(train, text):
+    """log10 of a text's probability, in plain Python."""
+    split = lambda t: [*suffixtree.tokens_of(t), None]
+    words = Counter(w for t in train for w in split(t))
+    once, twice, n = sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values()), sum(words.values())
+    d = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
+    root = lambda w: (words[w] - d if words[w] else d * len(words)) / n
+    follows = {}
+    for t in train:
+        path = ["^", *split(t)]
+        for k in range(1, len(path)):
+            for size in (1, 2):
+                if k >= size:
+                    follows.setdefault(tuple(path[k - size : k]), Counter())[path[k]] += 1
+
+    def p(context, w):
+        if not context:
+            return root(w)
+        if context not in kept:
+            return p(context[1:], w)
+        total, kinds = sum(follows[context].values()), len(follows[context])
+        return max(0.0, follows[context][w] - d if follows[context][w] else 0.0) / total + d * kinds / total * p(context[1:], w)
+
+    kept = set()
+    for size in (1, 2):
+        for context, after in follows.items():
+            total, gain = sum(after.values()), 0.0
+            if len(context) == size and total > 1:
+                for w, c in after.items():
+                    above = p(context[1:], w)
+                    without = ((c - 1 - d) if c > 1 else 0.0) / (total - 1) + d * (len(after) - (c == 1)) / (total - 1) * above
+                    gain += c * math.log(max(without, 1e-30) / above)
+                if gain >= suffixtree.DIVERGENCE:
+                    kept.add(context)
+    path = ["^", *split(text)]
+    return sum(math.log10(p(tuple(path[max(0, k - 2) : k]), path[k])) for k in range(1, len(path)))
+
+
+@pytest.mark.parametrize("tree_rows", [0, 9, 1_000_000])  # all of the longest contexts by the join, some, none
+def test_tree_score_equals_plain_python(spark, tree_rows):
+    rng = np.random.default_rng(5)
+    train = [" ".join(f"{a} {b} {a}{b}" for a, b in zip(rng.choice(list("abcde"), 12), rng.choice(list("xyz"), 12))) for _ in range(60)] + ["p q r"] * 3
+    ask = [*train[:5], "p q r", "a x ax p q b", "x a q", "", "new words"]
+    rows = lambda texts: docs_of(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
+    got = {r["doc_id"]: r["score"] for r in suffixtree.score(rows(ask), rows(train), tree_rows=tree_rows).collect()}
+    for k, t in enumerate(ask):
+        assert got[k] == pytest.approx(tree_score(train, t), abs=1e-4)
+
+
+def test_rare_contexts_of_a_large_corpus(spark):
+    filler = [(k, "f g " * 100_000, None, None, None) for k in range(10)]  # 2,000,000 tokens, of which 2e-6 are 4
+    rare = [(20 + k, "p q r", None, None, None) for k in range(3)]
+    got = suffixtree.score(docs_of(spark, rare[:1]), docs_of(spark, filler + rare)).first()
+    assert got["score"] > -8  # p by itself has about -5.8, q and r follow; the root alone gives less than -17
+
+
 # top-k
 
 
