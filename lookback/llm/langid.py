@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Documents of each language that training reads (picked by a hash of doc_id), languages learned, words of a document
-#: in training sequences, and the longest text that training reads: the bounds of the sample.
-DOCS_PER_LANGUAGE, LANGUAGES, WORDS_PER_DOC, LONGEST = 250, 64, 256, 50_000
-#: Hashed features, words of a language's lexicon, words of a sequence, and bytes of a word that features see from its
-#: start and from its end.
-BUCKETS, LEXICON, SEQUENCE, START, END = 1 << 16, 4_000, 128, 20, 6
+#: Documents of each language that training reads (picked by a hash of doc_id): the only bound of the sample.
+DOCS_PER_LANGUAGE = 250
+#: Hashed features, words of a language's lexicon, words of a sequence, and bytes of the longest word: a longer run of
+#: letters, as in scripts without spaces, is several words.
+BUCKETS, LEXICON, SEQUENCE, WIDTH = 1 << 16, 4_000, 128, 26
 EPOCHS, BATCH, RATE, DECAY = 4, 32, 0.2, 1e-4
 #: Different words whose scores a worker keeps. Speed only.
 KEEP = 400_000
@@ -26,8 +25,25 @@ LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pieces(run: str) -> list[str]:
+    """A run of letters as words of at most WIDTH bytes."""
+    out, start, size = [], 0, 0
+    for i, c in enumerate(run):
+        n = len(c.encode())
+        if size + n > WIDTH:
+            out.append(run[start:i])
+            start, size = i, 0
+        size += n
+    return [*out, run[start:]]
+
+
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters in lower case, long ones in pieces: every letter is in one of the words."""
+    low = text.lower()
+    runs, short = LETTERS.findall(low), WIDTH if low.isascii() else WIDTH // 4
+    if len(max(runs, key=len, default="")) <= short:
+        return runs
+    return [w for r in runs for w in ([r] if len(r) <= short else pieces(r))]
 
 
 def bucket(kind: int, code: np.ndarray) -> np.ndarray:
@@ -36,15 +52,13 @@ def bucket(kind: int, code: np.ndarray) -> np.ndarray:
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of each word, with 0/1 where a feature is present: affixes, byte n-grams, lexicon entry."""
-    raw = [w.encode() for w in words]
-    width = START + END
-    cut = [b if len(b) <= width else b[:START] + b[-END:] for b in raw]
-    size = np.array([len(b) for b in cut])
-    m = np.zeros((len(cut), width + 2), np.uint64)
-    m[:, 1:-1] = np.array(cut, dtype=f"S{width}").view(np.uint8).reshape(len(cut), width)
+    """Feature numbers of each word (of at most WIDTH bytes), with 0/1 where a feature is present: affixes, byte n-grams, lexicon entry."""
+    raw, width = [w.encode() for w in words], WIDTH
+    size = np.array([len(b) for b in raw])
+    m = np.zeros((len(raw), width + 2), np.uint64)
+    m[:, 1:-1] = np.array(raw, dtype=f"S{width}").view(np.uint8).reshape(len(raw), width)
     m[:, 0] = 1
-    rows = np.arange(len(cut))
+    rows = np.arange(len(raw))
     m[rows, size + 1] = 2
     found, there = [], []
 
@@ -53,14 +67,14 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
         there.append(present)
 
     for n in (2, 3, 4):
-        code = np.zeros((len(cut), width + 3 - n), np.uint64)
+        code = np.zeros((len(raw), width + 3 - n), np.uint64)
         for k in range(n):
             code = code * np.uint64(256) + m[:, k : k + code.shape[1]]
         present = np.arange(code.shape[1])[None, :] + n <= size[:, None] + 2
         for j in range(code.shape[1]):
             add(n, code[:, j], present[:, j])
     for n in (1, 2, 3, 4):
-        prefix, suffix = np.zeros(len(cut), np.uint64), np.zeros(len(cut), np.uint64)
+        prefix, suffix = np.zeros(len(raw), np.uint64), np.zeros(len(raw), np.uint64)
         for k in range(n):
             prefix = prefix * np.uint64(256) + m[:, k + 1]
             suffix = suffix * np.uint64(256) + m[rows, np.maximum(size + 1 - n + k, 0)]
@@ -140,7 +154,7 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
     labels = [languages.index(lang) for _, lang in rows]
     n, rng = len(languages), np.random.default_rng(seed)
     lexicon = lexicon_of(texts, labels, n)
-    runs = [(w[a : a + SEQUENCE], y) for w, y in zip(texts, labels) for a in range(0, min(len(w), WORDS_PER_DOC), SEQUENCE) if w[a : a + SEQUENCE]]
+    runs = [(w[a : a + SEQUENCE], y) for w, y in zip(texts, labels) for a in range(0, len(w), SEQUENCE)]
     sequences: list[tuple[list[str], list[int]]] = [(w, [y] * len(w)) for w, y in runs]
     by_label = [[w for w, y in runs if y == k] for k in range(n)]
     for _ in range(len(runs) if n > 1 else 0):
@@ -187,20 +201,19 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
 
 
 def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of about per_language labelled documents of each of the LANGUAGES most frequent languages.
+    """(text, lang) of about per_language labelled documents of each language.
 
-    Whole texts of at most LONGEST characters with a letter; documents are picked by a hash of doc_id at a rate that
-    follows from the language's count, and never more than twice per_language.
+    Whole texts with a letter; documents are picked by a hash of doc_id at a rate that follows from the language's count,
+    and never more than twice per_language on average.
     """
-    fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST) & F.col("text").rlike(r"\p{L}"))
-    counts = fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = shared.materialize(fit.groupBy("lang").count(), "languages")
+    languages = counts.count()
     rows: list[tuple[str, str]] = []
-    if counts:
+    if languages:
         chance = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-        rate = F.lit(0.0)
-        for r in counts:
-            rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(rate)
-        picked = fit.filter(chance < rate).select("doc_id", "text", "lang").limit(2 * per_language * len(counts))
+        rated = fit.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang")  # one row a language
+        picked = rated.filter(chance < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))).select("doc_id", "text", "lang").limit(2 * per_language * languages)
         rows = [(r["text"], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
     return rows
 
@@ -241,7 +254,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     """Adds lang_pred and score, or columns of other names: the language with most of the words' probability, and its share of it.
 
     A text that is null or has no letter is `und` with score 0; so is every text where nothing was learned. All other
-    columns pass through. Every word of a text counts.
+    columns pass through. Every word of a text counts, and every letter of a word.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in (lang, score)]

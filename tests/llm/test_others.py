@@ -43,6 +43,23 @@ def test_language(spark):
     assert langid.predict(docs_of(spark, rows[:1]), langid.train([])).first()["lang_pred"] == "und"
 
 
+def test_language_learns_from_whole_texts_of_all_labels(spark):
+    # what tells the two long texts apart begins after word 256 and 50,000 characters; 70 languages; a run without spaces
+    common, rng = "ka ke ki ko ku " * 4_000, np.random.default_rng(9)
+    rows = [(k, common + EN if k % 2 else common + FR, "en" if k % 2 else "fr", None, None) for k in range(4)]
+    names = ["".join(rng.choice(list("bcdfghjklmnpqrstvwz"), 6)) for _ in range(70)]
+    rows += [(100 + k, f"{w} {w}{w} {w[::-1]} " * 3, f"l{k}", None, None) for k, w in enumerate(names)]
+    picked = langid.sample(docs_of(spark, rows))
+    assert len(picked) == len(rows) and len({y for _, y in picked}) == 72
+    model = langid.train([r for r in picked if r[1] in ("en", "fr")])
+    assert {model.languages[k] for k in model.scores(EN.split() + FR.split()).argmax(axis=1)[[0, 10, -1]]} == {"en", "fr"}
+    for run in ("\u4e2d\u6587" * 50, "x" * 27, "\u0e01" * 9 + "\U00010400" * 9, "a" * 26):
+        assert "".join(langid.words_of(run)) == run.lower() and all(len(w.encode()) <= langid.WIDTH for w in langid.words_of(run))
+    middle = langid.train([("\u4e2d" * 20 + y * 60 + "\u4e2d" * 20, n) for y, n in (("\u3042", "ja"), ("\u6587", "zh")) for _ in range(30)])
+    asked = docs_of(spark, [(1, "\u4e2d" * 20 + "\u3042" * 60 + "\u4e2d" * 20, None, None, None), (2, "\u4e2d" * 20 + "\u6587" * 60 + "\u4e2d" * 20, None, None, None)])
+    assert [r["lang_pred"] for r in langid.predict(asked, middle).orderBy("doc_id").collect()] == ["ja", "zh"]
+
+
 def test_forward_backward_equals_all_paths():
     rng = np.random.default_rng(1)
     scores, start, move = rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
