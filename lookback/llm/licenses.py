@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,9 @@ TEMPLATES = {
 }
 
 #: Words of a fingerprint, fingerprints of which winnowing keeps the least, width of the alignment band to each side, and
-#: the part of a template that a match must cover. Any WORDS + WINDOW - 1 words in common are found.
-WORDS, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.7
+#: the part of a template that a match must cover. Any WORDS + WINDOW - 1 words in common are found: with a window of 1
+#: every run of three words, as evenly spread edits can leave few of them.
+WORDS, WINDOW, BAND, COVERAGE = 3, 1, 8, 0.7
 
 TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -75,31 +76,88 @@ class Index:
         return out
 
 
-def align(template: list[int], words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best local alignment of a template with words near word place = template place + diagonal.
+def common(template: list[int], words: list[int]) -> int:
+    """Most words of a template that stand in words in order."""
+    row = [0] * (len(words) + 1)
+    for want in template:
+        last = 0
+        for j, w in enumerate(words, 1):
+            last, row[j] = row[j], last + 1 if w == want else max(row[j], row[j - 1])
+    return row[-1]
 
-    A match is 1, a difference or gap -1. Gives matched words and the span (first, end) of words.
-    """
-    best, row = (0, 0, 0, 0), {}  # score, matched, first, end
+
+def extend(template: list[int], words: list[int], band: int = BAND) -> tuple[int, int]:
+    """Best alignment of a start of the template with a start of words: matched words, words taken. A match is 1, a difference or gap -1."""
+    best, row = (0, 0, 0), {-1: (0, 0)}  # score, matched, taken; by the last word taken
+    for j in range(min(len(words), band)):
+        row[j] = (-1 - j, 0)
     for i, want in enumerate(template):
-        new = {}
-        for j in range(max(0, i + diagonal - band), min(len(words), i + diagonal + band + 1)):
-            hit = int(words[j]) == want
-            score, matched, first = row.get(j - 1, (0, 0, j))
-            options = [(score + (1 if hit else -1), matched + hit, first)]
-            if j in row:
-                options.append((row[j][0] - 1, *row[j][1:]))
-            if j - 1 in new:
-                options.append((new[j - 1][0] - 1, *new[j - 1][1:]))
-            top = max(options, key=lambda o: (o[0], o[1], o[2]))
-            if top[0] > 0:
-                new[j] = top
-                if hit and (top[0], top[1]) > best[:2]:
-                    best = (top[0], top[1], top[2], j + 1)
+        new = {-1: (-1 - i, 0)} if i < band else {}
+        for j in range(max(0, i - band), min(len(words), i + band + 1)):
+            hit = words[j] == want
+            options = [(row[j - 1][0] + (1 if hit else -1), row[j - 1][1] + hit)] if j - 1 in row else []
+            options += [(r[0] - 1, r[1]) for r in (row.get(j), new.get(j - 1)) if r]
+            if options:
+                new[j] = max(options)
+                if hit and new[j] > best[:2]:
+                    best = (*new[j], j + 1)
         row = new
     return best[1:]
 
 
+def chains(hits: list[tuple[int, int]], reach: int) -> list[list[tuple[int, int, int]]]:
+    """Hits (word, template place) as chains of runs (word, template place, words): runs follow each other in both, at most
+    reach words apart; the chains of most words first, then those with least between their runs. A run is in one chain."""
+    open_, runs = {}, []
+    for p, i in sorted(hits):
+        k = open_.get(p - i)
+        if k is not None and p <= runs[k][0] + runs[k][2]:
+            runs[k][2] = p + WORDS - runs[k][0]
+        else:
+            open_[p - i] = len(runs)
+            runs.append([p, i, WORDS])
+    score, before, first = [], [], 0
+    longest = max((r[2] for r in runs), default=0)
+    for k, (p, i, n) in enumerate(runs):
+        best, prior = (n, 0), -1
+        while runs[first][0] + longest + reach < p:
+            first += 1
+        for j in range(first, k):
+            q, h, m = runs[j]
+            over = max(0, q + m - p, h + m - i)  # words that both runs have
+            if q < p and h < i and over < n and p - q - m <= reach:
+                option = (score[j][0] + n - over, score[j][1] - abs(p - q - (i - h)))
+                if option > best:
+                    best, prior = option, j
+        score.append(best)
+        before.append(prior)
+    used, out = set(), []
+    for k in sorted(range(len(runs)), key=lambda k: (-score[k][0], -score[k][1], k)):
+        chain = []
+        while k >= 0 and k not in used:
+            used.add(k)
+            chain.append(tuple(runs[k]))
+            k = before[k]
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def along(template: list[int], ids: list[int], chain: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """Matched words, first word and end of a chain with what is common between its runs and before and behind it."""
+    p, i, _ = chain[0]
+    room = len(template) + BAND
+    matched, taken = extend(template[:i][::-1], ids[max(0, p - room) : p][::-1])
+    first, at, place = p - taken, p, i
+    for p, i, n in chain:
+        over = max(0, at - p, place - i)
+        p, i, n = p + over, i + over, n - over
+        matched += common(template[place:i], ids[at:p]) + n
+        at, place = p + n, i + n
+    more, taken = extend(template[place:], ids[at : at + room])
+    return matched + more, first, at + taken
+
+
 def matches(index: Index, ids: np.ndarray, coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, end) of every match in a document's word numbers, by place."""
     n = len(ids) - WORDS + 1
@@ -116,25 +174,19 @@ def matches(index: Index, ids: np.ndarray, coverage: float) -> list[tuple[int, i
     hits = defaultdict(list)
     for place, p in zip(at.tolist(), k.tolist()):
         for t, i in index.postings[p]:
-            hits[t].append(place - i)
+            hits[t].append((place, i))
     found = []
-    for t, diagonals in hits.items():
-        size, diagonals = len(index.templates[t]), sorted(diagonals)
-        groups = [[diagonals[0]]]
-        for d in diagonals[1:]:
-            if d - groups[-1][0] <= BAND:
-                groups[-1].append(d)
-            else:
-                groups.append([d])
-        done = -1
-        for g in groups:
-            # coverage c needs some words in a row, hence at least this part of the fingerprints
-            if len(g) < max(1, (2 * coverage - 1) * index.prints[t] / 2):
-                continue
-            matched, first, end = align(index.templates[t], ids, g[len(g) // 2])
-            if matched >= coverage * size and first >= done:
-                found.append((t, matched, first, end))
-                done = end
+    words = ids.tolist() if hits else []
+    for t, places in hits.items():
+        template = index.templates[t]
+        size, needed = len(template), Counter(template)
+        for chain in chains(places, size):
+            # no more words can match than the template and the chain's surroundings have in common in any order
+            here = Counter(words[max(0, chain[0][0] - size - BAND) : sum(chain[-1][::2]) + size + BAND])
+            if (here & needed).total() >= coverage * size:
+                matched, first, end = along(template, words, chain)
+                if matched >= coverage * size:
+                    found.append((t, matched, first, end))
     # of overlapping matches the one with most words stays, then the one with most of its template
     found.sort(key=lambda m: (-m[1], -m[1] / len(index.templates[m[0]]), m[2], m[0]))
     kept: list[tuple[int, int, int, int]] = []
@@ -147,6 +199,8 @@ def matches(index: Index, ids: np.ndarray, coverage: float) -> list[tuple[int, i
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """A row for each place where a document has at least `coverage` of a template's words in order.
 
+    A place is a chain of word runs (three words or more) with at most as many words between two as the template has; parts
+    further apart are separate places, and a place without such a run isn't found.
     doc_id, license, matched_words, coverage (of the template), span_start and span_end (characters of the text). Words
     are runs of [a-z0-9] of the lower-cased text. Of overlapping matches only that of most words is reported: a notice, not
     the line it starts with. Texts that are null, empty or without a match give no row. Rows that repeat a

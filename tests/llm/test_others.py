@@ -243,6 +243,26 @@ def test_license_scan(spark):
     assert licenses.winnow([5, 3, 3, 9], 2) == [1, 2]
 
 
+def test_license_with_insertions_and_even_edits(spark):
+    mit = licenses.TEMPLATES["mit-notice"].split()
+    inserted = " ".join(mit[:43] + [f"page{k}" for k in range(12)] + mit[43:])
+    removed = " ".join(mit[:30] + mit[42:])
+    even, k = [], 0
+    while k < len(mit):  # two or three words stay, one is another
+        n = 2 + (len(even) % 2)
+        even, k = [*even, *mit[k : k + n], "zz"], k + n + 1
+    twice = " ".join(mit) + " w" * 20 + " " + " ".join(mit)
+    apart = " ".join(mit[:43]) + " w" * 500 + " " + " ".join(mit[43:])
+    rows = [(k, "w " * 50 + t + " w" * 50, None, None, None) for k, t in enumerate((inserted, removed, " ".join(even), twice, apart))]
+    got = licenses.scan(docs_of(spark, rows)).orderBy("doc_id", "span_start").collect()
+    assert [(r["doc_id"], r["license"]) for r in got] == [(k, "mit-notice") for k in (0, 1, 2, 3, 3)]
+    size = len(licenses.TOKEN.findall(" ".join(mit).lower()))
+    assert [r["matched_words"] for r in got if r["doc_id"] != 2] == [size, size - 12, size, size]
+    for r in got:  # against the longest common subsequence of the span
+        words = licenses.TOKEN.findall(rows[r["doc_id"]][1][r["span_start"] : r["span_end"]].lower())
+        assert r["matched_words"] == licenses.common(licenses.TOKEN.findall(" ".join(mit).lower()), words)
+
+
 # WARC
 
 
