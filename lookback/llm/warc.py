@@ -17,6 +17,8 @@ from . import shared
 #: A file is closed once it has so many bytes.
 FILE_BYTES = 32_000_000
 LEVEL = 3
+#: Bytes that a gzip reader takes at a time.
+STEP = 1 << 16
 VERSION, END = b"WARC/1.1", b"\r\n\r\n"
 GZIP = b"\x1f\x8b\x08"
 
@@ -75,14 +77,17 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
 
 
 def one_member(data: bytes, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
+    """The content and end of the gzip member that starts at a place; reads STEP bytes at a time and no more than the member."""
+    z, view, parts = zlib.decompressobj(31), memoryview(data), []
     try:
-        raw = z.decompress(data[at:] if len(data) - at < 1 << 16 else memoryview(data)[at:])
+        while not z.eof and at < len(data):
+            parts.append(z.decompress(view[at : at + STEP]))
+            at += len(view[at : at + STEP])
     except zlib.error as e:
         raise ValueError("gzip member") from e
     if not z.eof:
         raise ValueError("gzip member without end")
-    return raw, len(data) - len(z.unused_data)
+    return b"".join(parts), at - len(z.unused_data)
 
 
 def salvage(data: bytes):
@@ -116,27 +121,40 @@ def salvage(data: bytes):
         yield "gap", gap, len(data), reason, None
 
 
-def revisits(numbered: DataFrame, least: int) -> DataFrame:
-    """_row and refers_to of the pages that are revisits: all but the first of equal payloads of at least `least` bytes."""
-    seen = numbered.filter(F.length("_payload") >= least).select(F.sha1("_payload").alias("sha1"), "_row", "page_id")
-    seen = shared.materialize(seen, "payloads")
-    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_row")  # null ids last
-    first = seen.groupBy("sha1").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    others = seen.join(first, "sha1").filter(F.col("_row") != F.col("first._row"))
-    return others.select("_row", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
+def planned(pages: DataFrame, least: int) -> DataFrame:
+    """page_id, url, payload, refers_to and revisit of every page; what a row gets follows from values alone.
+
+    Rows of one payload are ordered by page_id and url, nulls last. The least is the response. Rows that are alike in
+    all three are summed up as one with its number: one of them is the response, if it is the least, the others revisits.
+    """
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    key = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    long = F.length("payload") >= least
+    seen = rows.filter(long).groupBy("sha1", key.alias("key")).agg(F.count("*").alias("rows"))
+    first = seen.groupBy("sha1").agg(F.min("key").alias("first"), F.sum("rows").alias("rows"), F.min_by("rows", "key").alias("alike"))
+    first = shared.materialize(first.filter("rows > 1").drop("rows"), "payloads")
+    joined = rows.withColumn("_key", F.when(long, F.col("sha1"))).join(first.withColumnRenamed("sha1", "_key"), "_key", "left")
+    other = F.col("first").isNotNull() & (key != F.col("first"))
+    alike = F.coalesce((key == F.col("first")) & (F.col("alike") > 1), F.lit(False))
+    columns = ["page_id", "url", "payload"]
+    refers = F.col("first.page_id").alias("refers_to")
+    single = joined.filter(~alike).select(*columns, F.when(other, F.col("first.page_id")).alias("refers_to"), other.alias("revisit"))
+    if not first.filter("alike > 1").limit(1).count():
+        return single
+    once = joined.filter(alike).groupBy("page_id", "url", "sha1").agg(F.first("payload").alias("payload"), F.first("first").alias("first"), F.first("alike").alias("alike"))
+    again = once.select(*columns, refers, F.explode(F.sequence(F.lit(1), F.col("alike"))).alias("n"))
+    return single.unionByName(again.select(*columns, F.when(F.col("n") > 1, F.col("refers_to")).alias("refers_to"), (F.col("n") > 1).alias("revisit")))
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 0, level: int = LEVEL) -> DataFrame:
     """Writes a record a page and gives the manifest: path, records, bytes.
 
     Of pages with equal payloads of at least `least` bytes the one with the smallest page_id is the response and the
-    others are revisits of it; where rows repeat page_id and payload, the first as read is the response. Null ids come
-    last. Null html is an empty payload. A lost task writes again under another name; only files of the manifest count.
+    others are revisits of it; where rows repeat page_id and payload, the one with the least url is the response. Null
+    ids and urls come last. Null html is an empty payload. An empty table gives an empty manifest. Other columns are not
+    read. A lost task writes again under another name; only files of the manifest count.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    # rows are numbered by file split and place, alike in both reads
-    numbered = pages.select("page_id", "url", payload.alias("_payload"), F.monotonically_increasing_id().alias("_row"))
-    planned = numbered.join(revisits(numbered, least), "_row", "left").select("page_id", "url", "_payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
     def write(batches):
         part, k, buffer, size = TaskContext.get().partitionId(), 0, [], 0
@@ -160,7 +178,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, level: int = LEVEL
         if buffer:
             yield flush()
 
-    return shared.materialize(planned.mapInArrow(write, "path string, records long, bytes long"), "warc-files")
+    return shared.materialize(planned(pages, least).mapInArrow(write, "path string, records long, bytes long"), "warc-files")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
