@@ -1,7 +1,7 @@
 """Token ids by a public tokenizer, a piece at a time.
 
 Both vocabularies split a text before any merge, at least at each edge between white space and other characters and
-after each plain word that ends at white space or ASCII punctuation. So texts are cut at such edges and the ids of a
+after each plain word that ends at white space or ASCII punctuation. Strings of special tokens are cut out first. So texts are cut at such edges and the ids of a
 piece are kept: the library encodes each different piece once for every worker process.
 """
 
@@ -45,7 +45,9 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        #: strings that the library takes for one id wherever they stand
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.model, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
 
     def __missing__(self, piece: str) -> bytes:
@@ -64,12 +66,15 @@ _coders: dict[str, Pieces] = {}
 def encoder(path: str, pattern: re.Pattern):
     """A function from text to the bytes of its ids; kept by the worker process across tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    coder = _coders.get(path) or _coders.setdefault(path, Pieces(path))
-    find, get = pattern.findall, coder.__getitem__
+    coder = _coders[path] if path in _coders else _coders.setdefault(path, Pieces(path))
+    find, get, special = pattern.findall, coder.__getitem__, coder.special
 
     def encode(text: str) -> bytes:
         if len(coder) > KEEP:
             coder.clear()
+        if special is not None and special.search(text):  # what lies between them is split by itself
+            parts = special.split(text)
+            return b"".join(get(x) if k % 2 else b"".join(map(get, find(x))) for k, x in enumerate(parts))
         return b"".join(map(get, find(text)))
 
     return encode

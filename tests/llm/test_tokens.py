@@ -9,16 +9,14 @@ import pytest
 
 from lookback.llm import packing, shared, tokenbin, tokens
 
-TEXTS = ["", None, "Hello, world!", "don't  stop\n\n x", " lead and trail ", "é日本語 İ ß ²", "a" * 5000, "x 'll 're\t\x1cy <|endoftext|>"]
+TEXTS = ["", None, "Hello, world!", "don't  stop\n\n x", " lead and trail ", "é日本語 İ ß ²", "a" * 5000, "x 'll 're\t\x1cy <|endoftext|>", "a <|endoftext|> b", "<|startoftext|><|endoftext|>x<|endoftext|", "word<|endoftext|>Word <|EndOfText|>"]
 
 
 @functools.cache
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary(name))
 
 
 def reference(name, text):
@@ -30,6 +28,7 @@ def test_pieces_give_the_librarys_ids(name, pattern):
     rng = random.Random(5)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice("ab cÉé's \n\t.,-_9²Σж漢́İ’") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     encode = tokens.encoder(tokens.vocabulary(name), pattern)
+    texts += [rng.choice(["", "a ", "é"]) + rng.choice(["<|endoftext|>", "<|startoftext|>"]) + rng.choice(["'s b", " 12", "\n\n", ""]) for _ in range(50)]
     for t in texts:
         assert np.frombuffer(encode(t), "<u4").tolist() == reference(name, t), repr(t)
 
@@ -42,7 +41,7 @@ def test_variable_length_codes():
 
 
 def test_files_round_trip(spark):
-    rows = [(k * 3 % 8 if k != 2 else None, t, "clash") for k, t in enumerate(TEXTS)] + [(5, "again", "clash")]
+    rows = [(k * 3 % 11 if k != 2 else None, t, "clash") for k, t in enumerate(TEXTS)] + [(5, "again", "clash")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     folder = shared.scratch(spark, "test-tokens")
     manifest = tokenbin.write_tokens(docs, folder, file_tokens=50)
@@ -85,3 +84,25 @@ def test_packing(spark):
     one = np.array(reference("word_bpe_49k.json", "") + [1], "<u4").tobytes()
     assert zlib.crc32(one) in set(got[got.doc_id.isna()].ids_crc32)
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_packed_pieces_are_the_librarys_ids(spark):
+    rows = [(k, t, "clash") for k, t in enumerate(TEXTS)] + [(3, "again", "x"), (None, "none " * 30, "x"), (50, "a very long text, with 12 numbers. " * 3000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
+    got = packing.pack_documents(docs).collect()
+    want = []
+    for i, t, _ in rows:
+        ids = np.array(reference("word_bpe_49k.json", t) + [1], "<u4")
+        want += [(str(i), k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    total = sum(r["length"] for r in got)
+    assert len({r["sequence_id"] for r in got}) == -(-total // 4096) + (total % 4096 == 0)
+
+
+def test_bins_that_stay_behind_are_over_half_full(spark):
+    # what pack_round hands on: all bins of up to half the capacity, whatever HAND_ON is
+    rng = random.Random(4)
+    items = [(k, rng.randint(1, 30), k % 3) for k in range(900)]
+    frame = spark.createDataFrame(items, "item long, length long, group long")
+    got = packing.pack_round(frame, 50, 1).collect()
+    assert all(r["onward"] for r in got if 2 * r["held"] <= 50)
