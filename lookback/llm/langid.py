@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,9 @@ EPOCHS, BATCH, RATE, DECAY = 4, 32, 0.2, 1e-4
 #: Different words whose scores a worker keeps. Speed only.
 KEEP = 400_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# \w takes numbers such as \u00b2 or \u2167 for word characters too: letters are those of category L
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W_{re.escape(_NUMBERS)}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -203,17 +206,17 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
 def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
     """(text, lang) of about per_language labelled documents of each language.
 
-    Whole texts with a letter; documents are picked by a hash of doc_id at a rate that follows from the language's count,
-    and never more than twice per_language on average.
+    Whole texts with a letter; documents are picked by a hash of doc_id and text at a rate that follows from the
+    language's count, so that their number is binomial with mean per_language at most.
     """
     fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = shared.materialize(fit.groupBy("lang").count(), "languages")
     languages = counts.count()
     rows: list[tuple[str, str]] = []
     if languages:
-        chance = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
+        chance = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 40)) / float(1 << 40)
         rated = fit.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang")  # one row a language
-        picked = rated.filter(chance < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))).select("doc_id", "text", "lang").limit(2 * per_language * languages)
+        picked = rated.filter(chance < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))).select("doc_id", "text", "lang")
         rows = [(r["text"], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
     return rows
 
@@ -254,7 +257,8 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     """Adds lang_pred and score, or columns of other names: the language with most of the words' probability, and its share of it.
 
     A text that is null or has no letter is `und` with score 0; so is every text where nothing was learned. All other
-    columns pass through. Every word of a text counts, and every letter of a word.
+    columns pass through, but for those of the names of the two, which are replaced. Every word of a text counts, and every
+    letter of a word. Rows that repeat a doc_id, or have none, are read each by its text. An empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in (lang, score)]

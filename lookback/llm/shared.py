@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set, and a folder of this machine is none that executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lookback-"))
         spark.sparkContext.setCheckpointDir(_own_dir[0])

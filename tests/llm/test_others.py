@@ -32,7 +32,7 @@ def texts(words, n, seed):
 
 def test_language(spark):
     model = langid.train([(t, "en") for t in texts(EN, 30, 1)] + [(t, "fr") for t in texts(FR, 30, 2)])
-    rows = [(1, texts(EN, 1, 3)[0], None, None, None), (2, texts(FR, 1, 4)[0], None, None, None), (3, None, None, None, None), (4, "12 !?", None, None, None), (None, "", None, None, None), (2, texts(EN, 1, 5)[0] * 40, None, None, None)]
+    rows = [(1, texts(EN, 1, 3)[0], None, None, None), (2, texts(FR, 1, 4)[0], None, None, None), (3, None, None, None, None), (4, "² 12 ½ Ⅷ !?", None, None, None), (None, "", None, None, None), (2, texts(EN, 1, 5)[0] * 40, None, None, None)]
     got = langid.predict(docs_of(spark, rows), model).collect()
     assert [r["lang_pred"] for r in sorted(got, key=lambda r: (r["doc_id"] or 0, len(r["text"] or "")))] == ["und", "en", "fr", "en", "und", "und"]
     assert all(0 <= r["score"] <= 1 for r in got)
@@ -296,6 +296,50 @@ def test_warc_round_trip(spark):
     assert few == 0
 
 
+def test_generated_pages_equal_a_plan_in_plain_python(spark):
+    rng = np.random.default_rng(8)
+    bodies = [None, "", "x", "same body", "é" * 3000, "\x00\r\n\r\nWARC/1.1"] + [f"page {k}" * k for k in range(20)]
+    rows = [(None if k % 29 == 0 else int(rng.integers(60)), [None, "u", "v"][k % 3], bodies[int(rng.integers(len(bodies)))]) for k in range(400)]
+    # rows come out of a shuffle, in any order
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    for least in (0, 5):
+        got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_warc(warc.write_warc(pages, shared.scratch(spark, "test-warc"), least=least)).collect())
+        want, seen = Counter(), {}
+        for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            body = (h or "").encode()
+            again = len(body) >= least and body in seen
+            want[(i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if again else "response", seen[body] if again else None)] += 1
+            seen.setdefault(body, i)
+        assert got == want
+
+
+def test_salvage_reads_each_member_once():
+    record = warc.record(1, "u", os.urandom(60_000), "x", None, False)
+    data = warc.member(record) * 40
+    read = []
+
+    class Counted:  # bytes handed to the decompressor
+        def __init__(self, wbits):
+            self.z = zlib.decompressobj(wbits)
+
+        def decompress(self, part):
+            read.append(len(part))
+            return self.z.decompress(part)
+
+        def __getattr__(self, name):
+            return getattr(self.z, name)
+
+    class Zlib:
+        decompressobj, error = Counted, zlib.error
+
+    plain, warc.zlib = warc.zlib, Zlib
+    try:
+        assert sum(x[0] == "record" for x in warc.salvage(data)) == 40
+    finally:
+        warc.zlib = plain
+    assert sum(read) < 3 * len(data)
+
+
 # mixing
 
 
