@@ -126,87 +126,119 @@ def test_quality_equals_brute_force(spark):
 # suffix tree
 
 
-def test_base_scores_and_probabilities(spark):
-    train = [(k, "a b c a b d" if k % 2 else "a b c", None, None, None) for k in range(40)] + [(None, None, None, None, None)]
-    held = [(100, "A b c zz", None, None, None), (100, None, None, None, None), (101, "zz " * 500, None, None, None)]
+def scored(spark, train, ask, **how):
+    rows = [(k, t, "train" if k < len(train) else None, None, None) for k, t in enumerate([*train, *ask])]
+    got = {r["doc_id"]: r for r in suffixtree.score(docs_of(spark, rows), F.col("lang") == "train", **how).collect()}
+    assert len(got) == len(rows)
+    return [got[k] for k in range(len(rows))]
+
+
+def test_base_scores(spark):
+    train = ["a b c a b d" if k % 2 else "a b c" for k in range(40)] + [None]
+    held = ["A b c zz", None, "zz " * 500, "", "x" * 100_000]
     for head in (2, 1000):  # counts from the head, and by the join
-        got = suffixtree.score(docs_of(spark, train + held), docs_of(spark, train), head).collect()
-        c = Counter(w for _, t, *_ in train for w in [*suffixtree.tokens_of(t), None])
+        c = Counter(w for t in train for w in [*suffixtree.tokens_of(t), None])
         n, v = sum(c.values()), len(c)
-        assert len(got) == len(train + held)
-        for r in got:
-            assert r["train_tokens"] == n
-        want = sorted((len(w), sum(c[x] > 0 for x in w), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for w in ([*suffixtree.tokens_of(t), None] for _, t, *_ in train + held))
-        assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-        assert all(r["score"] <= 0 for r in got)
-    assert suffixtree.score(docs_of(spark, train).limit(0), docs_of(spark, train)).count() == 0
-    assert suffixtree.score(docs_of(spark, held), docs_of(spark, train).limit(0)).filter("score = 0 AND base_score = 0").count() == 3
-
-
-def test_states_are_distributions(spark):
-    train = docs_of(spark, [(k, "a b c " * 20 + "x y", None, None, None) for k in range(60)])
-    model = suffixtree.fit(train, shared.materialize(suffixtree.word_counts(train), "test-words"))
-    assert len(model.tree.contexts[0]), "some context is kept"
-    symbols = np.r_[np.arange(len(model.symbols)), suffixtree.OTHER, suffixtree.END]
-    for one in (*model.symbols.values(), suffixtree.START, suffixtree.OTHER):
-        codes = suffixtree.context_codes(np.full(len(symbols), one), np.full(len(symbols), model.symbols[b"a"]))
-        assert (10 ** model.tree.log_probability(symbols, codes)).sum() == pytest.approx(1, abs=0.02)
-
-
-def tree_score(train, text):
-    """log10 of a text's probability, in plain Python."""
-    split = lambda t: [*suffixtree.tokens_of(t), None]
-    words = Counter(w for t in train for w in split(t))
-    once, twice, n = sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values()), sum(words.values())
-    d = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
-    root = lambda w: (words[w] - d if words[w] else d * len(words)) / n
-    follows = {}
-    for t in train:
-        path = ["^", *split(t)]
-        for k in range(1, len(path)):
-            for size in (1, 2):
-                if k >= size:
-                    follows.setdefault(tuple(path[k - size : k]), Counter())[path[k]] += 1
-
-    def p(context, w):
+        for t, r in zip(train + held, scored(spark, train, held, head=head)):
+            w = [*suffixtree.tokens_of(t), None]
+            assert (r["train_tokens"], r["n_tokens"], r["n_known"]) == (n, len(w), sum(c[x] > 0 for x in w)) and r["score"] <= 0
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), abs=1e-6)
+    rows = docs_of(spark, [(100, "a b", None, None, "clash"), (100, None, None, None, None), (None, "zz " * 500, None, None, None)])
+    assert suffixtree.score(rows.limit(0), F.lit(True)).count() == 0
+    assert suffixtree.score(rows, F.lit(False)).filter("score = 0 AND base_score = 0").count() == 3
+
+
+class PlainTree:
+    """The same tree in plain Python: all contexts of up to depth symbols in dictionaries."""
+
+    def __init__(self, train, depth, symbols):
+        split = lambda t: [*suffixtree.tokens_of(t), None]
+        self.words, self.depth = Counter(w for t in train for w in split(t)), depth
+        once, twice = sum(c == 1 for w, c in self.words.items() if w), sum(c == 2 for w, c in self.words.items() if w)
+        self.n, self.d = sum(self.words.values()), min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
+        self.top = set(sorted((w for w in self.words if w is not None), key=lambda w: (-self.words[w], w))[:symbols])
+        self.follows, self.kept = {}, set()
+        for t in train:
+            path = ["^", *map(self.symbol, split(t))]
+            for k in range(1, len(path)):
+                for c in self.contexts(path, k):
+                    self.follows.setdefault(c, Counter())[path[k]] += 1
+        for size in range(1, depth + 1):
+            for c, after in self.follows.items():
+                total, gain = sum(after.values()), 0.0
+                if len(c) == size and total > 1:
+                    for w, k in after.items():
+                        above = self.p(c[1:], w)
+                        without = ((k - 1 - self.d) if k > 1 else 0.0) / (total - 1) + self.d * (len(after) - (k == 1)) / (total - 1) * above
+                        gain += k * math.log(max(without, 1e-30) / above)
+                    if gain >= suffixtree.DIVERGENCE:
+                        self.kept.add(c)
+
+    def symbol(self, w):
+        return w if w is None or w in self.top else "?"
+
+    def contexts(self, path, k):
+        for size in range(1, self.depth + 1):
+            if k < size or path[k - size] == "?":
+                return
+            yield tuple(path[k - size : k])
+
+    def root(self, w):
+        return (self.words[w] - self.d if self.words[w] else self.d * len(self.words)) / self.n
+
+    def p(self, context, w):
         if not context:
-            return root(w)
-        if context not in kept:
-            return p(context[1:], w)
-        total, kinds = sum(follows[context].values()), len(follows[context])
-        return max(0.0, follows[context][w] - d if follows[context][w] else 0.0) / total + d * kinds / total * p(context[1:], w)
-
-    kept = set()
-    for size in (1, 2):
-        for context, after in follows.items():
-            total, gain = sum(after.values()), 0.0
-            if len(context) == size and total > 1:
-                for w, c in after.items():
-                    above = p(context[1:], w)
-                    without = ((c - 1 - d) if c > 1 else 0.0) / (total - 1) + d * (len(after) - (c == 1)) / (total - 1) * above
-                    gain += c * math.log(max(without, 1e-30) / above)
-                if gain >= suffixtree.DIVERGENCE:
-                    kept.add(context)
-    path = ["^", *split(text)]
-    return sum(math.log10(p(tuple(path[max(0, k - 2) : k]), path[k])) for k in range(1, len(path)))
-
-
-@pytest.mark.parametrize("tree_rows", [0, 9, 1_000_000])  # all of the longest contexts by the join, some, none
-def test_tree_score_equals_plain_python(spark, tree_rows):
+            return self.root(w) if w != "?" else 1 - sum(self.root(x) for x in (*self.top, None))
+        if context not in self.kept:
+            return self.p(context[1:], w)
+        after = self.follows[context]
+        total = sum(after.values())
+        return (after[w] - self.d if after[w] else 0.0) / total + self.d * len(after) / total * self.p(context[1:], w)
+
+    def score(self, text):
+        words = [*suffixtree.tokens_of(text), None]
+        path, out = ["^", *map(self.symbol, words)], 0.0
+        for k, w in enumerate(words, 1):
+            longest = max(self.contexts(path, k), key=len, default=())
+            out += math.log10(self.p(longest, path[k])) + (math.log10(self.root(w) / self.p((), "?")) if path[k] == "?" else 0.0)
+        return out
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 3}, {"hot": 40}, {"symbols": 9}, {"symbols": 4, "hot": 2, "head": 4}, {"depth": 2}, {"depth": 3, "hot": 3}])
+def test_tree_score_equals_plain_python(spark, how, monkeypatch):
     rng = np.random.default_rng(5)
-    train = [" ".join(f"{a} {b} {a}{b}" for a, b in zip(rng.choice(list("abcde"), 12), rng.choice(list("xyz"), 12))) for _ in range(60)] + ["p q r"] * 3
-    ask = [*train[:5], "p q r", "a x ax p q b", "x a q", "", "new words"]
-    rows = lambda texts: docs_of(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
-    got = {r["doc_id"]: r["score"] for r in suffixtree.score(rows(ask), rows(train), tree_rows=tree_rows).collect()}
-    for k, t in enumerate(ask):
-        assert got[k] == pytest.approx(tree_score(train, t), abs=1e-4)
+    monkeypatch.setattr(suffixtree, "HOT_SHARE", 0.0)
+    sentences = ["a b c d e f g", "z b c d e f h", "x y x y x z", "q c d e f g", "u m n r", "v m n s"]
+    train = [" ".join(f"{a} {b} {a}{b}" for a, b in zip(rng.choice(list("abcde"), 12), rng.choice(list("xyz"), 12))) for _ in range(40)]
+    train += [" ".join(rng.choice(sentences, 4)) for _ in range(90)] + ["p q r"] * 3
+    ask = ["p q r", "a x ax p q b", "x a q", "", "new words", "a b c d e f h", "z b c d e f g z b c d e f"]
+    plain = PlainTree(train, how.get("depth", suffixtree.DEPTH), how.get("symbols", suffixtree.SYMBOLS))
+    assert how or {len(c) for c in plain.kept} == {1, 2, 3, 4, 5}, "contexts of all lengths are kept"
+    for t, r in zip(train + ask, scored(spark, train, ask, **how)):
+        assert r["score"] == pytest.approx(plain.score(t), abs=1e-4), t
+
+
+def test_states_are_distributions():
+    plain = PlainTree(["a b c d e f g", "z b c d e f h", "u v"] * 9, 5, 6)
+    for c in plain.kept:
+        assert sum(plain.p(c, w) for w in (*plain.top, "?", None)) == pytest.approx(1)
+    # the same of the tree at hand: what follows a kept context sums up to 1
+    rng = np.random.default_rng(2)
+    root = np.zeros(suffixtree.BASE)
+    root[[0, 1, 2, suffixtree.OTHER, suffixtree.END]] = [0.4, 0.2, 0.1, 0.2, 0.1]
+    code = rng.integers(0, 3, 4000) * suffixtree.BASE**4 + rng.integers(0, 3, 4000) * suffixtree.BASE**3 + sum(suffixtree.STOP * suffixtree.BASE**k for k in range(3))
+    symbol = np.where(rng.random(4000) < 0.9, code // suffixtree.BASE**3 % suffixtree.BASE, suffixtree.END)
+    tree = suffixtree.Tree(root, 0.5, 5)
+    asked = np.array([0, 1, 2, suffixtree.OTHER, suffixtree.END])
+    for one in np.unique(code):
+        learned = np.r_[np.ones(4000), np.zeros(5)]
+        got = suffixtree.grown(np.r_[code, np.full(5, one)], np.r_[symbol, asked], learned, tree)
+        assert (10 ** got[-5:]).sum() == pytest.approx(1) and not np.allclose(10 ** got[-5:], root[asked])
 
 
 def test_rare_contexts_of_a_large_corpus(spark):
-    filler = [(k, "f g " * 100_000, None, None, None) for k in range(10)]  # 2,000,000 tokens, of which 2e-6 are 4
-    rare = [(20 + k, "p q r", None, None, None) for k in range(3)]
-    got = suffixtree.score(docs_of(spark, rare[:1]), docs_of(spark, filler + rare)).first()
-    assert got["score"] > -8  # p by itself has about -5.8, q and r follow; the root alone gives less than -17
+    got = scored(spark, ["f g " * 100_000] * 10 + ["p q r"] * 3, [])
+    assert got[-1]["score"] > -8  # p by itself has about -5.8, q and r follow; the root alone gives less than -17
 
 
 # top-k
