@@ -4,116 +4,148 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Cells a dimension has, and vectors in one block of candidates and of queries.
+#: Cells a dimension has (one byte each), and vectors in one block of candidates and of queries.
 CELLS, CANDIDATES, QUERIES = 64, 8_192, 4_096
+#: Exact vectors of a query that are read first, as a multiple of k.
+FIRST = 4
 #: Up to so large a bound of |score|, sums of products are exact in doubles.
 EXACT = float(1 << 52)
 
 
-def approximation(vectors: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The cell of each component, and each cell's middle and half width: equally filled cells between quantiles."""
-    n, dims = vectors.shape
-    cell = np.empty((n, dims), np.uint8)
-    middle, half = np.zeros((dims, cells)), np.zeros((dims, cells))
-    for d in range(dims):
-        edges = np.unique(np.quantile(vectors[:, d], np.linspace(0, 1, cells + 1)[1:-1], method="nearest"))
-        c = cell[:, d] = np.searchsorted(edges, vectors[:, d], "right")
-        low, high = np.full(cells, np.inf), np.full(cells, -np.inf)
-        np.minimum.at(low, c, vectors[:, d])
-        np.maximum.at(high, c, vectors[:, d])
-        has = high >= low
-        middle[d, has], half[d, has] = (low[has] + high[has]) / 2, (high[has] - low[has]) / 2
-    return cell, middle, half
+def scaled(embeddings: DataFrame, vector: str, scale: float) -> DataFrame:
+    """vec_id and v, floor(scale * x) for every component; vectors that are null or hold null or non-finite components go."""
+    x = F.col(vector)
+    fine = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    return embeddings.filter(F.coalesce(fine, F.lit(False))).select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
+
+
+def cell_edges(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of dimensions, each one's least value over all vectors and the width of its cells."""
+    found = vectors.select("dims", F.posexplode("v").alias("d", "x")).groupBy("dims", "d").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    out = {}
+    for dims in {r["dims"] for r in found}:
+        own = sorted((r for r in found if r["dims"] == dims), key=lambda r: r["d"])
+        low, high = np.array([r["low"] for r in own]), np.array([r["high"] for r in own])
+        out[dims] = low, np.where(high > low, (high - low) / CELLS, 1.0)
+    return out
 
 
-def block_top(query_ids, queries, ids, vectors, k: int):
-    """For each query its k best of a block, as (query place, vector place, score).
+def write_file(vectors: DataFrame, edges: dict) -> DataFrame:
+    """The approximation file, written: row (a number of its own), vec_id, dims, cells (a byte a dimension), v."""
 
-    The scan reads cells only: a score lies within q.middle -+ |q|.half. Exact vectors are read in order of their
-    upper bounds, in steps, until the kth exact score is above all bounds left.
+    def run(batches):
+        for batch in batches:
+            dims, values = batch.column(2).to_pylist(), batch.column(3)
+            cells = []
+            for k, n in enumerate(dims):
+                low, width = edges[n] if n else (np.zeros(0), np.ones(0))
+                cells.append(np.clip((values[k].values.to_numpy(zero_copy_only=False) - low) / width, 0, CELLS - 1).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], names=["row", "vec_id", "dims", "v", "cells"])
+
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "dims", "v")
+    return shared.materialize(numbered.mapInArrow(run, "row long, vec_id long, dims int, v array<double>, cells binary"), "cells")
+
+
+def scan(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, k: int):
+    """(query place, vector place, lower bound, upper bound) of all that can be among a query's k best of a block.
+
+    Only cells are read, once, in one product: with q.x for the middle x of the cells, the score lies within half of
+    |q|.width of it, whatever the vector. A vector goes on if its upper bound reaches the kth lower bound.
     """
-    cell, middle, half = approximation(vectors)
-    dims = np.arange(vectors.shape[1])
-    mid, wide = middle[dims, cell], half[dims, cell]
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1] < EXACT
-    slack = 1e-9 if exact else 1e-6
-    found = []
+    grid = cells.astype(np.float32)
     for a in range(0, len(queries), 256):
         q = queries[a : a + 256]
-        centre, radius = q @ mid.T, np.abs(q) @ wide.T
-        upper = centre + radius
-        upper += slack * (1 + np.abs(upper))
-        lower = centre - radius
-        lower -= slack * (1 + np.abs(lower))
-        lower[ids[None, :] == query_ids[a : a + 256, None]] = -np.inf
+        step = q * width
+        reach = np.abs(step).sum(axis=1)
+        # half a cell, and what single precision may lose
+        slack = reach / 2 + 1e-6 * len(width) * (reach * CELLS + np.abs(q @ low) + 1)
+        centre = (step.astype(np.float32) @ grid.T).astype(np.float64) + (q @ low + step.sum(axis=1) / 2)[:, None]
+        own = ids[None, :] == query_ids[a : a + 256, None]
+        lower, upper = centre - slack[:, None], centre + slack[:, None]
+        lower[own] = -np.inf
         keep = min(k, len(ids))
-        certain = np.partition(lower, len(ids) - keep, axis=1)[:, len(ids) - keep] if keep else np.zeros(len(q))
-        for i in range(len(q)):
-            own = np.flatnonzero((upper[i] >= certain[i]) & (ids != query_ids[a + i]))
-            own = own[np.argsort(-upper[i, own], kind="stable")]
-            scores, taken, step = np.zeros(0), 0, max(4 * k, 64)
-            while taken < len(own):
-                part = vectors[own[taken : taken + step]]
-                got = part @ q[i] if exact else np.array([sum(int(x) * int(y) for x, y in zip(v, q[i])) for v in part], object)
-                scores, taken, step = np.concatenate([scores, got]), taken + len(part), step * 2
-                if len(scores) >= k and taken < len(own) and np.sort(scores)[len(scores) - k] > upper[i, own[taken]]:
-                    break
-            places = own[: len(scores)]
-            best = sorted(range(len(scores)), key=lambda j: (-scores[j], ids[places[j]]))[:k] if not exact else np.lexsort((ids[places], -scores))[:k]
-            found += [(a + i, places[j], int(scores[j])) for j in best]
-    return found
+        certain = np.partition(lower, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        i, j = np.nonzero((upper >= certain[:, None]) & ~own)
+        yield a + i, j, lower[i, j], upper[i, j]
 
 
-def scaled(embeddings: DataFrame, vector: str, scale: float) -> DataFrame:
-    """vec_id and v, floor(scale * x) for every component; vectors that are null or hold null or non-finite components go."""
-    x = F.col(vector)
-    fine = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return embeddings.filter(F.coalesce(fine, F.lit(False))).select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
+def candidates_of(file: DataFrame, asked: DataFrame, edges: dict, k: int, per_block: int, per_group: int) -> DataFrame:
+    """query_id, row, lower, upper: every pair of a block of queries and a block of cells is one group."""
+    blocks, groups = max(1, -(-file.count() // per_block)), max(1, -(-asked.count() // per_group))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, salt, n: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int")
+    right = file.select("dims", dealt("row", 1, blocks).alias("block"), "row", "vec_id", "cells").select("*", numbers(groups).alias("group"))
+    left = asked.select("dims", dealt("vec_id", 2, groups).alias("group"), "vec_id", "v").select("*", numbers(blocks).alias("block"))
+
+    def search(queried, block):
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        dims = queried.column("dims")[0].as_py() if len(queried) else 0
+        if dims and len(block):
+            query_ids, rows, ids = queried.column("vec_id").to_numpy(), block.column("row").to_numpy(), block.column("vec_id").to_numpy()
+            queries = queried.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(query_ids), dims)
+            cells = np.frombuffer(b"".join(block.column("cells").to_pylist()), np.uint8).reshape(len(rows), dims)
+            for i, j, lower, upper in scan(query_ids, queries, ids, cells, *edges[dims], k):
+                for column, values in zip(out, (query_ids[i], rows[j], lower, upper)):
+                    column.append(values)
+        arrays = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        return pa.table({n: pa.array(a.astype(t)) for n, a, t in zip(("query_id", "row", "lower", "upper"), arrays, ("i8", "i8", "f8", "f8"))})
+
+    keys = ["dims", "group", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, row long, lower double, upper double")
+
+
+def exact_scores(pairs: DataFrame, file: DataFrame, asked: DataFrame, in_doubles: bool) -> DataFrame:
+    """query_id, vec_id, score of pairs (query_id, row), from exact vectors."""
+    read = pairs.join(file.select("row", "vec_id", "v"), "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    if in_doubles:
+        score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).cast("long")
+        return read.select("query_id", "vec_id", score.alias("score"))
+    most = (1 << 63) - 1
+
+    def run(batches):
+        for batch in batches:
+            found = [sum(int(a) * int(b) for a, b in zip(q, v)) for q, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([max(-most, min(most, s)) for s in found], pa.int64())], names=["query_id", "vec_id", "score"])
+
+    return read.select("query_id", "vec_id", "q", "v").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def exact_top_k(embeddings: DataFrame, is_query, k: int, scale: float = 64.0, vector: str = "embedding", candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query, ties to the smaller vec_id.
 
-    Every pair of a block of queries and a block of candidates is one group, so that a task holds two blocks and no
-    more; each block hands on k rows a query at most. Vectors of different length are never compared. Rows that
-    repeat a vec_id are candidates of their own, but not of queries with that id; such a query is answered once.
-    Scores must fit 64 bits. An empty table, or one without queries, gives an empty one.
+    1. The file: every vector's cells, a byte a dimension, are written down beside the vectors.
+    2. The scan: blocks of queries against blocks of cells give bounds; what can't be among the k best of its block goes.
+    3. Over all blocks, what can't reach the kth lower bound goes.
+    4. Exact vectors are read in order of their upper bounds: FIRST * k of a query; then all whose bound reaches the kth
+       score of these. The rest is certain not to be among the k best.
+
+    A task holds two blocks and no more. Vectors of different length are never compared. Rows that repeat a vec_id are
+    candidates of their own, but not of queries with that id; such a query is answered once, for the shortest and least of
+    its vectors. Scores beyond 64 bits count as the largest number. An empty table, or one without queries, gives an empty
+    one. Other columns are not read.
     """
     vectors = scaled(embeddings, vector, scale).withColumn("dims", F.size("v"))
-    asked = vectors.filter(is_query).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-vectors.count() // candidates))
-    groups = max(1, -(-asked.count() // queries))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = vectors.select("dims", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v").select("*", numbers(groups).alias("group"))
-    left = asked.select("dims", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)).cast("int").alias("group"), "vec_id", "v").select("*", numbers(blocks).alias("block"))
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return ids[order], flat.reshape(len(ids), -1)[order]
-
-    def search(queried: pa.Table, block: pa.Table) -> pa.Table:
-        columns: list[list] = [[], [], []]
-        if len(queried) and len(block) and queried.column("dims")[0].as_py():
-            (qi, q), (ci, c) = matrix(queried), matrix(block)
-            for i, j, score in block_top(qi, q, ci, c, k):
-                for column, value in zip(columns, (qi[i], ci[j], score)):
-                    column.append(value)
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})
-
-    keys = ["dims", "group", "block"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    # of at most k rows a query and block, the k best: a limit within each task comes before the shuffle
-    from pyspark.sql import Window
-
+    edges = cell_edges(vectors)
+    file = write_file(vectors, edges)
+    asked = file.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("q")).select("vec_id", "q.dims", "q.v")
+    largest = max((float(np.abs(np.r_[low, low + width * CELLS]).max()) ** 2 * n for n, (low, width) in edges.items()), default=0.0)
+    found = shared.materialize(candidates_of(file, asked, edges, k, candidates, queries), "candidates")
+    by_lower, by_upper = (Window.partitionBy("query_id").orderBy(F.desc(c), "row") for c in ("lower", "upper"))
+    kth = found.withColumn("n", F.row_number().over(by_lower)).filter(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.max("n").alias("n"))
+    reach = F.when(F.col("n") == k, F.col("least")).otherwise(F.lit(float("-inf")))
+    open_ = found.join(kth.select("query_id", reach.alias("reach")), "query_id").filter("upper >= reach").select("query_id", "row", "upper", F.row_number().over(by_upper).alias("place"))
+    open_ = shared.materialize(open_, "open")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    first = shared.materialize(exact_scores(open_.filter(F.col("place") <= FIRST * k), file, asked, largest < EXACT), "scores")
+    sure = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k).select("query_id", F.col("score").alias("kth"))
+    rest = open_.filter(F.col("place") > FIRST * k).join(sure, "query_id").filter(F.col("upper") >= F.col("kth"))
+    every = first.unionByName(exact_scores(rest.select("query_id", "row"), file, asked, largest < EXACT))
+    return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
