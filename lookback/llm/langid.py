@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +21,17 @@ EPOCHS, BATCH, RATE, DECAY = 4, 32, 0.2, 1e-4
 #: Different words whose scores a worker keeps. Speed only.
 KEEP = 400_000
 
-# \w takes numbers such as \u00b2 or \u2167 for word characters too: letters are those of category L
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W_{re.escape(_NUMBERS)}]+")
+# \w takes numbers such as \u00b2 or \u2167 for word characters too: letters are those of category L.
+_WORD_CHARACTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    runs = _WORD_CHARACTERS.findall(text)
+    if not runs or "".join(runs).isalpha():
+        return runs
+    return "".join(c if c.isalpha() else " " for c in text).split(" ")
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,7 +50,7 @@ def pieces(run: str) -> list[str]:
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case, long ones in pieces: every letter is in one of the words."""
     low = text.lower()
-    runs, short = LETTERS.findall(low), WIDTH if low.isascii() else WIDTH // 4
+    runs, short = [r for r in letter_runs(low) if r], WIDTH if low.isascii() else WIDTH // 4
     if len(max(runs, key=len, default="")) <= short:
         return runs
     return [w for r in runs for w in ([r] if len(r) <= short else pieces(r))]
