@@ -208,19 +208,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     4. Components of all links.
 
     A document without words or text has an empty set and is linked with nothing. Rows with a null doc_id take no part:
-    they have component_id null and are kept. Rows that repeat a doc_id are one node and get one component; if their
-    texts differ, links of either hold. An empty table gives an empty one. Other columns are not read.
+    they have component_id null and are kept. Rows that repeat a doc_id are one node and get one component: if their
+    texts differ, that of all links of any of them, also where one of them has no words. An empty table gives an empty one. Other columns are not read.
     """
     signed = shared.materialize(signatures(docs, width), "signatures")
     named = signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
     sets = named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     sets = shared.materialize(sets, "classes")
     links = linked_classes(sets, docs.filter("doc_id IS NOT NULL"), width, percent)
-    labels = components(links)
+    # the classes of a doc_id that several rows have are one component
+    texts = named.groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("two")).filter("one < two").select("doc_id")
+    nodes = named.join(texts, "doc_id", "left_semi").select("doc_id", "set_id").distinct().join(sets.select("set_id", "node"), "set_id")
+    same = nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
+    labels = components(links.unionByName(same.distinct()))
     of_class = sets.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("_component"))
     # hot sets: AQE splits the side of many rows
     found = signed.join(of_class, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    # rows without words whose doc_id other rows have
+    bare = signed.filter("set_id IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    other = named.join(bare, "doc_id", "left_semi").join(of_class, "set_id").groupBy("doc_id").agg(F.min("_component").alias("_other"))
+    found = found.join(other, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "_other", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -61,6 +61,13 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = "a b c d e f", "x y z u v w", "k l m n o p"
+    rows = [(5, a, None), (5, b, None), (3, b, None), (9, a, None), (7, c, None), (7, None, None), (8, "", None), (8, " ", None), (2, c, None), (2, None, None)]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (7, 2), (2, 2), (8, 8)}
+
+
 def test_likelihood_is_near_the_similarity():
     import numpy as np
 

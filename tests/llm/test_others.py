@@ -260,6 +260,14 @@ def test_exact_top_k(spark):
     assert vafile.exact_top_k(frame.limit(0), F.col("vec_id") % 20 == 0, 7).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_large_numbers(spark):
+    rows = [(20, [2.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [4.0, 1.0]), (2, [-1.0, 0.0]), (40, [1e15, 1.0]), (3, [])]
+    got = vafile.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3, scale=1.0).collect()
+    by = {q: [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (20, 40)}
+    assert by[20] == [(1, 40, 10**15), (2, 1, 5), (3, 1, 4)]
+    assert by[40] == [(1, 1, 5 * 10**15), (2, 1, 4 * 10**15 + 1), (3, 20, 2 * 10**15)]
+
+
 # licenses
 
 
