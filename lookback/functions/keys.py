@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNIT = "\x1f"
 # Patterns of identifiers in text, characters that end a sentence after a link, and tracking parameters.
@@ -11,7 +13,8 @@ ARXIV = r"(?i)(?:arxiv(?:\.org)?[:/.\s]*(?:(?:abs|pdf)/)?|/(?:abs|pdf|papers)/)(
 DOI = r"""\b10\.\d{4,9}/[^\s)\]>"'<,;]+"""
 REPOSITORY = r"(?i)github\.com/([\w.-]+/[\w.-]+)"
 LINK = r"""https?://[^\s<>"'`)\]]+"""
-TRAILING = ".,;:!?"
+EDGES = " \t\n\r,.;:!?\"'`|[](){}<>*/\\-_=+~^#@$%&"
+SITE = r"\s[|\u2013\u2014-]\s(?:(?!\s[|\u2013\u2014-]\s).){1,80}$"
 TRACKING = r"^(utm_.*|fbclid|gclid|mc_[a-z]+|ref|ref_src|igshid|_hsenc|_hsmi)$"
 
 
@@ -63,42 +66,64 @@ def estimated_tokens(value: Column) -> Column:
 
 
 def gist(text: Column, limit: int = 120) -> Column:
-    """The first `limit` characters, cut back to a word's end where there is one."""
-    head = F.substring(one_line(text), 1, limit)
+    """The first `limit` characters, cut back to a word's end if that is past the middle, without what would hang before the ellipsis."""
+    line = one_line(text)
+    head = F.left(line, F.lit(limit))
     back = F.length(head) - F.locate(" ", F.reverse(head))
-    return F.when(F.length(one_line(text)) <= limit, one_line(text)).when(F.locate(" ", head) > 0, F.concat(F.left(head, back), F.lit("…"))).otherwise(F.concat(head, F.lit("…")))
+    cut = F.when((F.locate(" ", head) > 0) & (back > limit // 2), F.left(head, back)).otherwise(head)
+    return F.when(F.length(line) <= limit, line).otherwise(F.concat(F.regexp_replace(cut, "[ ,;:\u2014-]+$", ""), F.lit("…")))
 
 
 def excerpt(text: Column, start: Column, end: Column, limit: int = 2000) -> Column:
-    """`limit` characters centred on a span, with an ellipsis where text is left out."""
-    room = F.greatest(F.lit(0), F.floor((F.lit(limit) - (end - start)) / 2).cast("int"))
-    low = F.greatest(F.lit(0), F.least(start - room, F.length(text) - limit))
-    body = F.substr(text, low + 1, F.lit(limit))
-    return F.concat(F.when(low > 0, "…").otherwise(""), body, F.when(low + limit < F.length(text), "…").otherwise(""))
+    """A text that fits as it is, else `limit` characters around the middle of a span (the start, where there is none), with
+    an ellipsis where text is left out."""
+    middle = F.floor((F.coalesce(start, F.lit(0)) + F.coalesce(end, F.lit(0))) / 2).cast("int") - limit // 2
+    low = F.greatest(F.lit(0), F.least(middle, F.length(text) - limit))
+    window = F.concat(F.when(low > 0, "… ").otherwise(""), F.substr(text, low + 1, F.lit(limit)), F.when(low + limit < F.length(text), " …").otherwise(""))
+    return F.when(F.length(text) <= limit, text).otherwise(window)
 
 
 def citations(text: Column) -> Column:
-    """The different n of [n] in a text, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: n.cast("int"))))
+    """The different n of [n] in a text, ascending; numbers beyond 18 digits name no claim and aren't listed."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: n.try_cast("long"))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda n: n.isNotNull())))
 
 
 def check_citations(text: Column, claims: Column) -> Column:
-    """The text without citations beyond its claims, and without the space they leave before punctuation."""
-    wrong = F.filter(citations(text), lambda n: (n < 1) | (n > claims))
-    cut = F.aggregate(wrong, text, lambda t, n: F.replace(t, F.concat(F.lit("["), n.cast("string"), F.lit("]"))))
-    return F.trim(F.regexp_replace(F.regexp_replace(cut, " {2,}", " "), r" ([.,;:])", "$1"))
+    """struct(text, dropped): without citations of no claim and the holes they leave, and the numbers dropped, in order.
 
+    Numbers are dropped by their digits, so that [007] and [99999999999999999999] are too; the latter is no number that
+    fits and counts as -1.
+    """
+    digits = F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1))
+    wrong = F.filter(digits, lambda d: ~F.coalesce(d.try_cast("long").between(1, claims), F.lit(False)))
+    cut = F.aggregate(F.array_distinct(wrong), text, lambda t, d: F.replace(t, F.concat(F.lit("["), d, F.lit("]"))))
+    tidy = F.regexp_replace(F.regexp_replace(cut, r"[ \t]{2,}", " "), "[ \t]+([\u3001\u3002\uff09\uff0c\uff0e)\\]])", "$1")
+    return F.struct(F.trim(tidy).alias("text"), F.transform(wrong, lambda d: F.coalesce(d.try_cast("long"), F.lit(-1))).alias("dropped"))
 
-def slug(title: Column) -> Column:
-    """ASCII words joined by hyphens; a stamp where there are none."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(words == "", F.concat(F.lit("q-"), stamp(title, 8))).otherwise(words)
+
+@F.pandas_udf(StringType())
+def ascii_of(text: pd.Series) -> pd.Series:
+    """ASCII letters of a text whose marks are split off (NFKD), in lower case."""
+    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.lower()
+
+
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """NFKC and case folding."""
+    return text.str.normalize("NFKC").str.casefold()
+
+
+def slug(title: Column, limit: int = 40) -> Column:
+    """ASCII words joined by hyphens, at most `limit` characters; a stamp where there are none."""
+    words = F.regexp_replace(F.regexp_replace(ascii_of(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(words == "", F.concat(F.lit("q-"), stamp(title, 8))).otherwise(F.regexp_replace(F.left(words, F.lit(limit)), "^-+|-+$", ""))
 
 
 def clean_query(text: Column) -> Column:
-    """A searchable query: one line without quotes and brackets; null if it has under 3 characters, a {template} or no word."""
-    line = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\"()\[\]]", " "), r"\s+", " "))
-    return F.when((F.length(line) >= 3) & ~F.rlike(line, F.lit(r"[{}]")) & F.rlike(line, F.lit(r"\w")), line)
+    """A searchable query: one line without punctuation at its edges; null under 3 characters, with a template token or without a word."""
+    line = F.btrim(one_line(text), F.lit(EDGES))
+    return F.when(~F.contains(text, F.lit("<|")) & (F.length(line) >= 3) & F.rlike(line, F.lit("[0-9A-Za-z\u3041-\u309f\u30a0-\u30ff\u4e00-\u9fff]")), line)
 
 
 def strip_tags(html: Column) -> Column:
@@ -121,15 +146,19 @@ def main_text(html: Column, limit: int = 4000) -> Column:
 
 
 def normalize_url(raw: Column) -> Column:
-    """Host, path and query in lower case: no scheme, www., fragment, trailing slash or tracking parameters; the others sorted."""
+    """Host, path and query in lower case: no scheme, www., fragment, trailing slash or tracking parameters; the others are
+    decoded, sorted by name and value, and encoded anew."""
     whole = F.regexp_replace(raw, "[.,;:!?]+$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
     query = F.regexp_extract(whole, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.rlike(F.lower(F.substring_index(p, "=", 1)), F.lit(TRACKING))))
-    pairs = F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
-    tail = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit(""))
-    return F.when(host != "", F.lower(F.concat(host, path, tail)))
+    decoded = lambda c: F.coalesce(F.try_url_decode(c), c)
+    encoded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substr(p, F.locate("=", p) + 1)).otherwise(F.lit(""))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(value(p)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.rlike(F.lower(p["k"]), F.lit(TRACKING))))
+    tail = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
+    return F.when(host != "", F.lower(F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), tail)).otherwise(F.lit("")))))
 
 
 def keys_of_text(text: Column) -> Column:
@@ -142,17 +171,94 @@ def keys_of_text(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(arxiv, doi, gh, url)))
 
 
-def paper_key(text: Column, url: Column) -> Column:
-    """One key for a work: the least of its arxiv keys, else doi, gh, url, else url: and its address in lower case."""
-    keys = keys_of_text(text)
+def paper_key(url: Column, adapter: Column | None = None) -> Column:
+    """One key for a work, from its address: the least of its arxiv keys, else doi, gh, url, else url: and the address in
+    lower case. An anchor on a page of a feed stays: each item of the page is a work."""
+    keys = keys_of_text(url)
     least = lambda prefix: F.array_min(F.filter(keys, lambda k: F.startswith(k, F.lit(prefix))))
-    return F.coalesce(*map(least, ("arxiv:", "doi:", "gh:", "url:")), F.concat(F.lit("url:"), F.lower(url)))
+    anchor = F.lower(F.regexp_extract(url, "#(.+)$", 1))
+    page = least("url:")
+    if adapter is not None:
+        page = F.when((adapter == "feed") & (anchor != ""), F.concat(page, F.lit("#"), anchor)).otherwise(page)
+    return F.coalesce(*map(least, ("arxiv:", "doi:", "gh:")), page, F.concat(F.lit("url:"), F.lower(url)))
 
 
 def title_key(title: Column, least: int = 30, suffix: Column | None = None) -> Column:
-    """Lower-case words of a title; where suffix holds, without a site's name after the last separator if enough is left."""
-    low = F.lower(title)
+    """Words of a title after NFKC and case folding; where suffix holds, without a site's name after the last spaced bar or
+    dash if enough is left."""
+    low = folded(title)
     words = lambda c: F.array_join(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), " ")
-    head = F.regexp_replace(low, r"\s+[-|–—]\s+[^-|–—]*$", "")
+    head = F.regexp_replace(low, SITE, "")
     long = F.length(F.regexp_replace(head, r"[^\p{L}\p{N}_]+", "")) >= least
     return words(low) if suffix is None else F.when(suffix & long, words(head)).otherwise(words(low))
+
+
+def arxiv_id(url: Column) -> Column:
+    """The arXiv id in an abs or pdf address, without its version."""
+    tail = F.regexp_extract(url, r"/(?:abs|pdf)/([^?]*)", 1)
+    return F.nullif(F.substring_index(F.regexp_replace(tail, r"\.pdf$", ""), "v", 1), F.lit(""))
+
+
+def recommender_id(url: Column) -> Column:
+    """ARXIV:id or DOI:name of an address, or null."""
+    doi = F.substr(url, F.locate("doi.org/", url) + 8)
+    return F.when(arxiv_id(url).isNotNull(), F.concat(F.lit("ARXIV:"), arxiv_id(url))).when(F.contains(url, F.lit("doi.org/")), F.concat(F.lit("DOI:"), doi))
+
+
+def cited_work(url: Column) -> Column:
+    """A work's own id, else doi: and its name, arXiv papers by the name that they are registered under; or null."""
+    doi = F.substr(url, F.locate("doi.org/", url) + 8)
+    return (
+        F.when(F.contains(url, F.lit("openalex.org/")), F.substring_index(url, "/", -1))
+        .when(F.contains(url, F.lit("doi.org/")), F.concat(F.lit("doi:"), doi))
+        .when(arxiv_id(url).isNotNull(), F.concat(F.lit("doi:10.48550/arXiv."), arxiv_id(url)))
+    )
+
+
+def best_match(text: Column, probe: Column) -> Column:
+    """struct(start, end), from 0, of the longest word of a probe (over three characters, the first of equal ones by value) that a text has."""
+    words = F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(probe), r"\s+", " ")), " "), lambda w: F.length(w) > 3))
+    ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    low = F.lower(text)
+    found = F.try_element_at(F.filter(ranked, lambda x: F.contains(low, x["w"])), F.lit(1))["w"]
+    return F.when(found.isNotNull(), F.struct((F.position(found, low) - 1).alias("start"), (F.position(found, low) - 1 + F.length(found)).alias("end")))
+
+
+def paragraphs(text: Column, marks: tuple[str, ...]) -> Column:
+    """struct(evidence, inference): the paragraphs that no mark begins, joined again, and the list of those that one does."""
+    parts = F.split(text, "\n\n")
+    marked = lambda p: F.rlike(p, F.lit(r"^\s*(?:" + "|".join(rf"\Q{m}\E" for m in marks) + ")"))
+    return F.struct(F.array_join(F.filter(parts, lambda p: ~marked(p)), "\n\n").alias("evidence"), F.filter(parts, marked).alias("inference"))
+
+
+def cited_claims(paragraph: Column, claims: Column) -> Column:
+    """The claims that a paragraph cites, all if it cites none."""
+    cited = F.filter(F.transform(citations(paragraph), lambda n: F.try_element_at(claims, n.cast("int"))), lambda c: c.isNotNull())
+    return F.when(F.size(citations(paragraph)) == 0, claims).otherwise(cited)
+
+
+def failure_kind(detail: Column) -> Column:
+    """The kind in `<status> <kind>: <message>`; null for a text of another shape. The message isn't read."""
+    return F.nullif(F.regexp_extract(detail, r"^\d+ (rate_limit|forbidden|not_acceptable|error):", 1), F.lit(""))
+
+
+def status_kind(status: Column, retry_after: Column, remaining: Column) -> Column:
+    """Why a request was refused: a spent budget looks like a refusal but for its headers."""
+    spent = F.coalesce(F.length(retry_after) > 0, F.lit(False)) | F.coalesce(remaining == "0", F.lit(False))
+    return F.when((status == 403) & spent, "rate_limit").when(status == 403, "forbidden").when(status == 406, "not_acceptable").when(status == 429, "rate_limit").otherwise("error")
+
+
+def usage_price(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
+    """What a call cost, at prices for a million tokens."""
+    return (tokens_in * price_in + tokens_out * price_out) / 1_000_000
+
+
+def query_line(line: Column) -> Column:
+    """struct(adapter, query) of `adapter: query`; null without a colon or a query."""
+    query = F.trim(F.substr(line, F.locate(":", line) + 1))
+    return F.when((F.locate(":", line) > 1) & (query != ""), F.struct(F.lower(F.trim(F.substring_index(line, ":", 1))).alias("adapter"), query.alias("query")))
+
+
+def presented(prose: Column) -> Column:
+    """How many studies a text presents: lines that begin with a bold name."""
+    return F.regexp_count(prose, F.lit(r"(?m)^\s*(?:[-*] )?\*\*[^*\n]+\*\*"))

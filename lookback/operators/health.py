@@ -48,5 +48,33 @@ def dense(observed: DataFrame, groups: DataFrame, days: DataFrame, keys: list[st
     return groups.crossJoin(F.broadcast(days)).join(observed, keys, "left")
 
 
+def listing_quiet(at: Column, holidays: list[str]) -> Column:
+    """A listing fetched at a time (UTC) is empty: its day, by a fixed UTC-5, is at a weekend or the day after a holiday."""
+    day = F.to_date(at - F.expr("INTERVAL 5 HOURS"))
+    after = F.date_sub(day, 1).isin(*[F.lit(h).cast("date") for h in holidays]) if holidays else F.lit(False)
+    return weekend(day) | after
+
+
+def daily_quiet(at: Column) -> Column:
+    """A list of the UTC day before is empty if that is at a weekend."""
+    return weekend(F.date_sub(F.to_date(at), 1))
+
+
+def caveats(cells: DataFrame, part: str, group: list[str]) -> DataFrame:
+    """group, doubted (lines in doubt), worst status, some: whether any doubted line has a part of the sum beside which it stands.
+
+    cells: line, status, and part, what the line adds to the sum.
+    """
+    doubted = cells.filter(F.col("status").isin(*FAILURES))
+    rank = F.array_position(F.array(*map(F.lit, FAILURES)), F.col("status"))
+    found = doubted.groupBy(*group).agg(F.count_distinct("line").alias("doubted"), F.min(rank).alias("_r"), F.bool_or(F.col(part) > 0).alias("some"))
+    return found.select(*group, "doubted", F.element_at(F.array(*map(F.lit, FAILURES)), F.col("_r").cast("int")).alias("worst"), "some")
+
+
+def status_counts(cells: DataFrame, group: list[str]) -> DataFrame:
+    """group, status, n, and the first day that gave the status."""
+    return cells.groupBy(*group, "status").agg(F.count("*").alias("n"), F.min("day").alias("first_day"))
+
+
 def weekend(day: Column) -> Column:
     return F.weekday(day) >= 5

@@ -16,11 +16,14 @@ def used_verdicts(marks: DataFrame, sightings: DataFrame, mark: list[str], key:
 
     marks: surfaced_on, observed_from; sightings: first_seen, baseline, unsure. A sighting by the surfacing day, or a
     baseline or unsure one, leaves it unknown; one within the window is use; an open window is pending; a scan that began
-    inside the window leaves an unseen mark unknown. Sightings are summed up by mark after an equi-join on the key.
+    inside the window leaves an unseen mark unknown. Sightings are summed up by key before the join, so that a key meets its marks
+    as one row.
     """
-    joined = marks.join(sightings, key, "left").groupBy(*mark, *key, "surfaced_on", "observed_from")
-    before = F.coalesce(F.bool_or(F.coalesce("baseline", F.lit(False)) | F.coalesce("unsure", F.lit(False)) | (F.col("first_seen") <= F.col("surfaced_on"))), F.lit(False))
-    summed = joined.agg(before.alias("_before"), F.min("first_seen").alias("_seen"))
+    flagged = F.coalesce("baseline", F.lit(False)) | F.coalesce("unsure", F.lit(False))
+    each = sightings.groupBy(*key).agg(F.min("first_seen").alias("_seen"), F.bool_or(flagged).alias("_flag"))
+    joined = marks.join(each, key, "left").groupBy(*mark, *key, "surfaced_on", "observed_from")
+    summed = joined.agg(F.min("_seen").alias("_seen"), F.coalesce(F.bool_or("_flag"), F.lit(False)).alias("_flag"))
+    summed = summed.withColumn("_before", F.col("_flag") | F.coalesce(F.col("_seen") <= F.col("surfaced_on"), F.lit(False)))
     closes = F.date_add("surfaced_on", window)
     used = F.coalesce(F.col("_seen") <= closes, F.lit(False))
     verdict = F.when(F.col("_before"), "unknown").when(used, "used").when(today < closes, "pending").when(F.col("observed_from") > F.col("surfaced_on"), "unknown").otherwise("unused")
@@ -45,4 +48,4 @@ def retries(fetched: DataFrame, judged: DataFrame, open_questions: DataFrame, ke
     """What was fetched within days and not judged since, for questions still open: the oldest first."""
     recent = fetched.filter((F.datediff(today, F.col(day)) >= 0) & (F.datediff(today, F.col(day)) <= days))
     waiting = recent.join(judged.select(key).distinct(), key, "left_anti").join(open_questions.select(question).distinct(), question, "left_semi")
-    return waiting.orderBy(day, key).limit(most)
+    return waiting.orderBy(day, key, *[c for c in waiting.columns if c not in (day, key)]).limit(most)

@@ -41,9 +41,8 @@ def slots(claims: DataFrame, run: list[str], question: str, per_question: Column
 
 
 def upper_median(value: str) -> Column:
-    """The middle value, the upper one of two."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+    """The middle value, the upper one of two: the discrete median from above, which keeps counts by value, not rows."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def jitter(answers: DataFrame, key: list[str], asked_at: str, before: str, again: str, cut: float) -> DataFrame:
@@ -66,12 +65,76 @@ def stuck_stage(steps: DataFrame, key: str, step: str, order: list[str]) -> Data
     return seen.select(key, first.alias("stuck_at"))
 
 
-def bootstrap(diffs: DataFrame, key: str, diff: str, reps: int = 2000, seed: str = "bootstrap", confidence: float = 0.95) -> DataFrame:
-    """mean, low, high of the sum of a bounded list of paired differences, resampled reps times by hashed places."""
-    listed = diffs.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, diff))), lambda x: x[diff].cast("double")).alias("ds"))
+def bootstrap(diffs: DataFrame, key: str, diff: str, reps: int = 2000, seed: str = "bootstrap", confidence: float = 0.95, bound: int = 100_000) -> DataFrame:
+    """mean of the paired differences, low and high of the means of `reps` resamples by hashed places.
+
+    The list is sent to every task; more than `bound` differences are an error.
+    """
+    if diffs.limit(bound + 1).count() > bound:
+        raise ValueError("more differences than are sent to every task")
+    listed = diffs.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, diff))), lambda x: x[diff].cast("double")).alias("ds"), F.avg(diff).alias("mean"))
     rounds = diffs.sparkSession.range(reps).withColumnRenamed("id", "rep")
     place = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), i), F.size("ds")) + 1).cast("int")
     total = F.aggregate(F.transform("ds", lambda d, i: F.element_at("ds", place(i))), F.lit(0.0), lambda a, x: a + x)
-    tail = (1 - confidence) / 2
-    sums = rounds.crossJoin(F.broadcast(listed)).select(total.alias("total"))
-    return sums.agg(F.avg("total").alias("mean"), F.percentile("total", F.lit(tail)).alias("low"), F.percentile("total", F.lit(1 - tail)).alias("high"))
+    tail, order = (1 - confidence) / 2, Window.orderBy("m")  # reps rows
+    means = rounds.crossJoin(F.broadcast(listed)).select("mean", (total / F.size("ds")).alias("m")).withColumn("n", F.row_number().over(order) - 1)
+    at = lambda share: F.max(F.when(F.col("n") == min(reps - 1, int(share * reps)), F.col("m")))
+    return means.agg(F.max("mean").alias("mean"), at(tail).alias("low"), at(1 - tail).alias("high"))
+
+
+def drift(before: Column, after: Column) -> Column:
+    """The greatest change of a probability over the outcomes of an answer (maps from outcome to probability)."""
+    change = F.map_zip_with(before, after, lambda _, a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))))
+    return F.array_max(F.map_values(change))
+
+
+def used_rate(marks: DataFrame, by: list[str]) -> DataFrame:
+    """by, a count of each verdict, and rate: used of those decided; null where none is."""
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    verdicts = ("used", "unused", "pending", "unknown")
+    counts = marks.groupBy(*by) if by else marks
+    return counts.agg(*[n(v).alias(v) for v in verdicts], F.try_divide(n("used"), n("used") + n("unused")).alias("rate"))
+
+
+def groups_of_lines(lines: DataFrame, line: str, free: str, slots: str, values: list[str], bound: float = 0.3) -> DataFrame:
+    """group (all, slot, supply) and the sums of values: all lines, those whose free share of slots is at most `bound`, and the
+    others that have slots. A line counts for each of its groups; what is summed is one row a line."""
+    share = F.try_divide(F.col(free), F.col(slots))
+    kinds = F.array(F.lit("all"), F.when(share <= bound, "slot").when(share > bound, "supply"))
+    each = lines.withColumn("group", F.explode(kinds)).filter("group IS NOT NULL")
+    return each.groupBy("group").agg(F.count(line).alias("lines"), *[F.sum(v).alias(v) for v in values])
+
+
+def reasons(rows: DataFrame, reason: str) -> DataFrame:
+    """reason, n, place: the most frequent first, then by text."""
+    counts = rows.groupBy(reason).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), reason)))  # one row a reason
+
+
+def self_check(replayed: DataFrame, recorded: DataFrame, day: str, key: list[str]) -> DataFrame:
+    """day, missed (recorded, not replayed), extra (replayed, not recorded)."""
+    a, b = replayed.select(day, *key).distinct().withColumn("_a", F.lit(1)), recorded.select(day, *key).distinct().withColumn("_b", F.lit(1))
+    both = a.join(b, [day, *key], "full")
+    return both.groupBy(day).agg(F.count_if(F.col("_a").isNull()).alias("missed"), F.count_if(F.col("_b").isNull()).alias("extra"))
+
+
+def rotation_estimate(yields: DataFrame, query: str, order: str, fresh: str, sends: DataFrame, keep: int = 5) -> DataFrame:
+    """One row: expected, variance: over queries, sends a run times the mean yield of its last `keep` sends; half a find more
+    stands for none in the variance of a count."""
+    last = yields.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(order)))).filter(F.col("_r") <= keep)
+    means = last.groupBy(query).agg(F.avg(fresh).alias("_mean"), F.sum(fresh).alias("_sum"), F.count("*").alias("_n"))
+    each = means.join(sends, query)
+    spread = F.pow(F.col("sends") / F.col("_n"), F.lit(2.0)) * F.greatest(F.col("_sum"), F.lit(0.5))
+    return each.agg(F.sum(F.col("sends") * F.col("_mean")).alias("expected"), F.sum(spread).alias("variance"))
+
+
+def boundary(found: DataFrame, key: str, arm: str, p: str, cut: float, within: float = 0.1) -> DataFrame:
+    """key, arm, best: what only one arm found, by its greatest probability, where that is below cut + within."""
+    each = found.groupBy(key).agg(F.max(p).alias("best"), F.min(arm).alias("arm"), F.max(arm).alias("_other"))
+    return each.filter((F.col("arm") == F.col("_other")) & (F.col("best") < cut + within)).select(key, "arm", "best")
+
+
+def delays(found: DataFrame, first: str, seen: str) -> DataFrame:
+    """One row: median days from what was first possible to what was, and how many came late."""
+    d = F.datediff(first, seen)
+    return found.agg(F.median(d).alias("median_days"), F.count_if(d > 0).alias("late"))

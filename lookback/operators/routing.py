@@ -97,6 +97,68 @@ def supported(source_text: Column, claim: Column, p_support: Column, policy: Pol
     return F.contains(plain(source_text), plain(claim)) | F.coalesce(p_support >= policy.support, F.lit(False))
 
 
+def accept_screen(gates_pass: Column, score: Column, policy: Policy) -> Column:
+    """The screening's own verdict: no band and no certainty, unlike route."""
+    return F.struct((gates_pass & (score >= policy.keep)).alias("accept"), score.alias("score"))
+
+
+def review_reason(score: Column, sure: Column, policy: Policy) -> Column:
+    """borderline below the cut, else low-certainty."""
+    return F.when(score < policy.keep, F.format_string("borderline %.2f < %.2f", score, F.lit(policy.keep))).otherwise(F.format_string("low certainty %.2f < %.2f", sure, F.lit(policy.min_certainty)))
+
+
+def bridge(p: Column, policy: Policy) -> Column:
+    return F.struct((p >= policy.bridge).alias("accept"), p.alias("score"))
+
+
+def novelty_verdict(decisions: Column) -> Column:
+    """novel, duplicate or unjudged from a claim's decisions for its questions: one rejection is a duplicate, none unjudged is novel."""
+    return F.when(F.array_contains(decisions, "reject"), "duplicate").when(F.array_contains(decisions, "unjudged"), "unjudged").otherwise("novel")
+
+
+def moved(position: Column, policy: Policy) -> Column:
+    return F.struct((position >= policy.novelty).alias("accept"), position.alias("score"))
+
+
+def all_axes(*positions: Column, least: float = 0.5) -> Column:
+    """Every axis reaches the threshold; the score is the least, null where one is missing."""
+    there = F.greatest(*[p.isNull() for p in positions])
+    low = F.when(~there, F.least(*positions))
+    return F.struct((low >= least).alias("accept"), low.alias("score"))
+
+
+def report_rubric(readability: Column, coherence: Column, unsupported: Column, least: float = 0.5, most: float = 0.7) -> Column:
+    there = readability.isNotNull() & coherence.isNotNull() & unsupported.isNotNull()
+    accept = (readability >= least) & (coherence >= least) & (unsupported < most)
+    return F.struct(accept.alias("accept"), F.when(there, F.least(readability, coherence, 1 - unsupported)).alias("score"))
+
+
+def fidelity(exceeds: Column, most: float = 0.7) -> Column:
+    return F.struct((exceeds < most).alias("accept"), (1 - exceeds).alias("score"))
+
+
+def health_reasons(run: dict[str, Column], unjudged_share: float = 0.5) -> Column:
+    """The reasons for which a line's run is degraded, most actionable first; none is healthy.
+
+    run: writer_refused, failed_drafts, drafts, unverified, failed_pairs, pairs, questions, claims, review, cited,
+    previous_cited (null: no earlier report), failed_fetches (a list), capped.
+    """
+    c = run
+    share = F.try_divide(c["failed_pairs"], c["pairs"])
+    asked = c["questions"] > 0
+    listed = F.array(
+        F.when(c["writer_refused"], F.lit("writer refused")),
+        F.when(c["failed_drafts"] > 0, F.format_string("prose failed %d/%d drafts", c["failed_drafts"], c["drafts"])),
+        F.when(c["unverified"] > 0, F.format_string("prose unverified in %d section(s)", c["unverified"])),
+        F.when(share >= unjudged_share, F.format_string("unjudged %d/%d pairs", c["failed_pairs"], c["pairs"])),
+        F.when(asked & (c["claims"] == 0) & (c["review"] == 0), F.lit("empty note (no claim, no review)")),
+        F.when(asked & (c["cited"] == 0) & (c["previous_cited"] == 0), F.lit("no citation 2 runs in a row")),
+        F.when(F.size(c["failed_fetches"]) > 0, F.concat(F.lit("fetch failed: "), F.array_join(F.array_distinct(c["failed_fetches"]), ", "))),
+        F.when(c["capped"], F.lit("cost cap reached (partial note)")),
+    )
+    return F.filter(listed, lambda r: r.isNotNull())
+
+
 def decide(score: Column, accept: Column, failed: Column) -> Column:
     """accept, reject or unjudged; a failed or missing judgment is never an acceptance."""
     return F.when(failed | accept.isNull() | score.isNull(), "unjudged").when(accept, "accept").otherwise("reject")

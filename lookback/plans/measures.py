@@ -92,7 +92,7 @@ def reported_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", keys.paper_key(F.col("url"), F.col("url")).alias("key"), keys.gist(keys.strip_tags(F.col("html"))).alias("gist"), keys.slug(keys.page_title(F.col("html"))).alias("slug"))
+    return rows.select("page_id", keys.paper_key(F.col("url")).alias("key"), keys.gist(keys.strip_tags(F.col("html"))).alias("gist"), keys.slug(keys.page_title(F.col("html"))).alias("slug"))
 
 
 @query()

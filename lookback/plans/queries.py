@@ -178,14 +178,14 @@ def within_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 # joins
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS surfaced_on FROM orders WHERE o_orderkey % 5 = 0), s AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS first_seen, o_orderkey % 7 = 0 AND o_orderkey % 11 = 0 AS baseline FROM orders WHERE o_orderkey % 5 = 1),
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS surfaced_on FROM orders WHERE o_orderstatus <> 'F'), s AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS first_seen, o_totalprice > 400000 AS baseline FROM orders WHERE o_orderstatus = 'F'),
  j AS (SELECT o.o_orderkey, o.surfaced_on, coalesce(bool_or(s.baseline OR s.first_seen <= o.surfaced_on), false) AS b, min(s.first_seen) AS seen FROM o LEFT JOIN s ON o.o_custkey = s.o_custkey GROUP BY 1, 2)
 SELECT o_orderkey, surfaced_on, CASE WHEN b THEN 'unknown' WHEN seen <= surfaced_on + 30 THEN 'used' WHEN DATE '1998-06-01' < surfaced_on + 30 THEN 'pending' ELSE 'unused' END AS verdict,
  CASE WHEN NOT b AND seen <= surfaced_on + 30 THEN seen END AS seen_on FROM j""")
 def used_within_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
-    marks = orders.filter("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey", F.col("day").alias("surfaced_on"), F.col("day").alias("observed_from"))
-    seen = orders.filter("o_orderkey % 5 = 1").select("o_custkey", F.col("day").alias("first_seen"), F.expr("o_orderkey % 7 = 0 AND o_orderkey % 11 = 0").alias("baseline"), F.lit(False).alias("unsure"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("day"))
+    marks = orders.filter("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey", F.col("day").alias("surfaced_on"), F.col("day").alias("observed_from"))
+    seen = orders.filter("o_orderstatus = 'F'").select("o_custkey", F.col("day").alias("first_seen"), F.expr("o_totalprice > 400000").alias("baseline"), F.lit(False).alias("unsure"))
     return joins.used_verdicts(marks, seen, ["o_orderkey"], ["o_custkey"], F.lit("1998-06-01").cast("date")).drop("o_custkey")
 
 
@@ -210,15 +210,14 @@ def withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query(EVENTS + """SELECT event_id, user_id, day FROM e WHERE event_type = 'view' AND day <= DATE '2024-01-20' AND DATE '2024-01-20' - day <= 14 AND k NOT IN (SELECT k FROM e WHERE event_type = 'error' AND k % 2 = 0)
- AND user_id IN (SELECT user_id FROM e WHERE event_type = 'signup') ORDER BY day, event_id LIMIT 40""")
+@query(EVENTS + """SELECT event_id, user_id, day FROM e WHERE event_type = 'view' AND day <= DATE '2024-01-20' AND DATE '2024-01-20' - day <= 14 AND k NOT IN (SELECT k FROM e WHERE event_type = 'error')
+ AND user_id IN (SELECT user_id FROM e WHERE event_type = 'signup') ORDER BY day, k, event_id LIMIT 40""")
 def retry_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     waiting = e.filter("event_type = 'view'")
-    judged = e.filter("event_type = 'error' AND k % 2 = 0").select("k")
-    recent = waiting.join(judged.distinct(), "k", "left_anti")
-    none = recent.select("event_id").limit(0)
-    return joins.retries(recent, none, e.filter("event_type = 'signup'"), "event_id", "user_id", "day", F.lit("2024-01-20").cast("date")).select("event_id", "user_id", "day")
+    judged = e.filter("event_type = 'error'").select("k")
+    found = joins.retries(waiting, judged, e.filter("event_type = 'signup'"), "k", "user_id", "day", F.lit("2024-01-20").cast("date"))
+    return found.select("event_id", "user_id", "day")
 
 
 # probabilities and routing
@@ -315,23 +314,31 @@ def chao2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("found", "once", "twice", "units", F.round("x.estimate", 4).alias("estimate"), F.round("x.variance", 3).alias("variance"), F.round("x.low", 4).alias("low"), F.round("x.high", 4).alias("high"))
 
 
-@query(EVENTS + """, d AS (SELECT day, CAST(count(*) FILTER (event_type = 'click') - count(*) FILTER (event_type = 'view') AS DOUBLE) AS d FROM e WHERE day < DATE '2024-01-13' GROUP BY day),
- o AS (SELECT day, d, row_number() OVER (ORDER BY day) - 1 AS i FROM d), s AS (SELECT sum(d) AS total, count(*) AS days, stddev_samp(d) AS sd FROM d),
- f AS (SELECT pattern, sum(CASE WHEN (pattern >> i) & 1 = 1 THEN -d ELSE d END) AS x FROM o, range(0, 4096) r(pattern) GROUP BY pattern)
-SELECT total, days, round(total - 2.201 * sd * sqrt(days), 4) AS low, round(total + 2.201 * sd * sqrt(days), 4) AS high, round((SELECT avg(CASE WHEN abs(x) >= abs(total) - 1e-9 * greatest(1.0, abs(total)) THEN 1.0 ELSE 0.0 END) FROM f, s), 6) AS p FROM s""")
+@query()
 def paired_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    d = events(spark, sf_dir).filter(F.col("day") < "2024-01-13").groupBy("day").agg((F.count_if(kind == "click") - F.count_if(kind == "view")).alias("delta"))
+    d = events(spark, sf_dir).groupBy("day").agg((F.count_if(kind == "click") - F.count_if(kind == "view")).alias("delta"))
     found = statistics.paired_difference(d, "day", "delta")
     return found.select("total", "days", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("p", 6).alias("p"))
 
 
-@query(PAIRS + """, j AS (SELECT abs(trust - method) / 4 AS x FROM p WHERE doc_id % 3 = 0), m AS (SELECT abs(on_topic - 0.5) AS x FROM p WHERE doc_id % 3 = 1)
-SELECT round(sum((SELECT count(*) FROM j WHERE j.x >= m.x) / CAST((SELECT count(*) FROM j) AS DOUBLE)), 4) AS flips FROM m""")
+@query(EVENTS + """, d AS (SELECT isodow(day) AS w, CAST(count(*) FILTER (event_type = 'click') - count(*) FILTER (event_type = 'view') AS DOUBLE) AS d FROM e GROUP BY 1),
+ o AS (SELECT w, d, row_number() OVER (ORDER BY w) - 1 AS i FROM d), s AS (SELECT sum(d) AS total, count(*) AS days, stddev_samp(d) AS sd FROM d),
+ f AS (SELECT pattern, sum(CASE WHEN (pattern >> i) & 1 = 1 THEN -d ELSE d END) AS x FROM o, range(0, 128) r(pattern) GROUP BY pattern)
+SELECT total, days, round(total - 2.447 * sd * sqrt(days), 4) AS low, round(total + 2.447 * sd * sqrt(days), 4) AS high, round((SELECT avg(CASE WHEN abs(x) >= abs(total) - 1e-9 * greatest(1.0, abs(total)) THEN 1.0 ELSE 0.0 END) FROM f, s), 6) AS p FROM s""")
+def paired_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    d = events(spark, sf_dir).groupBy((F.weekday("day") + 1).alias("w")).agg((F.count_if(kind == "click") - F.count_if(kind == "view")).alias("delta"))
+    found = statistics.paired_difference(d, "w", "delta")
+    return found.select("total", "days", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("p", 6).alias("p"))
+
+
+@query(PAIRS + """, v AS (SELECT abs(trust - method) / 4 AS x, 1 AS c, 0 AS i FROM p UNION ALL SELECT abs(on_topic - 0.5), 0, 1 FROM p), w AS (SELECT i, sum(c) OVER (ORDER BY x DESC RANGE UNBOUNDED PRECEDING) AS reach FROM v)
+SELECT round(sum(reach) / CAST((SELECT count(*) FROM p) AS DOUBLE), 4) AS flips FROM w WHERE i = 1""")
 def flips_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
-    jitter = p.filter("doc_id % 3 = 0").select((F.abs(F.col("trust") - F.col("method")) / 4).alias("x"))
-    margins = p.filter("doc_id % 3 = 1").select(F.abs(F.col("on_topic") - 0.5).alias("m"))
+    jitter = p.select((F.abs(F.col("trust") - F.col("method")) / 4).alias("x"))
+    margins = p.select(F.abs(F.col("on_topic") - 0.5).alias("m"))
     return statistics.expected_flips(margins, "m", jitter, "x").select(F.round("flips", 4).alias("flips"))
 
 
@@ -373,12 +380,13 @@ def window_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URL = r"""lower(regexp_replace(lower(regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') ||
- CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END)"""
+ CASE WHEN len(q) > 0 THEN '?' || array_to_string([replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+') for x in q], '&') ELSE '' END)"""
+QUERY = rf"""WITH u AS (SELECT page_id, html, regexp_replace(url, '[.,;:!?]+$', '') AS w FROM pages),
+ q AS (SELECT *, list_sort([x for x in [{{'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': CASE WHEN contains(p, '=') THEN url_decode(replace(substr(p, strpos(p, '=') + 1), '+', ' ')) ELSE '' END}}
+   for p in string_split(regexp_extract(w, '^[^?#]*\?([^#]*)', 1), '&') if p <> ''] if NOT regexp_matches(lower(x.k), '{keys.TRACKING}')]) AS q FROM u)"""
 
 
-@query(rf"""WITH u AS (SELECT page_id, regexp_replace(url, '[.,;:!?]+$', '') AS w FROM pages),
- q AS (SELECT *, list_sort([CASE WHEN contains(p, '=') THEN p ELSE p || '=' END for p in string_split(regexp_extract(w, '^[^?#]*\?([^#]*)', 1), '&') if p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '{keys.TRACKING}')]) AS q FROM u)
-SELECT page_id, {URL} AS address FROM q""")
+@query(QUERY + f" SELECT page_id, {URL} AS address FROM q")
 def normalized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", keys.normalize_url(F.col("url")).alias("address"))
 
@@ -418,9 +426,12 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "document", F.round("score", 6).alias("score"), "place")
 
 
-@query("""WITH t AS (SELECT doc_id, coalesce(nullif(array_to_string(regexp_extract_all(lower(left(text, 60)), '([\\p{L}\\p{N}_]+)', 1), ' '), ''), CAST(doc_id AS VARCHAR)) AS title, length(text) AS n, source = 'src0' AS p, source FROM documents)
-SELECT title, arg_max(doc_id, (CAST(p AS INT), n, -doc_id)) AS kept, count(*) AS copies, array_to_string(list_sort(list_distinct(list(source))), ',') AS topics FROM t GROUP BY title""".replace("\\\\", "\\"))
+TITLE = r"array_to_string(regexp_extract_all(lower(replace(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1), '\s+', ' ', 'g'), '&amp;', '&')), '([\p{L}\p{N}_]+)', 1), ' ')"
+
+
+@query(f"""WITH t AS (SELECT page_id, coalesce(nullif({TITLE}, ''), CAST(page_id AS VARCHAR)) AS title, length(html) AS n, page_id % 5 = 0 AS p, substr(url, 1, 5) AS scheme FROM pages)
+SELECT title, arg_max(page_id, (CAST(p AS INT), n, -page_id)) AS kept, count(*) AS copies, array_to_string(list_sort(list_distinct(list(scheme))), ',') AS topics FROM t GROUP BY title""")
 def near_identical_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    merged = search.merged_titles(docs, "doc_id", keys.title_key(F.left("text", F.lit(60))), F.length("text"), F.col("source") == "src0", F.array("source"))
+    pages = table(spark, sf_dir, "pages")
+    merged = search.merged_titles(pages, "page_id", keys.title_key(keys.page_title(F.col("html"))), F.length("html"), F.col("page_id") % 5 == 0, F.array(F.substring("url", 1, 5)))
     return merged.withColumn("topics", F.array_join("topics", ","))

@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.graph import write_upsert
+from ..sources.graph import read_table, replace_all, write_upsert
 
 
-def first_sightings(stream: DataFrame, key: list[str], time: str, late: str) -> DataFrame:
-    """The first arrival of each key; a later one within `late` of it is dropped, and state older than that goes."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+def first_sightings(stream: DataFrame, path: str, key: list[str], time: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the first arrival of each key in a table and ends; run again it takes what is new.
+
+    What the table has is never written anew, however late a key comes again; a batch that runs twice changes nothing.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        stored = read_table(spark, path)
+        columns = [c for c in batch.columns if c not in key]
+        firsts = batch.groupBy(*key).agg(F.min_by(F.struct(*columns), time).alias("_r")).select(*key, "_r.*").select(*batch.columns)
+        if stored is not None:
+            firsts = stored.unionByName(firsts.join(stored.select(*key), key, "left_anti"))
+        replace_all(spark, path, firsts, key)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def weekly_counts(stream: DataFrame, time: str, by: list[str], maturity: str = "7 days") -> DataFrame:

@@ -31,13 +31,14 @@ def test_keys_of_text(spark):
     t = "see arXiv:2610.00001v2 and https://github.com/Owner/Repo.git, doi 10.1234/AB.c. number 2024.1234"
     got = one(spark, keys.keys_of_text(F.col("t")), t=t)
     assert "arxiv:2610.00001" in got and "gh:owner/repo" in got and "doi:10.1234/ab.c" in got
-    assert one(spark, keys.paper_key(F.col("t"), F.lit("https://x")), t=t) == "arxiv:2610.00001"
-    assert one(spark, keys.paper_key(F.col("t"), F.lit("X://y")), t="none") == "url:x://y"
+    assert one(spark, keys.paper_key(F.col("t")), t="https://arxiv.org/abs/2610.00001v1") == "arxiv:2610.00001"
+    assert one(spark, keys.paper_key(F.col("t"), F.lit("feed")), t="https://x.org/log/#V2") == "url:x.org/log#v2" and one(spark, keys.paper_key(F.col("t")), t="X:y") == "url:x:y"
 
 
 def test_citations(spark):
     assert one(spark, keys.citations(F.col("t")), t="a [2] b [1][2] c [x]") == [1, 2]
-    assert one(spark, keys.check_citations(F.col("t"), F.lit(2)), t="a [1], b [7].") == "a [1], b."
+    got = one(spark, keys.check_citations(F.col("t"), F.lit(2)), t="a [1]  b [7] \u3002 [99999999999] [002] x")
+    assert (got["text"], got["dropped"]) == ("a [1] b\u3002 [002] x", [7, 99999999999])
 
 
 def test_probabilities(spark):
@@ -134,11 +135,48 @@ def test_fit_needs_labels_of_both_classes(spark):
     assert not replay.fit_threshold(rows.filter("gold"), "s", "gold", 0.5).first()["adopt"]
 
 
+def plain_units(text, least, most):
+    """Sentences end behind .!? before white space, behind CJK stops, at line feeds; long ones at their last space in reach."""
+    ends, k = [], 0
+    while k < len(text):
+        stop = k
+        while stop < len(text) and text[stop].isspace():
+            stop += 1
+        if stop > k and k and text[k - 1] in ".!?":
+            ends.append(k)
+            k = stop
+        elif text[k] == "\n" or (k and text[k - 1] in "。！？"):
+            ends.append(k)
+            k += 1
+        else:
+            k += 1
+    out = []
+    for a, b in zip([0, *ends], [*ends, len(text)]):
+        rest = text[a:b].strip()
+        a += len(text[a:b]) - len(text[a:b].lstrip())
+        while rest:
+            n = len(rest) if len(rest) <= most else rest.rfind(" ", 1, most) if rest.rfind(" ", 1, most) > 0 else most
+            part = rest[:n]
+            if len(part.strip()) >= least:
+                out.append((a + len(part) - len(part.lstrip()), part.strip()))
+            a, rest = a + n, rest[n:]
+    return out
+
+
 def test_units_and_tokens(spark):
-    text = "Short. " + "This sentence is long enough to be kept. " + "word " * 200
-    for a, b in search.spans(text):
-        assert 20 <= b - a <= 600 and text[a:b] == text[a:b].strip()
-    assert search.index_tokens("機械学習 Deep") == ["機械", "械学", "学習", "習", "deep"]
+    import random
+
+    rng = random.Random(3)
+    texts = ["Short. " + "This sentence is long enough to be kept. " + "word " * 200, "", None, "x" * 1500, "機械。" * 30 + "学習！ 次\n\n  後" * 9]
+    texts += ["".join(rng.choice(["a", "bc ", "word. ", "é! ", "。", "\n", "  ", "long" * 5, "?x"]) for _ in range(120)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for r in search.units(frame, "k", "t", 8, 40).orderBy("k", "unit").collect():
+        got.setdefault(r["k"], []).append((r["start"], r["text"]))
+        assert texts[r["k"]][r["start"] : r["end"]] == r["text"]
+    for k, t in enumerate(texts):
+        assert got.get(k, []) == plain_units(t or "", 8, 40), repr(t)
+    assert search.index_tokens("機械学習 Deep_한국 ﬁ") == ["機械", "械学", "学習", "習", "deep", "한국", "fi"]
 
 
 def test_merged_titles(spark):
@@ -152,16 +190,16 @@ def test_upsert_delete_and_schema(spark, tmp_path):
     new = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], "id string, v int, _n int")
     graph.write_upsert(spark, path, new, ["id"])
     graph.write_upsert(spark, path, spark.createDataFrame([("b", 9, 1), ("c", 4, 1)], "id string, v int, _n int"), ["id"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 2), ("b", 9), ("c", 4)]
-    left, gone = graph.without(spark.read.parquet(path), spark.createDataFrame([("a",), ("z",)], "id string"), ["id"])
+    assert sorted(map(tuple, graph.read_table(spark, path).collect())) == [("a", 2), ("b", 9), ("c", 4)]
+    left, gone = graph.without(graph.read_table(spark, path), spark.createDataFrame([("a",), ("z",)], "id string"), ["id"])
     assert gone == 1 and left.count() == 2
     from pyspark.sql.types import StructType
 
     today = StructType().add("id", "string").add("v", "integer").add("w", "string")
-    assert graph.schema_verdict(spark.read.parquet(path).schema, today)[0] == "additive"
-    assert graph.read_lifted(spark, path, today).filter("w IS NULL").count() == 3
+    assert graph.schema_verdict(graph.read_table(spark, path).schema, today)[0] == "additive"
+    assert graph.read_lifted(spark, f"{path}/v2", today).filter("w IS NULL").count() == 3
     with pytest.raises(graph.SchemaError):
-        graph.read_lifted(spark, path, StructType().add("id", "integer").add("v", "integer"))
+        graph.read_lifted(spark, f"{path}/v2", StructType().add("id", "integer").add("v", "integer"))
 
 
 def test_partition_documents(spark, tmp_path):
@@ -190,3 +228,47 @@ def test_feed(spark):
     xml = "<rss><channel><item><title>T</title><link>l</link><description>text</description><pubDate>Mon, 26 Oct 2026 08:00:00 GMT</pubDate></item><item><title>Old</title><link>m</link><description>x</description><pubDate>Mon, 05 Oct 2026 08:00:00 GMT</pubDate></item></channel></rss>"
     got = sources.feed_items(spark.createDataFrame([(xml,)], "body string"), "body", F.lit(D(2026, 10, 27))).collect()
     assert [(r["title"], r["published"]) for r in got] == [("T", D(2026, 10, 26))]
+
+
+def test_scalars_of_the_truth_tables(spark):
+    f = lambda c, t: one(spark, c(F.col("t")), t=t)
+    assert f(keys.normalize_url, "https://x.org/?a=1&a-b=2&utm_id=1") == "x.org?a=1&a-b=2" and f(keys.normalize_url, "https://x.org/p?q=x%20y&A=%7E&b") == "x.org/p?a=~&b=&q=x+y"
+    assert f(keys.slug, "Café " + "long word " * 9) == "cafe-long-word-long-word-long-word-long" and f(keys.slug, "漢字").startswith("q-")
+    assert f(keys.title_key, "ＦＵＬＬ ﬁne Straße") == "full fine strasse"
+    assert f(lambda c: keys.title_key(c, suffix=F.lit(True)), "A title that is long enough to be one - Site - Vrije Universiteit") == "a title that is long enough to be one site"
+    assert f(keys.clean_query, "f(x) <|im|>") is None and f(keys.clean_query, ' "(graph  nets)" ') == "graph  nets".replace("  ", " ") and f(keys.clean_query, ",;") is None
+    assert f(keys.gist, "word " * 40) == ("word " * 24).strip() + "…" and f(keys.gist, "x" * 130) == "x" * 120 + "…" and f(keys.gist, "a " + "x" * 200) == "a " + "x" * 118 + "…"
+    assert one(spark, keys.excerpt(F.col("t"), F.lit(50), F.lit(52), 10), t="0123456789" * 10) == "… 6789012345 …".replace("6789012345", ("0123456789" * 10)[46:56])
+    assert one(spark, keys.excerpt(F.col("t"), F.lit(3), F.lit(9), 10), t="short") == "short"
+    assert f(keys.arxiv_id, "https://arxiv.org/pdf/2601.00001v2.pdf?x") == "2601.00001" and f(keys.recommender_id, "https://doi.org/10.1/x") == "DOI:10.1/x" and f(keys.cited_work, "https://openalex.org/W1") == "W1"
+    assert tuple(one(spark, keys.best_match(F.col("t"), F.lit("the Longest probes")), t="a PROBES or the longest")) == (16, 23)
+    got = f(lambda c: keys.paragraphs(c, ("Beyond:",)), "one [1]\n\n Beyond: two\n\nthree")
+    assert got["evidence"] == "one [1]\n\nthree" and got["inference"] == [" Beyond: two"]
+    assert f(lambda c: keys.cited_claims(c, F.array(F.lit("a"), F.lit("b"))), "x [2] [9]") == ["b"] and f(lambda c: keys.cited_claims(c, F.array(F.lit("a"))), "x") == ["a"]
+    assert f(keys.query_line, "arXiv: graph nets")["query"] == "graph nets" and f(keys.query_line, "none") is None and f(keys.presented, "**A** x\n- **B**: y\nz") == 2
+
+
+def test_long_windows_of_days_and_means(spark):
+    import random
+
+    rng = random.Random(1)
+    days = [(k, float(rng.randint(-3, 5))) for k in range(30)]
+    frame = spark.createDataFrame(days, "k int, d double")
+    total = sum(d for _, d in days)
+    hits = sum(abs(sum(d if rng.random() < 0.5 else -d for _, d in days)) >= abs(total) - 1e-9 for _ in range(20_000))
+    got = statistics.paired_difference(frame, "k", "d").first()
+    assert got["total"] == total and got["days"] == 30 and abs(got["p"] - (hits + 1) / 20_001) < 0.02
+    from lookback.operators import measures
+
+    b = measures.bootstrap(spark.createDataFrame(list(enumerate([1.0, 2.0, 0.0, 3.0, 1.0])), "k int, d double"), "k", "d").first()
+    assert b["mean"] == pytest.approx(1.4) and 0.2 <= b["low"] < 1.4 < b["high"] <= 2.8
+    flips = statistics.expected_flips(frame.withColumn("d", F.abs("d")), "d", frame.select((F.col("d") / 2).alias("j")), "j", parts=5).first()["flips"]
+    assert flips == pytest.approx(sum(sum(j / 2 >= abs(m) for _, j in days) / 30 for _, m in days))
+
+
+def test_batches_fill_in_order(spark):
+    from lookback.operators import evaluation
+
+    sizes = [(g, k, n) for g in ("a", "b") for k, n in enumerate([5, 4, 9, 1, 1, 20, 2])]
+    got = evaluation.token_batches(spark.createDataFrame(sizes, "g string, k int, n int"), ["g"], "k", "n", 12, 2).filter("g = 'a'").orderBy("k").collect()
+    assert [r["batch"] for r in got] == [0, 0, 1, 1, 2, 3, 4]

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lookback.sources import graph
 from lookback.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,15 @@ def test_upserts_equal_the_batch(spark, stream, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         incremental.upsert_stream(stream.select("event_id", "user_id", "ts"), f"{tmp_path}/out", ["user_id"], "event_id", f"{tmp_path}/cp").awaitTermination()
     batch = spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    got = spark.read.parquet(f"{tmp_path}/out").select("user_id", "event_id")
+    got = graph.read_table(spark, f"{tmp_path}/out").select("user_id", "event_id")
+    assert got.exceptAll(batch).count() == 0 and got.count() == batch.count()
+
+
+def test_first_sightings_stay(spark, stream, tmp_path):
+    for _ in range(2):
+        incremental.first_sightings(stream.select("event_id", "user_id", "ts"), f"{tmp_path}/out", ["user_id"], "ts", f"{tmp_path}/cp").awaitTermination()
+    batch = spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg(F.min("ts").alias("ts"))
+    got = graph.read_table(spark, f"{tmp_path}/out").select("user_id", "ts")
     assert got.exceptAll(batch).count() == 0 and got.count() == batch.count()
 
 
