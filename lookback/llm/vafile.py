@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Cells a dimension has (one byte each), and vectors in one block of candidates and of queries.
-CELLS, CANDIDATES, QUERIES = 64, 8_192, 4_096
+CELLS, CANDIDATES, QUERIES = 256, 8_192, 4_096
 #: Exact vectors of a query that are read first, as a multiple of k.
 FIRST = 4
 #: Up to so large a bound of |score|, sums of products are exact in doubles.
@@ -25,13 +25,13 @@ def scaled(embeddings: DataFrame, vector: str, scale: float) -> DataFrame:
 
 
 def cell_edges(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By number of dimensions, each one's least value over all vectors and the width of its cells."""
+    """By number of dimensions, each one's least value over all vectors and how many whole numbers a cell covers."""
     found = vectors.select("dims", F.posexplode("v").alias("d", "x")).groupBy("dims", "d").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
     out = {}
     for dims in {r["dims"] for r in found}:
         own = sorted((r for r in found if r["dims"] == dims), key=lambda r: r["d"])
         low, high = np.array([r["low"] for r in own]), np.array([r["high"] for r in own])
-        out[dims] = low, np.where(high > low, (high - low) / CELLS, 1.0)
+        out[dims] = low, np.ceil((high - low + 1) / CELLS)
     return out
 
 
@@ -44,7 +44,7 @@ def write_file(vectors: DataFrame, edges: dict) -> DataFrame:
             cells = []
             for k, n in enumerate(dims):
                 low, width = edges[n] if n else (np.zeros(0), np.ones(0))
-                cells.append(np.clip((values[k].values.to_numpy(zero_copy_only=False) - low) / width, 0, CELLS - 1).astype(np.uint8).tobytes())
+                cells.append(np.clip(np.floor((values[k].values.to_numpy(zero_copy_only=False) - low) / width), 0, CELLS - 1).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], names=["row", "vec_id", "dims", "v", "cells"])
 
     numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "dims", "v")
@@ -54,17 +54,18 @@ def write_file(vectors: DataFrame, edges: dict) -> DataFrame:
 def scan(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, k: int):
     """(query place, vector place, lower bound, upper bound) of all that can be among a query's k best of a block.
 
-    Only cells are read, once, in one product: with q.x for the middle x of the cells, the score lies within half of
-    |q|.width of it, whatever the vector. A vector goes on if its upper bound reaches the kth lower bound.
+    Only cells are read, once, in one product: the score with the middles of the cells. As components are whole numbers, it
+    is off by at most half of |q|.(width - 1), whatever the vector. A vector goes on if its upper bound reaches the kth
+    lower bound.
     """
-    grid = cells.astype(np.float32)
+    grid, middle = cells.astype(np.float32), low + (width - 1) / 2
     for a in range(0, len(queries), 256):
         q = queries[a : a + 256]
         step = q * width
-        reach = np.abs(step).sum(axis=1)
-        # half a cell, and what single precision may lose
-        slack = reach / 2 + 1e-6 * len(width) * (reach * CELLS + np.abs(q @ low) + 1)
-        centre = (step.astype(np.float32) @ grid.T).astype(np.float64) + (q @ low + step.sum(axis=1) / 2)[:, None]
+        largest, offset = np.abs(step).sum(axis=1) * CELLS, np.abs(q) @ np.abs(middle)
+        # sums of whole numbers below 2^24 lose nothing in single precision
+        slack = np.abs(q) @ (width - 1) / 2 + np.where(largest < 1 << 24, 0.0, len(width) * 2.0**-22 * largest) + np.where(offset < EXACT, 0.0, 1e-12 * offset)
+        centre = (step.astype(np.float32) @ grid.T).astype(np.float64) + (q @ middle)[:, None]
         own = ids[None, :] == query_ids[a : a + 256, None]
         lower, upper = centre - slack[:, None], centre + slack[:, None]
         lower[own] = -np.inf

@@ -260,6 +260,23 @@ def test_exact_top_k(spark):
     assert vafile.exact_top_k(frame.limit(0), F.col("vec_id") % 20 == 0, 7).count() == 0
 
 
+@pytest.mark.parametrize("scale", [64.0, 20_000.0])
+def test_bounds_hold(scale):
+    rng = np.random.default_rng(4)
+    v = np.floor(scale * rng.normal(size=(500, 24)))
+    low = v.min(axis=0)
+    width = np.ceil((v.max(axis=0) - low + 1) / vafile.CELLS)
+    cells = np.floor((v - low) / width).astype(np.uint8)
+    exact, seen = v[:40] @ v.T, np.zeros((40, 500), bool)
+    for i, j, lower, upper in vafile.scan(np.arange(40), v[:40], np.arange(500), cells, low, width, 5):
+        assert (lower <= exact[i, j]).all() and (exact[i, j] <= upper).all()
+        seen[i, j] = True
+    for i in range(40):
+        best = [j for j in np.argsort(-exact[i], kind="stable") if j != i][:5]
+        assert seen[i, best].all()
+    assert seen.sum() < 40 * 100
+
+
 def test_top_k_of_repeated_ids_and_large_numbers(spark):
     rows = [(20, [2.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [4.0, 1.0]), (2, [-1.0, 0.0]), (40, [1e15, 1.0]), (3, [])]
     got = vafile.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3, scale=1.0).collect()
