@@ -19,7 +19,7 @@ DOCS_PER_LANGUAGE = 250
 BUCKETS, LEXICON, SEQUENCE, WIDTH = 1 << 16, 4_000, 128, 26
 EPOCHS, BATCH, RATE, DECAY = 4, 32, 0.2, 1e-4
 #: Different words whose scores a worker keeps. Speed only.
-KEEP = 400_000
+KEEP = 200_000
 
 # \w takes numbers such as \u00b2 or \u2167 for word characters too: letters are those of category L.
 _WORD_CHARACTERS = re.compile(r"[^\W\d_]+")

@@ -29,7 +29,7 @@ MULTIPLIERS, BAND_MIX, PAIR_MIX = _odd[:REGISTERS, None], _odd[REGISTERS : REGIS
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
