@@ -23,7 +23,7 @@ BYTE_LEVEL = re.compile(rf" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPA
 #: The lower-casing vocabulary drops white space.
 WORD_LEVEL = re.compile(rf"{WORD}|[^{SPACE}]+")
 #: Pieces whose ids a worker keeps; when it has more, it starts anew. Speed only.
-KEEP = 200_000
+KEEP = 800_000
 
 
 PLAIN = re.compile(rf" ?[{LATIN}]+")
