@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -267,14 +268,14 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     columns pass through, but for those of the names of the two, which are replaced. Every word of a text counts, and every
     letter of a word. Rows that repeat a doc_id, or have none, are read each by its text. An empty table gives an empty one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, own = docs.sparkSession.sparkContext.broadcast(model), f"scores {uuid.uuid4().hex}"
     names = [c for c in docs.columns if c not in (lang, score)]
     place = names.index("text")
     schema = docs.select(*names).schema.add(lang, "string").add(score, "double")
 
     def run(batches):
         m = sent.value
-        scored = Scored(m)
+        scored = shared.kept(own, lambda: Scored(m))
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             for a, b in shared.slices(texts, 1_000_000):

@@ -35,9 +35,6 @@ class WordHashes(dict):
         return h
 
 
-_words = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Hashes whose bits all depend on all bits of x."""
     x = (x ^ (x >> np.uint64(31))) * PAIR_MIX[1]
@@ -50,7 +47,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
+    hashes = shared.kept("word hashes", WordHashes)
+    ids = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
     n = min(width, len(ids))
     h = np.full(len(ids) - n + 1, n, np.uint64)
     for k in range(n):

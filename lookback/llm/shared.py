@@ -14,6 +14,7 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[ \t\n\x0B\f\r]+"
 
 _own_dir: list[str] = []
+_kept: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +106,18 @@ def open_store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+def kept(name: str, make):
+    """What a worker process keeps from task to task under a name. Only speed depends on it.
+
+    Worker processes live on from stage to stage, so what was kept under another name is dropped first: a process holds
+    the table of one operator at a time.
+    """
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def slices(texts: list[str], chars: int):
     """Ranges (start, end) over a list of texts of about so many characters each; a long text has its own."""
     start = total = 0

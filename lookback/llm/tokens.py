@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from . import shared
+
 #: The Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Latin letters that stay one letter in lower case: without the dotted capital I (U+0130).
@@ -60,13 +62,10 @@ class Pieces(dict):
         return ids
 
 
-_coders: dict[str, Pieces] = {}
-
-
 def encoder(path: str, pattern: re.Pattern):
     """A function from text to the bytes of its ids; kept by the worker process across tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    coder = _coders[path] if path in _coders else _coders.setdefault(path, Pieces(path))
+    coder = shared.kept(f"pieces of {path}", lambda: Pieces(path))
     find, get, special = pattern.findall, coder.__getitem__, coder.special
 
     def encode(text: str) -> bytes:
