@@ -106,3 +106,16 @@ def test_bins_that_stay_behind_are_over_half_full(spark):
     frame = spark.createDataFrame(items, "item long, length long, group long")
     got = packing.pack_round(frame, 50, 1).collect()
     assert all(r["onward"] for r in got if 2 * r["held"] <= 50)
+
+
+def test_a_worker_keeps_one_table_at_a_time(monkeypatch):
+    from lookback.llm import neardup, shared
+
+    monkeypatch.setattr(shared, "_kept", {})
+    first = shared.kept("one", dict)
+    assert shared.kept("one", dict) is first
+    text = "a b c a b c d"
+    before = neardup.shingles(text, 2)
+    assert list(shared._kept) == ["word hashes"]
+    assert shared.kept("one", dict) is not first and list(shared._kept) == ["one"]
+    assert (neardup.shingles(text, 2) == before).all() and len(before) == 4
