@@ -276,9 +276,9 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     def run(batches):
         m = sent.value
         scored = shared.kept(own, lambda: Scored(m))
-        for batch in batches:
+        for batch in (step for whole in batches for step in shared.row_steps(whole)):
             texts = [t or "" for t in batch.column(place).to_pylist()]
-            for a, b in shared.slices(texts, 1_000_000):
+            for a, b in shared.slices(texts, 250_000):
                 found = [words_of(t) if m.languages else [] for t in texts[a:b]]
                 lengths = np.array([len(w) for w in found], np.int64)
                 best_lang, best_score = ["und"] * (b - a), [0.0] * (b - a)

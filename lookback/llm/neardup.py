@@ -104,15 +104,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 1_000):
+            for step in shared.row_steps(batch):
                 n, keys, rows = [], [], []
-                for t in texts[a : a + 1_000]:
+                for t in step.column(1).to_pylist():
                     h = shingles(t, width)
                     n.append(len(h))
                     keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                     rows.append(sketch(h).tobytes() if len(h) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "set_id", "registers"])
+                yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "set_id", "registers"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, registers binary")
 
@@ -156,7 +155,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for i, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            pairs_of_texts = (p for s in shared.row_steps(batch) for p in zip(s.column(2).to_pylist(), s.column(3).to_pylist()))
+            for i, (ta, tb) in enumerate(pairs_of_texts):
                 if last[0] != ta:
                     last = (ta, shingles(ta, width))
                 one, two = last[1], shingles(tb, width)
@@ -266,7 +266,7 @@ def short_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [np.unique((shingles(t, width) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+            found = [np.unique((shingles(t, width) >> np.uint64(32)).astype("<u4")).tobytes() for s in shared.row_steps(batch) for t in s.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "short"])
 
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")

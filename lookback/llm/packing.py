@@ -30,7 +30,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -
     def cut(batches):
         encode = tokens.encoder(tokens.vocabulary(vocabulary), tokens.WORD_LEVEL)
         end, item, width = end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 33, 4 * capacity
-        for batch in batches:
+        for batch in (step for whole in batches for step in shared.row_steps(whole)):
             rows = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text or "") + end

@@ -118,6 +118,12 @@ def kept(name: str, make):
     return _kept[name]
 
 
+def row_steps(batch, rows: int = 500):
+    """An Arrow batch in slices of so many rows, so that a task holds few of its texts as Python strings at once."""
+    for a in range(0, len(batch), rows):
+        yield batch.slice(a, rows)
+
+
 def slices(texts: list[str], chars: int):
     """Ranges (start, end) over a list of texts of about so many characters each; a long text has its own."""
     start = total = 0
