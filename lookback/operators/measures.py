@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import windows
+
 
 def shares(df: DataFrame, by: str) -> DataFrame:
     """by, n and share of all rows; the sum is over as many rows as there are groups."""
@@ -138,3 +140,26 @@ def delays(found: DataFrame, first: str, seen: str) -> DataFrame:
     """One row: median days from what was first possible to what was, and how many came late."""
     d = F.datediff(first, seen)
     return found.agg(F.median(d).alias("median_days"), F.count_if(d > 0).alias("late"))
+
+
+def axis_meters(judged: DataFrame, key: list[str], order: list[Column], axes: dict[str, Column]) -> DataFrame:
+    """axis, mean_score: the mean position on each axis over the latest judgment of each key; null where none has one.
+
+    Every axis has its row, also over an empty table.
+    """
+    last = windows.latest(judged, key, *order)
+    means = last.agg(*[F.avg(c).alias(f"_{n}") for n, c in enumerate(axes.values())])
+    rows = F.array(*[F.struct(F.lit(axis).alias("axis"), F.col(f"_{n}").alias("mean_score")) for n, axis in enumerate(axes)])
+    return means.select(F.inline(rows))
+
+
+def tallies(tried: DataFrame, by: list[str], hit: Column) -> DataFrame:
+    """by, hit, tried: how many rows were tried and how many hit; a null hit is none."""
+    return tried.groupBy(*by).agg(F.count_if(hit).alias("hit"), F.count("*").alias("tried"))
+
+
+def same_sets(replayed: DataFrame, recorded: DataFrame, group: list[str], item: str) -> DataFrame:
+    """group, same: whether both sides have the same items of a group. A null item only states that the group is there."""
+    sides = [df.select(*group, F.col(item).alias("_item"), F.lit(side).alias("_side")) for side, df in ((1, replayed), (2, recorded))]
+    found = sides[0].unionByName(sides[1]).groupBy(*group, "_item").agg(F.count_distinct("_side").alias("_sides"))
+    return found.groupBy(*group).agg((F.count_if(F.col("_item").isNotNull() & (F.col("_sides") < 2)) == 0).alias("same"))

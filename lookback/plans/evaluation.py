@@ -234,3 +234,25 @@ def request_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(k == 3, 403).when(k == 6, 406).when(k == 9, 429).otherwise(500)
     detail = F.when(F.col("event_type") == "error", F.lit("403 forbidden: rate_limit")).otherwise(F.concat(F.lit("500 oops: "), F.col("event_type")))
     return events(spark, sf_dir).select("event_id", keys.status_kind(status, F.lit(None).cast("string"), F.when(v > 25, F.lit("0"))).alias("kind"), keys.failure_kind(detail).alias("read"), F.round(keys.usage_price(k, F.col("user_id"), F.lit(3.0), F.lit(15.0)), 8).alias("usd"))
+
+
+@query(EVENTS + """, l AS (SELECT value, k FROM e WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) = 1)
+SELECT 'value' AS axis, round(avg(value / 100.0), 6) AS mean_score FROM l UNION ALL SELECT 'step', round(avg(k / 10.0), 6) FROM l UNION ALL SELECT 'gold_agreement', CAST(NULL AS DOUBLE)""")
+def rubric_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axes = {"value": F.col("value") / 100.0, "step": F.col("k") / F.lit(10.0), "gold_agreement": F.lit(None).cast("double")}
+    asked = events(spark, sf_dir).filter("event_type <> 'error'")
+    found = measures.axis_meters(asked, ["user_id", "k"], [F.col("ts"), F.col("event_id")], axes)
+    return found.withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query(EVENTS + """, g AS (SELECT line, user_id, day, list_sort(list(DISTINCT k) FILTER (event_type = 'click' AND k IS NOT NULL)) AS a, list_sort(list(DISTINCT k) FILTER (event_type = 'purchase' AND k IS NOT NULL)) AS b
+ FROM e WHERE event_type IN ('click', 'purchase') GROUP BY ALL) SELECT line, count(*) FILTER (a IS NOT DISTINCT FROM b) AS hit, count(*) AS tried FROM g GROUP BY line""")
+def section_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    same = measures.same_sets(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"), ["line", "user_id", "day"], "k")
+    return measures.tallies(same, ["line"], F.col("same"))
+
+
+@query(PAIRS + " SELECT source, count(*) FILTER (method >= 0.5 AND evidence >= 0.3) AS hit, count(*) AS tried FROM p GROUP BY source")
+def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.tallies(pairs(spark, sf_dir), ["source"], (F.col("method") >= 0.5) & (F.col("evidence") >= 0.3))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lookback.functions import keys, probability, statistics
-from lookback.operators import health, joins, replay, routing, search, windows
+from lookback.operators import health, joins, measures, replay, routing, search, windows
 from lookback.sources import graph
 from lookback.sources import text as sources
 
@@ -272,3 +272,13 @@ def test_batches_fill_in_order(spark):
     sizes = [(g, k, n) for g in ("a", "b") for k, n in enumerate([5, 4, 9, 1, 1, 20, 2])]
     got = evaluation.token_batches(spark.createDataFrame(sizes, "g string, k int, n int"), ["g"], "k", "n", 12, 2).filter("g = 'a'").orderBy("k").collect()
     assert [r["batch"] for r in got] == [0, 0, 1, 1, 2, 3, 4]
+
+
+def test_meters_of_nothing_and_sets_of_stated_groups(spark):
+    none = spark.createDataFrame([], "key long, at long, p double")
+    found = measures.axis_meters(none, ["key"], [F.col("at")], {"clear": F.col("p")}).collect()
+    assert [tuple(r) for r in found] == [("clear", None)]
+    a = spark.createDataFrame([("q0", 1), ("q0", 1), ("q1", 2), ("q2", None)], "q string, claim long")
+    b = spark.createDataFrame([("q0", 1), ("q1", 3), ("q3", 4)], "q string, claim long")
+    same = {r["q"]: r["same"] for r in measures.same_sets(a, b, ["q"], "claim").collect()}
+    assert same == {"q0": True, "q1": False, "q2": True, "q3": False}
