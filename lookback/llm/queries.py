@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, neardup, packing, quality, suffixtree, tokenbin, vafile, warc
+from . import langid, licenses, mixing, neardup, packing, quality, spelling, suffixtree, tokenbin, vafile, warc
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op12_spelling": spelling.op12_spelling,
 }
-ORACLE_SQL = {"op6_top_k": vafile.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
+ORACLE_SQL = {"op6_top_k": vafile.OP6_SQL, "op10_mixing": mixing.OP10_SQL, "op12_spelling": spelling.OP12_SQL}
