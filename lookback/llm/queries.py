@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, neardup, packing, quality, spelling, suffixtree, tokenbin, vafile, warc
+from . import ballmeans, langid, licenses, mixing, neardup, packing, quality, spelling, suffixtree, tokenbin, vafile, warc
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
     "op12_spelling": spelling.op12_spelling,
+    "op13_ball_means": ballmeans.op13_ball_means,
 }
-ORACLE_SQL = {"op6_top_k": vafile.OP6_SQL, "op10_mixing": mixing.OP10_SQL, "op12_spelling": spelling.OP12_SQL}
+ORACLE_SQL = {"op6_top_k": vafile.OP6_SQL, "op10_mixing": mixing.OP10_SQL, "op12_spelling": spelling.OP12_SQL, "op13_ball_means": ballmeans.OP13_SQL}
