@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ballmeans, langid, licenses, mixing, neardup, packing, quality, spelling, suffixtree, tokenbin, vafile, warc
+from . import ballmeans, langid, licenses, mixing, neardup, packing, quality, spelling, suffixtree, tokenbin, toxicity, vafile, warc
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_spelling": spelling.op12_spelling,
     "op13_ball_means": ballmeans.op13_ball_means,
 }
