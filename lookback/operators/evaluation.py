@@ -25,52 +25,95 @@ def best_screens(screens: DataFrame, key: list[str], policy: Policy) -> DataFram
     return best.select(*key, F.element_at(F.array(*map(F.lit, ("drop", "review", "keep"))), F.col("_r") + 1).alias("route"), "best")
 
 
-def with_scores(entries: DataFrame) -> DataFrame:
-    """Adds score, the lesser of bearing on the question and being checkable, and what newness needs: known to question or line."""
-    key = lambda *c: entries.groupBy(*c).agg(F.min("day").alias("_first"))
-    asked = key("question", "key").withColumnRenamed("_first", "_first_q")
-    lined = key("line", "key")
-    out = entries.join(asked, ["question", "key"]).join(lined, ["line", "key"])
+def with_scores(entries: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """Adds score, the lesser of bearing on the question and being checkable, and what newness needs: known to question or line.
+
+    First days by (question, key) and (line, key) are broadcast while they are at most `bound`, joined beyond.
+    """
+
+    def firsts(*key: str) -> DataFrame:
+        found = entries.groupBy(*key).agg(F.min("day").alias(f"_first_{key[0]}"))
+        return F.broadcast(found) if found.limit(bound + 1).count() <= bound else found
+
+    out = entries.join(firsts("question", "key"), ["question", "key"]).join(firsts("line", "key"), ["line", "key"])
     bears = F.col("p_advances") + F.col("p_contradicts")
-    return out.withColumn("known_to_question", F.col("_first_q") < F.col("day")).withColumn("known_to_line", F.col("_first") < F.col("day")).withColumn("score", F.least(bears, F.col("p_checkable"))).drop("_first", "_first_q")
+    known = {f"known_to_{k}": F.col(f"_first_{k}") < F.col("day") for k in ("question", "line")}
+    return out.withColumns(known | {"score": F.least(bears, F.col("p_checkable"))}).drop("_first_question", "_first_line")
+
+
+def in_pool(policy: Policy) -> Column:
+    """Whether an entry passes detection and novelty; a missing answer never does."""
+    c = F.col
+    answered = c("p_advances").isNotNull() & c("p_contradicts").isNotNull() & c("p_checkable").isNotNull()
+    found = detection(c("p_advances"), c("p_contradicts"), c("p_checkable"), policy)
+    return F.coalesce(answered & found["accept"] & (c("novelty") >= policy.novelty), F.lit(False))
+
+
+def slot_order(new_first: bool) -> list[Column]:
+    return [*([F.asc("known_to_question")] if new_first else []), F.desc("score"), F.asc("item")]
 
 
 def shown(entries: DataFrame, policy: Policy, new_first: bool = False) -> DataFrame:
     """The entries that a day's note shows: those that pass detection and novelty, capped by question and source.
 
     entries: day, line, question, source, item, key, p_advances, p_contradicts, p_checkable, novelty, score,
-    known_to_question (see with_scores). A missing answer never passes.
+    known_to_question (see with_scores).
     """
-    c = F.col
-    answered = c("p_advances").isNotNull() & c("p_contradicts").isNotNull() & c("p_checkable").isNotNull()
-    found = detection(c("p_advances"), c("p_contradicts"), c("p_checkable"), policy)
-    pool = entries.filter(answered & found["accept"] & (c("novelty") >= policy.novelty))
+    pool = entries.filter(in_pool(policy))
     asked = pool.groupBy("line", "day").agg(F.count_distinct("question").alias("_n"))
     pool = pool.join(asked, ["line", "day"]).withColumn("_day", F.struct("line", "day", "question"))
-    rank = [F.desc("score"), F.asc("item")]
-    rank = [F.asc("known_to_question"), *rank] if new_first else rank
-    return capped(pool, "_day", "source", *rank, per_question=claims_per_question(c("_n"))).drop("_day", "_n", "place")
-
+    return capped(pool, "_day", "source", *slot_order(new_first), per_question=claims_per_question(F.col("_n"))).drop("_day", "_n", "place")
 
-def day_counts(rows: DataFrame, name: str) -> DataFrame:
-    """line, day and how many entries are shown, keys new to the line, and (question, key) new to the question."""
-    line, question = F.when(~F.col("known_to_line"), F.col("key")), F.when(~F.col("known_to_question"), F.struct("question", "key"))
-    return rows.groupBy("line", "day").agg(F.count("*").alias(f"shown_{name}"), F.count_distinct(line).alias(f"new_{name}"), F.count_distinct(question).alias(f"newq_{name}"))
 
+def with_shown(entries: DataFrame, policies: dict[str, tuple[Policy, bool]]) -> DataFrame:
+    """All entries with pool_<name> and shown_<name> (see shown()) of every named policy and slot order.
 
-def shown_score(entries: DataFrame, now: DataFrame, then: DataFrame) -> DataFrame:
-    """One row: days, shown, new and newq of both policies, better and worse (line-days with more or fewer new keys)."""
-    days = entries.select("line", "day").distinct()
-    both = days.join(day_counts(now, "now"), ["line", "day"], "left").join(day_counts(then, "then"), ["line", "day"], "left").na.fill(0)
+    All windows are within a line's day, by which the entries are dealt out once, whatever the number of policies.
+    """
+    day, out = ["line", "day"], entries.repartition("line", "day")
+    for name, (policy, new_first) in policies.items():
+        order, pool = slot_order(new_first), F.col(f"pool_{name}")
+        out = out.withColumn(f"pool_{name}", in_pool(policy))
+        asked = F.size(F.collect_set(F.when(pool, F.col("question"))).over(Window.partitionBy(*day)))
+        of_source = F.row_number().over(Window.partitionBy(*day, "question", "source").orderBy(F.desc(pool), *order))
+        out = out.withColumn("_n", asked).withColumn("_few", pool & (of_source <= 2))
+        of_question = F.row_number().over(Window.partitionBy(*day, "question").orderBy(F.desc("_few"), *order))
+        out = out.withColumn(f"shown_{name}", F.col("_few") & (of_question <= claims_per_question(F.col("_n")))).drop("_n", "_few")
+    return out
+
+
+def shown_score(entries: DataFrame, now: tuple[Policy, bool], then: tuple[Policy, bool]) -> DataFrame:
+    """One row: days, shown, new and newq of both policies (with their slot orders), better and worse (line-days with more
+    or fewer keys new to the line)."""
+    marked = with_shown(entries, {"now": now, "then": then})
+    counts = []
+    for p in ("now", "then"):
+        seen, paper = F.col(f"shown_{p}"), F.struct("question", "key")
+        counts += [F.count_if(seen).alias(f"shown_{p}"), F.count_distinct(F.when(seen & ~F.col("known_to_line"), F.col("key"))).alias(f"new_{p}"), F.count_distinct(F.when(seen & ~F.col("known_to_question"), paper)).alias(f"newq_{p}")]
+    both = marked.groupBy("line", "day").agg(*counts)
     change = F.col("new_then") - F.col("new_now")
     totals = [F.sum(f"{k}_{p}").alias(f"{k}_{p}") for k in ("shown", "new", "newq") for p in ("now", "then")]
     return both.agg(F.count("*").alias("days"), *totals, F.count_if(change > 0).alias("better"), F.count_if(change < 0).alias("worse"))
 
 
-def strata(entries: DataFrame, showing: DataFrame, item: list[str]) -> DataFrame:
-    """entries with stratum: shown, dup (its key is known to the question), else cut."""
-    marked = entries.join(showing.select(*item).distinct().withColumn("_s", F.lit(True)), item, "left")
-    return marked.withColumn("stratum", F.when(F.col("_s"), "shown").when(F.col("known_to_question"), "dup").otherwise("cut")).drop("_s")
+def strata(entries: DataFrame, of: list[str], policy: Policy) -> DataFrame:
+    """One row for each `of`: stratum on the first day it is an entry: shown, cut (in the pool, but not shown), dup (not in it)."""
+    marked = with_shown(entries, {"now": (policy, False)})
+    days = marked.groupBy(*of, "day").agg(F.max("shown_now").alias("s"), F.max("pool_now").alias("p"))
+    first = days.groupBy(*of).agg(F.min_by(F.struct("s", "p"), "day").alias("f"))
+    return first.select(*of, F.when(F.col("f.s"), "shown").when(F.col("f.p"), "cut").otherwise("dup").alias("stratum"))
+
+
+#: How likely a pair must be for the prefilter to have been near its cut, and the bands of the best score.
+NEAR, BANDS = 0.3, ((0.7, "high"), (0.6, "band-high"), (0.5, "band-low"))
+
+
+def band(outcome: Column, on_topic: Column, best: Column) -> Column:
+    """A pair's stratum: how far it came (see routing.staged_outcome), and by its best score, null if no screening's gates pass."""
+    out = F.when(outcome == "prefilter", F.when(on_topic >= NEAR, "pf-near").otherwise("pf-far")).when(outcome.isin("safe", "unasked"), outcome).when(best.isNull(), "gate")
+    for cut, name in BANDS:
+        out = out.when(best >= cut, name)
+    return out.otherwise("low")
 
 
 @dataclass(frozen=True)

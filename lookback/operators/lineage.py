@@ -78,9 +78,21 @@ def without_shared_keys(items: DataFrame, others: DataFrame, item: str, keys: st
     return items.join(shared, item, "left_anti")
 
 
-def hits_before(sightings: DataFrame, cites: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """One row: hits (keys sighted within days that were cited on an earlier day than the sighting), sightings."""
-    recent = sightings.filter((F.col("first_seen") > F.date_sub(as_of, days)) & (F.col("first_seen") <= as_of))
+#: Keys of papers.
+PAPERS = ("arxiv:", "doi:", "gh:")
+
+
+def hits_before(sightings: DataFrame, cites: DataFrame, as_of: Column, days: int = 30, prefixes: tuple[str, ...] = PAPERS) -> DataFrame:
+    """One row: hits (keys sighted within days that were cited on an earlier day than the sighting), sightings.
+
+    sightings: key, first_seen, baseline (was there when looking began), unsure (may have been there before). Those count
+    for nothing, nor do keys that are no paper's.
+    """
+    paper = F.lit(False)
+    for p in prefixes:
+        paper |= F.startswith(F.col("key"), F.lit(p))
+    sure = paper & ~F.coalesce("baseline", F.lit(False)) & ~F.coalesce("unsure", F.lit(False))
+    recent = sightings.filter(sure & (F.col("first_seen") > F.date_sub(as_of, days)) & (F.col("first_seen") <= as_of))
     firsts = cites.groupBy("key").agg(F.min("day").alias("_cited"))
     return recent.join(firsts, "key", "left").agg(F.count_if(F.col("_cited") < F.col("first_seen")).alias("hits"), F.count("*").alias("sightings"))
 

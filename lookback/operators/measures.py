@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import statistics
 from . import windows
 
 
@@ -120,14 +121,24 @@ def self_check(replayed: DataFrame, recorded: DataFrame, day: str, key: list[str
     return both.groupBy(day).agg(F.count_if(F.col("_a").isNull()).alias("missed"), F.count_if(F.col("_b").isNull()).alias("extra"))
 
 
-def rotation_estimate(yields: DataFrame, query: str, order: str, fresh: str, sends: DataFrame, keep: int = 5) -> DataFrame:
-    """One row: expected, variance: over queries, sends a run times the mean yield of its last `keep` sends; half a find more
-    stands for none in the variance of a count."""
-    last = yields.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(order)))).filter(F.col("_r") <= keep)
-    means = last.groupBy(query).agg(F.avg(fresh).alias("_mean"), F.sum(fresh).alias("_sum"), F.count("*").alias("_n"))
-    each = means.join(sends, query)
-    spread = F.pow(F.col("sends") / F.col("_n"), F.lit(2.0)) * F.greatest(F.col("_sum"), F.lit(0.5))
-    return each.agg(F.sum(F.col("sends") * F.col("_mean")).alias("expected"), F.sum(spread).alias("variance"))
+def rotation_estimate(yields: DataFrame, query: str, order: str, fresh: str, now: DataFrame, then: DataFrame, runs: int, keep: int = 5) -> DataFrame:
+    """One row that compares two arms' sends: now, then (finds a run: sends a run times the mean yield of a query's last
+    `keep` sends), change with low and high, freed (sends a run fewer), missing_now and missing_then (queries that are sent
+    but have no yields).
+
+    now, then: query, sends (over all runs; each query once). The variance takes yields for counts of chance, with half a
+    find more so that none found isn't certain, and only what the arms send differently has any.
+    """
+    last = yields.filter(F.col(fresh).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(order)))).filter(F.col("_r") <= keep)
+    known = last.groupBy(query).agg(F.sum(fresh).alias("_sum"), F.count("*").alias("_n"))
+    both = now.select(query, F.col("sends").alias("_a")).join(then.select(query, F.col("sends").alias("_b")), query, "full").na.fill(0, ["_a", "_b"])
+    each = both.join(known, query, "left")
+    a, b, mean = F.col("_a") / runs, F.col("_b") / runs, F.coalesce(F.col("_sum") / F.col("_n"), F.lit(0.0))
+    spread = F.coalesce(F.pow((b - a) / F.col("_n"), F.lit(2.0)) * (F.col("_sum") + 0.5), F.lit(0.0))
+    missing = lambda sends: F.count_if(F.col("_n").isNull() & (sends > 0))
+    found = each.agg(F.sum(a * mean).alias("now"), F.sum(b * mean).alias("then"), F.sum(spread).alias("_v"), F.sum(a - b).alias("freed"), missing(a).alias("missing_now"), missing(b).alias("missing_then"))
+    change, half = F.col("then") - F.col("now"), statistics.Z95 * F.sqrt("_v")
+    return found.select("now", "then", change.alias("change"), (change - half).alias("low"), (change + half).alias("high"), "freed", "missing_now", "missing_then")
 
 
 def boundary(found: DataFrame, key: str, arm: str, p: str, cut: float, within: float = 0.1) -> DataFrame:

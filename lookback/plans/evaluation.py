@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, statistics
 from ..operators import evaluation, health, measures, routing
-from .queries import EVENTS, HEALTH, PAIRS, cells_of, events, hashed, hashed_sql, pairs
+from .queries import EVENTS, HEALTH, PAIRS, cells_of, events, hashed, hashed_sql, outcome_sql, pairs
 from .registry import query, table
 
 W = "(0.5 * overlap + 0.3 * strength + 0.2 * novelty)"
@@ -80,14 +80,24 @@ SIDES = ", ".join(f"CAST(sum(coalesce({k}{s}, 0)) AS BIGINT) AS {n}_{w}" for k,
 @query(ENTRIES + shown_sql("u", 0.5, False) + shown_sql("v", 0.7, True) + "".join(f", {x}d AS (SELECT line, day, count(*) AS s{x}, count(DISTINCT key) FILTER (NOT kl) AS n{x}, count(DISTINCT (question, key)) FILTER (NOT kq) AS q{x} FROM {x} GROUP BY 1, 2)" for x in "uv")
        + f""" SELECT count(*) AS days, {SIDES}, count(*) FILTER (coalesce(nv, 0) > coalesce(nu, 0)) AS better, count(*) FILTER (coalesce(nv, 0) < coalesce(nu, 0)) AS worse FROM (SELECT DISTINCT line, day FROM m) LEFT JOIN ud USING (line, day) LEFT JOIN vd USING (line, day)""")
 def shown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entries(spark, sf_dir)
-    return evaluation.shown_score(rows, evaluation.shown(rows, routing.Policy()), evaluation.shown(rows, routing.Policy().with_(bears_on=0.7), new_first=True))
+    return evaluation.shown_score(entries(spark, sf_dir), (routing.Policy(), False), (routing.Policy().with_(bears_on=0.7), True))
 
 
-@query(ENTRIES + shown_sql("u", 0.5, False) + " SELECT CASE WHEN u.item IS NOT NULL THEN 'shown' WHEN m.kq THEN 'dup' ELSE 'cut' END AS stratum, count(*) AS n FROM m LEFT JOIN u ON m.item = u.item GROUP BY 1")
+@query(ENTRIES + shown_sql("u", 0.5, False) + """, d AS (SELECT m.line, m.question, m.key, m.day, bool_or(u.item IS NOT NULL) AS s, bool_or(m.pa + m.pc >= 0.5 AND m.ch >= 0.5 AND m.nov >= 0.34) AS p FROM m LEFT JOIN u ON m.item = u.item GROUP BY 1, 2, 3, 4),
+ f AS (SELECT line, question, key, arg_min(CASE WHEN s THEN 'shown' WHEN p THEN 'cut' ELSE 'dup' END, day) AS stratum FROM d GROUP BY 1, 2, 3) SELECT line, stratum, count(*) AS n FROM f GROUP BY 1, 2""")
 def entry_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entries(spark, sf_dir)
-    return evaluation.strata(rows, evaluation.shown(rows, routing.Policy()), ["item"]).groupBy("stratum").agg(F.count("*").alias("n"))
+    found = evaluation.strata(entries(spark, sf_dir), ["line", "question", "key"], routing.Policy())
+    return found.groupBy("line", "stratum").agg(F.count("*").alias("n"))
+
+
+@query(PAIRS + f""", o AS (SELECT *, {outcome_sql()} AS o, CASE WHEN {GATES} THEN {W} END AS best FROM p)
+SELECT CASE WHEN o = 'prefilter' THEN CASE WHEN on_topic >= 0.3 THEN 'pf-near' ELSE 'pf-far' END WHEN o = 'safe' THEN 'safe' WHEN best IS NULL THEN 'gate' WHEN best >= 0.7 THEN 'high' WHEN best >= 0.6 THEN 'band-high' WHEN best >= 0.5 THEN 'band-low' ELSE 'low' END AS stratum,
+ count(*) AS n, count(gold) AS labelled FROM o GROUP BY 1""")
+def pair_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, policy = F.col, routing.Policy()
+    p = routing.staged_outcome(pairs(spark, sf_dir), policy, "now")
+    best = F.when(routing.gates(c("on_topic"), c("method"), c("evidence"), policy), routing.weighted(c("overlap"), c("strength"), c("novelty")))
+    return p.groupBy(evaluation.band(c("now"), c("on_topic"), best).alias("stratum")).agg(F.count("*").alias("n"), F.count("gold").alias("labelled"))
 
 
 @query(EVENTS + """, l AS (SELECT line, day, user_id AS source, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS rank, CASE WHEN event_type = 'view' THEN 0 ELSE -value END AS s, event_id AS place FROM e WHERE event_type <> 'error'),
@@ -170,14 +180,17 @@ def replay_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.self_check(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), "day", ["user_id"])
 
 
-@query(EVENTS + """, s AS (SELECT user_id, day, count(*) FILTER (value > 40) AS fresh FROM e GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS i FROM s),
- m AS (SELECT user_id, avg(fresh) AS m, sum(fresh) AS t, count(*) AS n FROM l WHERE i <= 5 GROUP BY 1), q AS (SELECT user_id, count(*) / 10.0::DOUBLE AS sends FROM e GROUP BY 1)
-SELECT round(sum(sends * m), 4) AS expected, round(sum((sends / n) ** 2 * greatest(t, 0.5::DOUBLE)), 4) AS variance FROM m JOIN q USING (user_id)""")
+@query(EVENTS + """, s AS (SELECT user_id, day, count(*) FILTER (value > 40) AS fresh FROM e WHERE event_type <> 'error' GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS i FROM s),
+ m AS (SELECT user_id, sum(fresh) AS t, count(*) AS n FROM l WHERE i <= 5 GROUP BY 1), q AS (SELECT user_id, count(*) FILTER (event_type <> 'view') / 10.0::DOUBLE AS a, count(*) FILTER (event_type = 'view') / 10.0::DOUBLE AS b FROM e GROUP BY 1),
+ r AS (SELECT a, b, n, coalesce(t / n, 0) AS m, coalesce(((b - a) / n) ** 2 * (t + 0.5::DOUBLE), 0) AS v FROM q LEFT JOIN m USING (user_id)),
+ z AS (SELECT sum(a * m) AS x, sum(b * m) AS y, 1.959963984540054::DOUBLE * sqrt(sum(v)) AS h, sum(a - b) AS freed, count(*) FILTER (n IS NULL AND a > 0) AS missing_now, count(*) FILTER (n IS NULL AND b > 0) AS missing_then FROM r)
+SELECT round(x, 4) AS now, round(y, 4) AS "then", round(y - x, 4) AS change, round(y - x - h, 4) AS low, round(y - x + h, 4) AS high, round(freed, 4) AS freed, missing_now, missing_then FROM z""")
 def rotation_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    yields = e.groupBy("user_id", "day").agg(F.count_if(F.col("value") > 40).alias("fresh"))
-    found = measures.rotation_estimate(yields, "user_id", "day", "fresh", e.groupBy("user_id").agg((F.count("*") / 10.0).alias("sends")))
-    return found.select(F.round("expected", 4).alias("expected"), F.round("variance", 4).alias("variance"))
+    e, kind = events(spark, sf_dir), F.col("event_type")
+    yields = e.filter(kind != "error").groupBy("user_id", "day").agg(F.count_if(F.col("value") > 40).alias("fresh"))
+    now, then = (e.filter(c).groupBy("user_id").agg(F.count("*").alias("sends")) for c in (kind != "view", kind == "view"))
+    found = measures.rotation_estimate(yields, "user_id", "day", "fresh", now, then, runs=10)
+    return found.select(*[F.round(c, 4).alias(c) for c in ("now", "then", "change", "low", "high", "freed")], "missing_now", "missing_then")
 
 
 @query(EVENTS + """, b AS (SELECT user_id, k, max(value) / 50 AS best, min(event_type) AS arm, max(event_type) AS other FROM e WHERE event_type IN ('click', 'view') GROUP BY 1, 2)

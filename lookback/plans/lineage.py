@@ -110,12 +110,17 @@ def without_canary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.without_shared_keys(items, orders.filter("o_totalprice > 400000").select(F.array(key).alias("keys")), "item", "keys").select("item")
 
 
-@query(EVENTS + """, s AS (SELECT user_id, min(day) AS first_seen FROM e WHERE event_type = 'signup' GROUP BY 1), c AS (SELECT user_id, min(day) AS cited FROM e WHERE event_type = 'purchase' GROUP BY 1)
-SELECT count(*) FILTER (cited < first_seen) AS hits, count(*) AS sightings FROM s LEFT JOIN c USING (user_id) WHERE first_seen > DATE '2024-01-28' - 25 AND first_seen <= DATE '2024-01-28'""")
+PAPER_KEY = "['arxiv:', 'doi:', 'gh:', 'url:'][user_id % 4 + 1] || user_id"
+
+
+@query(EVENTS + f""", s AS (SELECT {PAPER_KEY} AS key, min(day) AS first_seen, bool_or(value < 2) AS baseline, CASE WHEN bool_or(k = 7) THEN true END AS unsure FROM e WHERE event_type = 'signup' GROUP BY 1), c AS (SELECT {PAPER_KEY} AS key, min(day) AS cited FROM e WHERE event_type = 'purchase' GROUP BY 1)
+SELECT count(*) FILTER (cited < first_seen) AS hits, count(*) AS sightings FROM s LEFT JOIN c USING (key) WHERE first_seen > DATE '2024-01-28' - 25 AND first_seen <= DATE '2024-01-28' AND key NOT LIKE 'url:%' AND NOT baseline AND unsure IS NULL""")
 def hits_before_sighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    seen = e.filter("event_type = 'signup'").groupBy(F.col("user_id").alias("key")).agg(F.min("day").alias("first_seen"))
-    return lineage.hits_before(seen, e.filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), "day"), F.lit("2024-01-28").cast("date"), 25)
+    prefix = F.element_at(F.array(*map(F.lit, ("arxiv:", "doi:", "gh:", "url:"))), (F.col("user_id") % 4 + 1).cast("int"))
+    e = events(spark, sf_dir).withColumn("key", F.concat(prefix, F.col("user_id").cast("string")))
+    unsure = F.when(F.bool_or(F.col("k") == 7), True)
+    seen = e.filter("event_type = 'signup'").groupBy("key").agg(F.min("day").alias("first_seen"), F.bool_or(F.col("value") < 2).alias("baseline"), unsure.alias("unsure"))
+    return lineage.hits_before(seen, e.filter("event_type = 'purchase'").select("key", "day"), F.lit("2024-01-28").cast("date"), 25)
 
 
 RECORDS = EVENTS + ", q AS (SELECT line, day, ts AS started_at, user_id AS report, ['q' || x for x in range(k, k + 1 + k % 3)] AS questions FROM e WHERE event_type = 'signup')"

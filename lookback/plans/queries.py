@@ -426,7 +426,11 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "document", F.round("score", 6).alias("score"), "place")
 
 
-TITLE = r"array_to_string(regexp_extract_all(lower(replace(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1), '\s+', ' ', 'g'), '&amp;', '&')), '([\p{L}\p{N}_]+)', 1), ' ')"
+FOLDED = "lower(nfc_normalize({}))"
+#: What case folding does beyond lower-casing (and compatibility forms beyond nfc), for the letters that titles have.
+for _letter, _folds in (("ß", "ss"), ("ẞ", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
+    FOLDED = f"replace({FOLDED}, '{_letter}', '{_folds}')"
+TITLE = r"array_to_string(regexp_extract_all({}, '([\p{{L}}\p{{N}}_]+)', 1), ' ')".format(FOLDED.format(r"replace(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1), '\s+', ' ', 'g'), '&amp;', '&')"))
 
 
 @query(f"""WITH t AS (SELECT page_id, coalesce(nullif({TITLE}, ''), CAST(page_id AS VARCHAR)) AS title, length(html) AS n, page_id % 5 = 0 AS p, substr(url, 1, 5) AS scheme FROM pages)

@@ -1,12 +1,13 @@
 """Hand-counted cases."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lookback.functions import keys, probability, statistics
-from lookback.operators import health, joins, measures, replay, routing, search, windows
+from lookback.operators import evaluation, health, joins, lineage, measures, replay, routing, search, windows
 from lookback.sources import graph
 from lookback.sources import text as sources
 
@@ -282,3 +283,50 @@ def test_meters_of_nothing_and_sets_of_stated_groups(spark):
     b = spark.createDataFrame([("q0", 1), ("q1", 3), ("q3", 4)], "q string, claim long")
     same = {r["q"]: r["same"] for r in measures.same_sets(a, b, ["q"], "claim").collect()}
     assert same == {"q0": True, "q1": False, "q2": True, "q3": False}
+
+
+def test_rotation_compares_arms(spark):
+    yields = spark.createDataFrame([("a", d, n) for d, n in ((1, 9), (2, 1), (3, 2), (4, 0), (5, 1), (6, 2))] + [("b", 1, 1), ("b", 2, 2), ("b", 3, 0), ("b", 4, None)], "q string, d int, n int")
+    now = spark.createDataFrame([("a", 4), ("c", 2)], "q string, sends int")
+    then = spark.createDataFrame([("a", 4), ("b", 2)], "q string, sends int")
+    r = measures.rotation_estimate(yields, "q", "d", "n", now, then, runs=1).first()
+    half = 1.959963984540054 * ((2 / 3) ** 2 * 3.5) ** 0.5  # what both send alike has no part in it
+    assert [round(x, 9) for x in (r["now"], r["then"], r["change"], r["low"], r["high"])] == [round(x, 9) for x in (4 * 1.2, 4 * 1.2 + 2, 2, 2 - half, 2 + half)]
+    assert (r["freed"], r["missing_now"], r["missing_then"]) == (0, 1, 0)
+
+
+def test_strata_by_an_items_first_day(spark):
+    columns = "day int, line int, question string, source string, item int, key string, p_advances double, p_contradicts double, p_checkable double, novelty double, score double, known_to_question boolean"
+    entry = lambda day, source, item, key, p, novelty=0.9, known=False: (day, 1, "q", source, item, key, p, 0.0, 0.9, novelty, p, known)
+    rows = [entry(1, "s", 1, "a", 0.9), entry(1, "s", 2, "b", 0.8), entry(1, "s", 3, "c", 0.7), entry(1, "t", 4, "d", 0.3), entry(1, "t", 5, "e", 0.9, 0.1), entry(2, "t", 6, "c", 0.9), entry(2, "t", 7, "f", 0.9, known=True), entry(2, "t", 8, "g", None)]
+    entries = spark.createDataFrame(rows, columns)
+    found = {r["key"]: r["stratum"] for r in evaluation.strata(entries, ["line", "question", "key"], routing.Policy()).collect()}
+    # two a source are shown; c is cut on its first day, though shown on the second; what fails detection or novelty is dup
+    assert found == {"a": "shown", "b": "shown", "c": "cut", "d": "dup", "e": "dup", "f": "shown", "g": "dup"}
+    both = evaluation.with_shown(entries, {"x": (routing.Policy(), False), "y": (routing.Policy(), True)})
+    for name, new_first in (("x", False), ("y", True)):
+        want = {r["item"] for r in evaluation.shown(entries, routing.Policy(), new_first).collect()}
+        assert {r["item"] for r in both.filter(f"shown_{name}").collect()} == want
+
+
+def test_bands_of_pairs(spark):
+    rows = [("prefilter", 0.3, None), ("prefilter", 0.2, 0.9), ("safe", 0.9, 0.9), ("unasked", None, None), ("drop", 0.9, None), ("keep", 0.9, 0.7), ("keep", 0.9, 0.6), ("review", 0.9, 0.5), ("drop", 0.9, 0.4)]
+    df = spark.createDataFrame(rows, "o string, p double, b double").coalesce(1)
+    got = [r[0] for r in df.select(evaluation.band(F.col("o"), F.col("p"), F.col("b"))).collect()]
+    assert got == ["pf-near", "pf-far", "safe", "unasked", "gate", "high", "band-high", "band-low", "low"]
+
+
+def test_units_of_a_long_text_in_linear_time(spark):
+    text = "".join(f"Sentence number {i} says what it has to say. " for i in range(250_000))  # 11 million characters
+    start = time.time()
+    df = search.units(spark.createDataFrame([("a", text), ("b", None), ("c", "")], "k string, t string"), "k", "t")
+    r = df.agg(F.count("*").alias("n"), F.max("unit").alias("u"), F.max("end").alias("e"), F.min(F.substring("text", 1, 8)).alias("s")).first()
+    assert (r["n"], r["u"], r["e"], r["s"]) == (250_000, 249_999, len(text) - 1, "Sentence")
+    assert time.time() - start < 30
+
+
+def test_hits_before_leave_out_what_is_unsure(spark):
+    seen = spark.createDataFrame([("arxiv:1", 5, False, None), ("doi:2", 5, None, False), ("gh:3", 5, True, False), ("arxiv:4", 5, False, True), ("url:5", 5, False, False), ("arxiv:6", -40, False, False)], "key string, d int, baseline boolean, unsure boolean")
+    seen = seen.withColumn("first_seen", F.date_add(F.lit("2024-01-10").cast("date"), F.col("d")))
+    cites = spark.createDataFrame([(k,) for k in ("arxiv:1", "gh:3", "arxiv:4", "url:5", "arxiv:6")], "key string").withColumn("day", F.lit("2024-01-02").cast("date"))
+    assert tuple(lineage.hits_before(seen, cites, F.lit("2024-01-20").cast("date")).first()) == (1, 2)

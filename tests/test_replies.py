@@ -37,7 +37,7 @@ def test_tokens_sitemaps_and_notes(spark):
     assert [r["url"] for r in got] == ["https://x/b/2", "https://x/b/1"]
     graph_text = {"@graph": [{"@type": "https://schema.org/DefinedTerm", "name": "one", "alternateName": ["uno", "one"]}, {"@type": "Person", "name": "x"}, {"@type": "skos:Concept", "name": "two", "alternateName": {"@value": "duo"}}]}
     assert [r["term"] for r in replies.vocabulary(body(spark, graph_text), "b").orderBy("place").collect()] == ["one", "uno", "two", "duo"]
-    assert [r["note"] for r in replies.opened_notes(body(spark, {"lastOpenFiles": ["jrp/2026-01-02.md", "other.md"]}), "b", r"^jrp/").collect()] == ["2026-01-02"]
+    assert [r["note"] for r in replies.opened_notes(body(spark, {"lastOpenFiles": ["reader/2026-01-02.md", "other.md"]}), "b", r"^reader/").collect()] == ["2026-01-02"]
     note = spark.createDataFrame([("n", "- [x] yes <!-- app:claim c1 -->\n- [ ] no <!-- app:source s1 -->\ntext")], "note string, text string")
     assert [(r["kind"], r["payload"], r["ticked"]) for r in replies.marks(note).collect()] == [("claim", "c1", True), ("source", "s1", False)]
     kinds = spark.createDataFrame([("https://arxiv.org/abs/1",), ("https://github.com/a/b",), ("https://doi.org/1",), ("http://x",), ("ftp://x",)], "u string").select(replies.adapter_of(F.col("u")).alias("k"))
