@@ -7,12 +7,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lookback.plans import evaluation, lineage, measures, queries  # noqa: F401
+from lookback.plans import evaluation, judgments, lineage, measures, queries  # noqa: F401
 from lookback.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Queries over texts meet letters in the larger table that the smaller one lacks.
-LARGER, OF_TEXTS = "/root/testdata/sf0.01", ("near_identical_titles", "normalized_urls", "similar_documents")
+LARGER, OF_TEXTS = "/root/testdata/sf0.01", ("near_identical_titles", "normalized_urls", "similar_documents", "states_rebuilt", "prefilter_orders")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
