@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lookback.plans import evaluation, judgments, lineage, measures, queries  # noqa: F401
+from lookback.plans import evaluation, index, judgments, lineage, measures, queries  # noqa: F401
 from lookback.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
