@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import re
 import uuid
 import zlib
 
@@ -20,7 +22,12 @@ LEVEL = 3
 #: Bytes that a gzip reader takes at a time.
 STEP = 1 << 16
 VERSION, END = b"WARC/1.1", b"\r\n\r\n"
-GZIP = b"\x1f\x8b\x08"
+GZIP, MARK, VERSION_LINE = b"\x1f\x8b\x08", b"WARC/", re.compile(rb"WARC/\d\.\d+\r\n")
+#: Bytes of a file that a reader holds, but for a longer record or member; bytes of the longest header, and those that are
+#: looked at before the rest of it.
+WINDOW, HEADER, FIRST = 1 << 22, 1 << 20, 1 << 12
+#: Payloads that several pages have are broadcast while they are at most so many; beyond, pages are shuffled to them.
+REPEATED = 100_000
 
 
 def digest(payload: bytes) -> str:
@@ -55,34 +62,106 @@ def member(raw: bytes, level: int = LEVEL) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
-    """Header fields, block and end of the record at a version line; raises ValueError where a check fails."""
-    if not raw.startswith(b"WARC/1.", at):
+class Stored:
+    """A stored file's bytes, of which about WINDOW are held at a time, and where patterns come next."""
+
+    def __init__(self, file, size: int) -> None:
+        self.file, self.size, self.at, self.held = file, size, 0, b""
+        self.hits: dict[bytes, tuple[int, int]] = {}
+
+    def read(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.file.seek(at)
+            self.at, self.held = at, self.file.read(max(n, min(WINDOW, self.size - at)))
+        return self.held[at - self.at : at - self.at + n]
+
+    def find(self, pattern: bytes, at: int) -> int:
+        """Where a pattern comes next at or behind a place, or size."""
+        while at < self.size:
+            part = self.read(at, WINDOW)
+            k = part.find(pattern)
+            if k >= 0:
+                return at + k
+            if at + len(part) >= self.size:
+                break
+            at += max(1, len(part) - len(pattern) + 1)
+        return self.size
+
+    def following(self, pattern: bytes, at: int) -> int:
+        """find() for places that go on: the last hit is remembered, so that bytes without one aren't searched again."""
+        since, hit = self.hits.get(pattern, (0, -1))
+        if not since <= at <= hit:
+            self.hits[pattern] = at, (hit := self.find(pattern, at))
+        return hit
+
+
+def stored_bytes(data: bytes) -> Stored:
+    return Stored(io.BytesIO(data), len(data))
+
+
+def header_fields(head: bytes) -> dict[str, str]:
+    """Fields of a header by lower-case name; a line that begins with white space goes on with the one before, and of a name
+    that repeats the first counts. Bytes that aren't UTF-8 are replaced."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t"):
+            if name is not None:
+                out[name] += " " + line.strip()
+            continue
+        key, colon, value = line.partition(":")
+        if not colon or not key.strip():
+            raise ValueError("bad header")
+        name = key.strip().lower() if key.strip().lower() not in out else None
+        if name is not None:
+            out[name] = value.strip()
+    return out
+
+
+def has_digest(data: bytes, named: str | None) -> bool:
+    """Whether data has a digest `algorithm:value` in base 32 or hexadecimal; one of an algorithm that isn't known says nothing."""
+    algorithm, _, value = (named or "").partition(":")
+    if algorithm.lower() not in ("sha1", "sha256", "sha512", "md5") or not value:
+        return True
+    raw = hashlib.new(algorithm.lower(), data).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
+def parse(data: Stored, at: int = 0) -> tuple[dict, bytes, int]:
+    """Header fields (by lower-case name), block and end of the record at a version line; raises ValueError where a check fails.
+
+    Where the block ends is looked at before it is read, so that a wrong length costs nothing.
+    """
+    if not VERSION_LINE.match(data.read(at, 16)):
         raise ValueError("no version line")
-    head_end = raw.find(END, at)
-    if head_end < 0:
+    head_end = data.following(END, at)
+    if head_end >= data.size or head_end - at > HEADER:
         raise ValueError("header without end")
-    try:
-        fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in raw[at:head_end].decode().split("\r\n")[1:])
-        size = int(fields["Content-Length"])
-    except (KeyError, ValueError) as e:
-        raise ValueError("bad header") from e
-    start, end = head_end + 4, head_end + 4 + size
-    block = raw[start:end]
-    if size < 0 or len(block) != size or raw[end : end + 4] != END:
+    if head_end - at > FIRST:
+        header_fields(data.read(at, FIRST).rpartition(b"\r\n")[0])  # what isn't a header is mostly none from its first lines on
+    fields = header_fields(data.read(at, head_end - at))
+    size = fields.get("content-length", "")
+    if not (size.isascii() and size.isdigit()):
+        raise ValueError("bad header")
+    start = head_end + 4
+    end = start + int(size)
+    if end + 4 > data.size or data.read(end, 4) != END:
         raise ValueError("block doesn't end where its length says")
-    if fields.get("WARC-Block-Digest", f"sha1:{digest(block)}") != f"sha1:{digest(block)}":
+    block = data.read(start, int(size))
+    if not has_digest(block, fields.get("warc-block-digest")):
         raise ValueError("block digest")
     return fields, block, end + 4
 
 
-def one_member(data: bytes, at: int) -> tuple[bytes, int]:
+def one_member(data: Stored, at: int) -> tuple[bytes, int]:
     """The content and end of the gzip member that starts at a place; reads STEP bytes at a time and no more than the member."""
-    z, view, parts = zlib.decompressobj(31), memoryview(data), []
+    z, parts = zlib.decompressobj(31), []
     try:
-        while not z.eof and at < len(data):
-            parts.append(z.decompress(view[at : at + STEP]))
-            at += len(view[at : at + STEP])
+        while not z.eof and at < data.size:
+            step = data.read(at, STEP)
+            parts.append(z.decompress(step))
+            at += len(step)
     except zlib.error as e:
         raise ValueError("gzip member") from e
     if not z.eof:
@@ -90,35 +169,66 @@ def one_member(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at - len(z.unused_data)
 
 
-def salvage(data: bytes):
+def records_at(data: Stored, at: int) -> tuple[list[tuple[dict, bytes]], int]:
+    """The records of the gzip member, or the plain record, at a place, and its end."""
+    if data.read(at, len(GZIP)) != GZIP:
+        fields, block, end = parse(data, at)
+        return [(fields, block)], end
+    raw, end = one_member(data, at)
+    inner, place, found = stored_bytes(raw), 0, []
+    while place < len(raw) or not found:
+        fields, block, place = parse(inner, place)
+        found.append((fields, block))
+    return found, end
+
+
+def salvage(data: Stored):
     """Everything valid in a file of gzip members or plain records, in order.
 
     Yields ("record", start, end, fields, block), or after failed checks ("gap", start, end, reason, None) for the
-    quarantined bytes up to the next gzip member or version line at which a valid record starts.
+    quarantined bytes up to the next gzip member or version line at which a valid record starts. Each byte is searched once
+    for either, and a failed candidate reads no more than the member or record that it claims to be. A member may hold several
+    records, which have its start and end.
     """
     at, gap, reason = 0, None, ""
-    while at < len(data):
+    while at < data.size:
         try:
-            if data.startswith(GZIP, at):
-                raw, end = one_member(data, at)
-                fields, block, used = parse(raw)
-                if used != len(raw):
-                    raise ValueError("member with more than its record")
-            else:
-                fields, block, end = parse(data, at)
+            found, end = records_at(data, at)
         except ValueError as e:
             if gap is None:
                 gap, reason = at, str(e)
-            later = [x for x in (data.find(GZIP, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(later, default=len(data))
+            at = min(data.following(GZIP, at + 1), data.following(MARK, at + 1))
             continue
         if gap is not None:
             yield "gap", gap, at, reason, None
             gap = None
-        yield "record", at, end, fields, block
+        for fields, block in found:
+            yield "record", at, end, fields, block
         at = end
     if gap is not None:
-        yield "gap", gap, len(data), reason, None
+        yield "gap", gap, data.size, reason, None
+
+
+def contents(fields: dict, block: bytes) -> tuple[bytes | None, int | None]:
+    """Payload and its length: of a record of HTTP what comes behind its header, else the block; raises ValueError if it
+    doesn't have its digest. A revisit has no payload, and the length that its header states, if it states one.
+
+    A body that was sent in parts or compressed may have a digest of either form, and isn't held against it.
+    """
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    head, blank, body = block.partition(END) if http else (b"", b"", block)
+    inner = {}
+    try:
+        inner = header_fields(head) if head else {}
+    except ValueError:
+        pass  # a server's header may be anything
+    if fields.get("warc-type", "").lower() == "revisit":
+        size = inner.get("content-length", "")
+        return None, int(size) if size.isascii() and size.isdigit() and len(size) < 19 else None
+    encoded = "transfer-encoding" in inner or "content-encoding" in inner
+    if not encoded and not has_digest(body, fields.get("warc-payload-digest")):
+        raise ValueError("payload digest")
+    return body, len(body)
 
 
 def planned(pages: DataFrame, least: int) -> DataFrame:
@@ -134,7 +244,9 @@ def planned(pages: DataFrame, least: int) -> DataFrame:
     seen = rows.filter(long).groupBy("sha1", key.alias("key")).agg(F.count("*").alias("rows"))
     first = seen.groupBy("sha1").agg(F.min("key").alias("first"), F.sum("rows").alias("rows"), F.min_by("rows", "key").alias("alike"))
     first = shared.materialize(first.filter("rows > 1").drop("rows"), "payloads")
-    joined = rows.withColumn("_key", F.when(long, F.col("sha1"))).join(first.withColumnRenamed("sha1", "_key"), "_key", "left")
+    known = first.withColumnRenamed("sha1", "_key")
+    known = F.broadcast(known) if first.count() <= REPEATED else known
+    joined = rows.withColumn("_key", F.when(long, F.col("sha1"))).join(known, "_key", "left")
     other = F.col("first").isNotNull() & (key != F.col("first"))
     alike = F.coalesce((key == F.col("first")) & (F.col("alike") > 1), F.lit(False))
     columns = ["page_id", "url", "payload"]
@@ -182,22 +294,26 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, level: int = LEVEL
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """Records and gaps of every file of a manifest, a file at a time.
+    """Records and gaps of every file of a manifest (column path), a file at a time.
 
     kind (record or gap), path, start, end, page_id, url, record_type, refers_to, payload_bytes, payload_digest,
-    payload (null for revisits), reason (of a gap). A response whose payload doesn't have its digest is a gap.
+    payload (null for revisits), reason (of a gap). A record whose payload doesn't have its digest is a gap; one without a
+    digest is taken as it is, and so is what other writers leave out: page_id, refers_to, url and payload_digest are null
+    then, and a revisit's payload_bytes if its header states none. payload_digest is bare, as the record writes it. Records of
+    all types come back. Files may be of any length, WINDOW bytes of which are held; a record is a row and is held whole.
+    Empty files have no rows. Other columns of the manifest are not read.
     """
 
     def row(path, kind, start, end, fields, block):
-        if kind == "record":
-            head, _, payload = block.partition(END)
-            whole, revisit = fields.get("WARC-Payload-Digest", ""), fields.get("WARC-Type") == "revisit"
-            number = lambda k: int(fields[k]) if fields.get(k) else None
-            if not revisit and whole != f"sha1:{digest(payload)}":
-                return ("gap", path, start, end, *[None] * 7, "payload digest")
-            size = int(head.rpartition(b"Content-Length: ")[2]) if revisit else len(payload)
-            return ("record", path, start, end, number("WARC-Page-ID"), fields.get("WARC-Target-URI"), fields.get("WARC-Type"), number("WARC-Refers-To-Page-ID"), size, whole.removeprefix("sha1:"), None if revisit else payload, None)
-        return (kind, path, start, end, *[None] * 7, fields)
+        if kind == "gap":
+            return (kind, path, start, end, *[None] * 7, fields)
+        try:
+            payload, size = contents(fields, block)
+        except ValueError as e:
+            return ("gap", path, start, end, *[None] * 7, str(e))
+        number = lambda k: int(fields[k]) if re.fullmatch(r"-?[0-9]{1,18}", fields.get(k, "")) else None
+        named = fields.get("warc-payload-digest")
+        return ("record", path, start, end, number("warc-page-id"), fields.get("warc-target-uri"), fields.get("warc-type"), number("warc-refers-to-page-id"), size, None if named is None else named.rpartition(":")[2], payload, None)
 
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
     names = ["kind", "path", "start", "end", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "reason"]
@@ -206,15 +322,14 @@ def read_warc(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, base = shared.open_store(path)
-                with store.open_input_file(base) as f:
-                    data = f.read()
                 rows, size = [], 0
-                for kind, start, end, fields, block in salvage(data):
-                    rows.append(row(path, kind, start, end, fields, block))
-                    size += len(block or b"")
-                    if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-                        rows, size = [], 0
+                with store.open_input_file(base) as f:
+                    for kind, start, end, fields, block in salvage(Stored(f, f.size())):
+                        rows.append(row(path, kind, start, end, fields, block))
+                        size += len(block or b"")
+                        if size > 8_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                            rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 

@@ -328,12 +328,12 @@ def test_salvage():
     records = [warc.record(k, "http://x/ y", b, warc.digest(b), None, False) for k, b in enumerate(bodies)]
     for pack in (warc.member, lambda r: r):
         data = b"".join(map(pack, records))
-        assert [x[0] for x in warc.salvage(data)] == ["record"] * 4
+        assert [x[0] for x in warc.salvage(warc.stored_bytes(data))] == ["record"] * 4
         second = len(pack(records[0]))
         broken = data[: second + 30] + b"\x00\xff" + data[second + 32 :]
-        found = list(warc.salvage(b"junk" + broken + pack(records[0])[:40]))
+        found = list(warc.salvage(warc.stored_bytes(b"junk" + broken + pack(records[0])[:40])))
         assert [x[0] for x in found if x[0] == "gap"].count("gap") == 3
-        assert [x[3]["WARC-Page-ID"] for x in found if x[0] == "record"] == ["0", "2", "3"]
+        assert [x[3]["warc-page-id"] for x in found if x[0] == "record"] == ["0", "2", "3"]
         spans = sorted((x[1], x[2]) for x in found)
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
@@ -391,7 +391,7 @@ def test_salvage_reads_each_member_once():
 
     plain, warc.zlib = warc.zlib, Zlib
     try:
-        assert sum(x[0] == "record" for x in warc.salvage(data)) == 40
+        assert sum(x[0] == "record" for x in warc.salvage(warc.stored_bytes(data))) == 40
     finally:
         warc.zlib = plain
     assert sum(read) < 3 * len(data)
