@@ -148,6 +148,21 @@ def test_base_scores(spark):
     assert suffixtree.score(rows, F.lit(False)).filter("score = 0 AND base_score = 0").count() == 3
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the shared tables aren't here")
+def test_made_up_words_score_below_held_out_text(spark):
+    rng = np.random.default_rng(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    noise = [(10_000_000 + k, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(200)), None, None) for k in range(20)]
+    every = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    kind = F.when(F.col("doc_id") >= 10_000_000, "noise").when(shared.crc_remainder(F.col("doc_id"), 7) == 2, "held").otherwise("train")
+    got = suffixtree.score(every, (F.col("doc_id") < 10_000_000) & (shared.crc_remainder(F.col("doc_id"), 7) != 2)).withColumn("kind", kind)
+    mean = {r["kind"]: r for r in got.groupBy("kind").agg((F.sum("score") / F.sum("n_tokens")).alias("score"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).collect()}
+    worst = got.filter("kind = 'noise'").agg(F.max(F.col("score") / F.col("n_tokens"))).first()[0]
+    print({k: (round(r["score"], 3), round(r["base"], 3)) for k, r in mean.items()}, worst)
+    assert worst < mean["held"]["score"] - 1 and mean["held"]["score"] < mean["train"]["score"]
+    assert mean["held"]["score"] > mean["held"]["base"]
+
+
 class PlainTree:
     """The same tree in plain Python: all contexts of up to depth symbols in dictionaries."""
 
@@ -156,6 +171,7 @@ class PlainTree:
         self.words, self.depth = Counter(w for t in train for w in split(t)), depth
         once, twice = sum(c == 1 for w, c in self.words.items() if w), sum(c == 2 for w, c in self.words.items() if w)
         self.n, self.d = sum(self.words.values()), min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
+        self.unseen = max(1, once * (once - 1) / (2 * (twice + 1)))
         self.top = set(sorted((w for w in self.words if w is not None), key=lambda w: (-self.words[w], w))[:symbols])
         self.follows, self.kept = {}, set()
         for t in train:
@@ -184,7 +200,7 @@ class PlainTree:
             yield tuple(path[k - size : k])
 
     def root(self, w):
-        return (self.words[w] - self.d if self.words[w] else self.d * len(self.words)) / self.n
+        return (self.words[w] - self.d if self.words[w] else self.d * len(self.words) / self.unseen) / self.n
 
     def p(self, context, w):
         if not context:
