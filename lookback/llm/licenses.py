@@ -9,11 +9,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import shared
 
 # Notices and lines by which texts state their license.
+_NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 TEMPLATES = {
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "cc0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -30,11 +39,15 @@ TEMPLATES = {
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# whole texts: a notice with what stands behind it
+TEMPLATES["mit"] = f"{TEMPLATES['mit-notice']} {_NO_WARRANTY}"
+TEMPLATES["bsd-2-clause-text"] = f"{TEMPLATES['bsd-2-clause']} {_BSD_DISCLAIMER}"
+TEMPLATES["bsd-3-clause-text"] = f"{TEMPLATES['bsd-2-clause']} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}"
 
-#: Words of a fingerprint, fingerprints of which winnowing keeps the least, width of the alignment band to each side, and
-#: the part of a template that a match must cover. Any WORDS + WINDOW - 1 words in common are found: with a window of 1
-#: every run of three words, as evenly spread edits can leave few of them.
-WORDS, WINDOW, BAND, COVERAGE = 3, 1, 8, 0.7
+#: Words of a fingerprint, consecutive fingerprints of a template of which winnowing keeps the least, width of the alignment
+#: band to each side, and the part of a template that a match must cover. A place is found if it has any WORDS + WINDOW - 1
+#: words of the template in a row; with a window of 1, which keeps every fingerprint, WORDS of them.
+WORDS, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.7
 
 TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -50,7 +63,7 @@ def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
 class Index:
     """Templates' words as numbers from 1, and their winnowed fingerprints with template and place."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], window: int = WINDOW) -> None:
         self.names = sorted(templates)
         words = [TOKEN.findall(templates[n].lower()) for n in self.names]
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for ws in words for w in ws}))}
@@ -62,7 +75,7 @@ class Index:
         self.prints = []
         for t, ids in enumerate(self.templates):
             grams = [self.code(ids[i : i + WORDS]) for i in range(len(ids) - WORDS + 1)]
-            kept = winnow([xxhash.xxh64_intdigest(str(g)) for g in grams])
+            kept = winnow([xxhash.xxh64_intdigest(str(g)) for g in grams], window)
             self.prints.append(len(kept))
             for i in kept:
                 postings[grams[i]].append((t, i))
@@ -76,13 +89,23 @@ class Index:
         return out
 
 
-def common(template: list[int], words: list[int]) -> int:
-    """Most words of a template that stand in words in order."""
-    row = [0] * (len(words) + 1)
-    for want in template:
-        last = 0
-        for j, w in enumerate(words, 1):
-            last, row[j] = row[j], last + 1 if w == want else max(row[j], row[j - 1])
+def common(template: list[int], words: list[int], band: int = BAND) -> int:
+    """Most words of a template that stand in words in order, by an alignment of both from end to end that is at most `band`
+    places off the diagonals of their ends."""
+    n = len(words)
+    low, high = min(0, n - len(template)) - band, max(0, n - len(template)) + band
+    row = [0] * (n + 1)
+    for i, want in enumerate(template):
+        first, last = max(1, i + 1 + low), min(n, i + 1 + high)
+        if first > last:
+            continue
+        new, corner = row[:], row[first - 1]
+        for j in range(first, last + 1):
+            up = row[j]
+            new[j] = corner + 1 if words[j - 1] == want else max(up, new[j - 1])
+            corner = up
+        # what is beyond the band has no better alignment than its edge
+        row = new[: last + 1] + [max(new[last], x) for x in new[last + 1 :]]
     return row[-1]
 
 
@@ -196,17 +219,26 @@ def matches(index: Index, ids: np.ndarray, coverage: float) -> list[tuple[int, i
     return sorted(kept, key=lambda m: m[2])
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates from a folder of texts, named by their files; every worker holds all of them."""
+    rows = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"))
+    return {r["name"]: r["value"] for r in rows.collect()}
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, window: int = WINDOW) -> DataFrame:
     """A row for each place where a document has at least `coverage` of a template's words in order.
 
-    A place is a chain of word runs (three words or more) with at most as many words between two as the template has; parts
-    further apart are separate places, and a place without such a run isn't found.
+    A place is a chain of word runs in common with the template, with at most as many words between two as the template has;
+    parts further apart are separate places. Fingerprints of three words are winnowed by `window`: a place is found if it has
+    2 + window of the template's words in a row anywhere, so with a window of 1 every place that has three. Between and
+    around runs, words are aligned within a band of BAND places around the diagonals.
     doc_id, license, matched_words, coverage (of the template), span_start and span_end (characters of the text). Words
     are runs of [a-z0-9] of the lower-cased text. Of overlapping matches only that of most words is reported: a notice, not
     the line it starts with. Texts that are null, empty or without a match give no row. Rows that repeat a
-    doc_id are scanned each. Without templates or documents the result is empty. Other columns are not read.
+    doc_id are scanned each. Very long texts are scanned whole, one at a time. Without templates or documents the result is
+    empty. Other columns are not read.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, window))
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
     names = ["doc_id", "license", "matched_words", "coverage", "span_start", "span_end"]
 

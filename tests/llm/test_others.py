@@ -327,7 +327,7 @@ def test_license_with_insertions_and_even_edits(spark):
     twice = " ".join(mit) + " w" * 20 + " " + " ".join(mit)
     apart = " ".join(mit[:43]) + " w" * 500 + " " + " ".join(mit[43:])
     rows = [(k, "w " * 50 + t + " w" * 50, None, None, None) for k, t in enumerate((inserted, removed, " ".join(even), twice, apart))]
-    got = licenses.scan(docs_of(spark, rows)).orderBy("doc_id", "span_start").collect()
+    got = licenses.scan(docs_of(spark, rows), window=1).orderBy("doc_id", "span_start").collect()
     assert [(r["doc_id"], r["license"]) for r in got] == [(k, "mit-notice") for k in (0, 1, 2, 3, 3)]
     size = len(licenses.TOKEN.findall(" ".join(mit).lower()))
     assert [r["matched_words"] for r in got if r["doc_id"] != 2] == [size, size - 12, size, size]
