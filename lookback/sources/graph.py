@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..operators.windows import latest
+from . import folders
 
 
 class SchemaError(ValueError):
@@ -91,12 +92,13 @@ def replace_all(spark: SparkSession, path: str, rows: DataFrame, key: list[str],
     """Writes a table's next version and gives its number; the last `keep` stay.
 
     A version counts once it is written to its end, so whatever is lost in between leaves the one before. Which file is
-    the latest follows from the folder's names alone.
+    the latest follows from the folder's names alone. The second of two writers of one number fails.
     """
     found = versions(spark, path)
-    following = (found[-1] if found else 0) + 1
     hadoop, store = _store(spark, path)
-    rows.sortWithinPartitions(*key).write.mode("overwrite").parquet(f"{path}/v{following}")
+    begun = [int(n[1:]) for n in folders.names_in(spark, path) if n[:1] == "v" and n[1:].isdigit()]
+    following = max(begun, default=0) + 1
+    rows.sortWithinPartitions(*key).write.mode("errorifexists").parquet(f"{path}/v{following}")
     for old in found[: len(found) + 1 - keep]:
         store.delete(hadoop(f"{path}/v{old}"), True)
     return following

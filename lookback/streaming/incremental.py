@@ -6,23 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.graph import read_table, replace_all, write_upsert
+from ..sources import keyed
 
 
 def first_sightings(stream: DataFrame, path: str, key: list[str], time: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the first arrival of each key in a table and ends; run again it takes what is new.
+    """Keeps the first arrival of each key in a table (see keyed.add_first) and ends; run again it takes what is new.
 
-    What the table has is never written anew, however late a key comes again; a batch that runs twice changes nothing.
+    What the table has is never replaced, however late a key comes again, and only the buckets that a batch's keys are in
+    are written. A batch that runs twice changes nothing.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        stored = read_table(spark, path)
-        columns = [c for c in batch.columns if c not in key]
-        firsts = batch.groupBy(*key).agg(F.min_by(F.struct(*columns), time).alias("_r")).select(*key, "_r.*").select(*batch.columns)
-        if stored is not None:
-            firsts = stored.unionByName(firsts.join(stored.select(*key), key, "left_anti"))
-        replace_all(spark, path, firsts, key)
+        keyed.add_first(batch.sparkSession, path, batch, key, time)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -35,10 +30,11 @@ def weekly_counts(stream: DataFrame, time: str, by: list[str], maturity: str = "
 
 
 def upsert_stream(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Upserts all that is there into a table and ends; run again it takes what is new. A batch that runs twice changes nothing."""
+    """Upserts all that is there into a table (see keyed.upsert) and ends; run again it takes what is new. A batch writes the
+    buckets that its keys are in; one that runs twice changes nothing."""
 
     def put(batch: DataFrame, _: int) -> None:
-        write_upsert(batch.sparkSession, path, batch.withColumn("_n", F.col(order)), key)
+        keyed.upsert(batch.sparkSession, path, batch.withColumn("_n", F.col(order)), key, "_n")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,7 @@
 """Hand-counted cases."""
 
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -330,3 +331,17 @@ def test_hits_before_leave_out_what_is_unsure(spark):
     seen = seen.withColumn("first_seen", F.date_add(F.lit("2024-01-10").cast("date"), F.col("d")))
     cites = spark.createDataFrame([(k,) for k in ("arxiv:1", "gh:3", "arxiv:4", "url:5", "arxiv:6")], "key string").withColumn("day", F.lit("2024-01-02").cast("date"))
     assert tuple(lineage.hits_before(seen, cites, F.lit("2024-01-20").cast("date")).first()) == (1, 2)
+
+
+@pytest.mark.parametrize("common", [0.05, 0.4, 2.0])
+def test_top_matches_equal_the_best_of_all_scores(spark, common):
+    rng = random.Random(7)
+    words = ["the"] * 12 + ["of"] * 8 + [f"w{i}" for i in range(30)] + ["x", "y"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(120)] + [(900, None), (901, "the")], "d int, t string")
+    asked = spark.createDataFrame([("a", "the of w1 w2"), ("b", "the"), ("c", "nothing"), ("d", "w3 w3 the"), ("e", None), ("f", "the of"), ("g", " ".join(f"w{i}" for i in range(30)))], "q string, t string")
+    w = search.ascii_words(F.coalesce("t", F.lit("")))
+    for stop in (None, ["the"]):
+        want = search.best_matches(search.bm25(docs, "d", w, asked, "q", w, stopwords=stop), 4).collect()
+        got = search.top_matches(docs, "d", w, asked, "q", w, 4, stopwords=stop, common=common).collect()
+        key = lambda rows: sorted((r["query"], r["place"], r["document"], round(r["score"], 6)) for r in rows)
+        assert key(got) == key(want) and key(got)
