@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import days, posterior, replay, routing
+from ..functions import notes
+from ..operators import days, posterior, replay, routing, unions
 from ..operators.evaluation import Arm
-from .queries import PAIRS, events, hashed, outcome_sql, pairs
-from .registry import query
+from ..sources import documents
+from .queries import EVENTS, PAIRS, events, hashed, outcome_sql, pairs
+from .registry import query, table
 
 
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +52,56 @@ def posterior_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [replay.cells(p.filter(F.col("level") == level), "source", F.col("now") == "keep", F.col("then") == "keep", F.col("gold")).withColumn("level", F.lit(level)) for level in ("personal", "report")]
     found = posterior.estimates(parts[0].unionByName(parts[1]), "level")
     return found.select("level", "name", F.round("value", 6).alias("value"), F.coalesce(F.col("low") <= F.col("high"), F.lit(False)).alias("measured"))
+
+
+@query(EVENTS + """, f AS (SELECT DISTINCT event_type AS net, k, user_id FROM e WHERE user_id NOT IN (SELECT user_id FROM e WHERE event_type = 'signup' AND k < 3)), r AS (SELECT DISTINCT event_type AS net, k FROM e),
+ s AS (SELECT n AS arm, net, k FROM r, range(50) t(n) WHERE (ascii(net) + k * 7 + n * 3) % 11 < 1 + n % 4)
+SELECT CAST(arm AS BIGINT) AS arm, count(DISTINCT (s.net, s.k)) AS requests, count(DISTINCT user_id) AS "found" FROM s LEFT JOIN f ON f.net = s.net AND f.k = s.k GROUP BY arm""")
+def next_sends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that each of 50 sets of requests (event type and k) would find together, but for those known by early signups."""
+    e, c = events(spark, sf_dir), F.col
+    finds = e.select(c("event_type").alias("net"), "k", "user_id")
+    arms = spark.range(50).withColumnRenamed("id", "arm")
+    requests = finds.select("net", "k").distinct()  # a few hundred
+    sets = requests.crossJoin(F.broadcast(arms)).filter((F.ascii("net") + c("k") * 7 + c("arm") * 3) % 11 < 1 + c("arm") % 4)
+    return unions.union_sizes(finds, ["net", "k"], ["user_id"], sets, "arm", e.filter((c("event_type") == "signup") & (c("k") < 3)).select("user_id"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, '$.turns[' || i || '].role' AS path, md5(role) AS text FROM t WHERE role IS NOT NULL UNION ALL SELECT conv_id, '$.turns[' || i || '].said.text', md5(text) FROM t WHERE text IS NOT NULL
+UNION ALL SELECT conv_id, '$.turns[' || i || '].said.words[' || j || '][0]', md5(w[j + 1]) FROM (SELECT conv_id, i, string_split(text, ' ') AS w, unnest(range(len(string_split(text, ' ')))) AS j FROM t WHERE i = 0) UNION ALL SELECT DISTINCT conv_id, '$."a name"', md5('conversation ' || conv_id) FROM t""")
+def conversation_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings with their paths of conversations that are written as nested JSON, with numbers, nulls and lists of lists in it."""
+    c = F.col
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    words = lambda x, i: F.when(i == 0, F.transform(F.split(x["text"], " "), lambda w: F.array(w)))
+    turns = F.transform("t", lambda x, i: F.struct(x["turn"].alias("number"), x["role"].alias("role"), F.struct(x["text"].alias("text"), words(x, i).alias("words")).alias("said")))
+    body = F.to_json(F.struct(turns.alias("turns"), F.concat(F.lit("conversation "), c("conv_id").cast("string")).alias("a name"), F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"})
+    return documents.json_strings(rows.select("conv_id", body.alias("body")), "conv_id", "body").withColumn("text", F.md5("text"))
+
+
+LETTERS = "[CASE WHEN {} THEN '\\' || c[i] ELSE c[i] END for i in range(1, len(c) + 1)]"
+_FENCE = "coalesce(c[i{}] in ('`', '~'), false)"
+_AT = [_FENCE.format(x) for x in (" - 2", " - 1", "", " + 1", " + 2")]
+#: Rules that look at neighbours go letter by letter, as DuckDB's patterns can't look around.
+SAFE_STEPS = [
+    ("letters", "c[i] = '[' AND (coalesce(c[i + 1] = '[', false) OR (i > 1 AND c[i - 1] = '['))"), ("pattern", r"!\[", r"!\\["), ("letters", "c[i] = '%' AND (coalesce(c[i + 1] = '%', false) OR (i > 1 AND c[i - 1] = '%'))"),
+    ("letters", f"{_AT[2]} AND (({_AT[3]} AND {_AT[4]}) OR (i > 1 AND {_AT[1]} AND {_AT[3]}) OR (i > 2 AND {_AT[0]} AND {_AT[1]}))"),
+    ("pattern", r"`(\s*\$?)=", r"\\`\1\\="), ("pattern", "<([/!?%a-zA-Z])", r"&lt;\1"), ("pattern", r"(?m)^(\s*)#", r"\1\\#"), ("pattern", r"(?m)^(\s*[-*+] )\[", r"\1\\["), ("pattern", r"(?i)\]\(\s*(javascript|data):", r"]\\(\1:"),
+]
+
+
+def safe_sql() -> str:
+    sql = "SELECT doc_id, text AS t FROM documents"
+    for kind, *rule in SAFE_STEPS:
+        if kind == "letters":
+            sql = f"SELECT doc_id, array_to_string({LETTERS.format(rule[0])}, '') AS t FROM (SELECT doc_id, CASE WHEN t IS NOT NULL THEN string_split(t, '') END AS c FROM ({sql}))"
+        else:
+            sql = f"SELECT doc_id, regexp_replace(t, '{rule[0]}', '{rule[1]}', 'g') AS t FROM ({sql})"
+    return sql
+
+
+@query(f"SELECT doc_id, md5(t) AS safe, length(t) AS n FROM ({safe_sql()})")
+def safe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = notes.sanitized(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", safe.alias("t")).select("doc_id", F.md5("t").alias("safe"), F.length("t").cast("long").alias("n"))
