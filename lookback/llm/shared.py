@@ -118,10 +118,22 @@ def kept(name: str, make):
     return _kept[name]
 
 
-def row_steps(batch, rows: int = 500):
-    """An Arrow batch in slices of so many rows, so that a task holds few of its texts as Python strings at once."""
-    for a in range(0, len(batch), rows):
-        yield batch.slice(a, rows)
+def row_steps(batch, rows: int = 500, most: int = 8 << 20):
+    """An Arrow batch in slices of at most so many rows and, but for a single longer row, so many bytes of text, so that a
+    task holds few of its texts as Python strings at once."""
+    import pyarrow.compute as pc
+    from pyarrow import types
+
+    texts = [c for c in batch.columns if types.is_string(c.type) or types.is_large_string(c.type)]
+    sizes = [pc.fill_null(pc.binary_length(c), 0).to_pylist() for c in texts]
+    start = total = 0
+    for i, size in enumerate(map(sum, zip(*sizes)) if sizes else [0] * len(batch)):
+        if i > start and (i - start == rows or total + size > most):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if start < len(batch):
+        yield batch.slice(start)
 
 
 def slices(texts: list[str], chars: int):

@@ -119,3 +119,17 @@ def test_a_worker_keeps_one_table_at_a_time(monkeypatch):
     assert list(shared._kept) == ["word hashes"]
     assert shared.kept("one", dict) is not first and list(shared._kept) == ["one"]
     assert (neardup.shingles(text, 2) == before).all() and len(before) == 4
+
+
+def test_steps_of_rows_hold_few_bytes():
+    import pyarrow as pa
+
+    from lookback.llm import shared
+
+    texts = ["a", None, "b" * 90, "c" * 300, "", "d" * 60, "e" * 60, *["f"] * 7]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    steps = list(shared.row_steps(batch, rows=5, most=100))
+    assert [x for s in steps for x in s.column("text").to_pylist()] == texts
+    assert all(len(s) <= 5 and (len(s) == 1 or sum(len(t or "") for t in s.column("text").to_pylist()) <= 100) for s in steps)
+    assert list(shared.row_steps(batch.slice(0, 0))) == []
+    assert [len(s) for s in shared.row_steps(batch.select(["id"]), rows=5)] == [5, 5, 4]
