@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import statistics
 from .routing import Policy, detection, gates, route, weighted
 from .windows import capped, claims_per_question
 
@@ -158,39 +159,55 @@ def new_finds(reached: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def intake_score(reached: DataFrame, known: DataFrame) -> DataFrame:
-    """One row: reached and screened sources, unjudged ones, keys, new keys, and new keys that passed."""
+    """One row: reached and screened sources, unjudged ones, keys, new keys, new keys that passed; days, passed_a_day; delay
+    (median days from a passed key's publication to the day it was first reached); once and twice (passed new keys that one,
+    two days found) with Chao2's estimate of all there are, null below 10 days.
+
+    reached: day, source, key, chars_ok, passes (null: unjudged), published (null: unknown).
+    """
     fresh = reached.join(known.select("key").distinct().withColumn("_known", F.lit(True)), "key", "left")
     new = F.col("_known").isNull()
-    return fresh.agg(
+    found = new & F.col("chars_ok") & F.coalesce("passes", F.lit(False))
+    totals = fresh.agg(
         F.count_distinct("source").alias("reached"), F.count_distinct(F.when(F.col("chars_ok"), F.col("source"))).alias("screened"),
         F.count_distinct(F.when(F.col("chars_ok") & F.col("passes").isNull(), F.col("source"))).alias("unjudged"), F.count_distinct("key").alias("keys"),
-        F.count_distinct(F.when(new, F.col("key"))).alias("keys_new"), F.count_distinct(F.when(new & F.col("chars_ok") & F.col("passes"), F.col("key"))).alias("passed_new"),
+        F.count_distinct(F.when(new, F.col("key"))).alias("keys_new"), F.count_distinct("day").alias("days"),
     )
+    each = fresh.filter(found).groupBy("key").agg(F.count_distinct("day").alias("_units"), F.datediff(F.min("day"), F.min("published")).alias("_delay"))
+    passed = each.agg(F.count("*").alias("passed_new"), F.median("_delay").alias("delay"), F.count_if(F.col("_units") == 1).alias("once"), F.count_if(F.col("_units") == 2).alias("twice"))
+    both = totals.crossJoin(F.broadcast(passed))  # a row each
+    chao = statistics.chao2(F.col("passed_new"), F.col("once"), F.col("twice"), F.col("days"))
+    return both.withColumns({"passed_a_day": F.col("passed_new") / F.col("days"), "chao2": F.when(F.col("days") >= 10, chao["estimate"])})
 
 
-def token_batches(items: DataFrame, group: list[str], order: str, size: str, most: int, fixed: int = 0) -> DataFrame:
-    """items with batch (from 0): each is filled in order until the next item wouldn't fit into `most` with the fixed part.
+def token_batches(items: DataFrame, group: list[str], order: str, size: str, most: int, fixed: int = 0, most_items: int | None = None) -> DataFrame:
+    """items with batch (from 0): each is filled in order until the next item wouldn't fit into `most` with the fixed part, or
+    it has most_items; an item too large for any goes alone.
 
-    Where a batch starts depends on the one before, so a group is one fold over its sizes; groups are dealt over tasks.
-    Only group, order and size go through it.
+    Where a batch starts depends on the one before, so a group is one fold over its sizes, in one task, of which a task holds
+    no more than the running batch; groups are dealt over tasks. Only group, order and size go through it.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     room = most - fixed
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        batch, used, out = 0, 0, []
-        for n in rows[size]:
-            if used and used + n > room:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return rows.assign(batch=out)
-
-    narrow = items.select(*group, order, size)
-    placed = narrow.groupBy(*group).applyInPandas(fold, narrow.select("*", F.lit(0).alias("batch")).schema)
-    return items.join(placed.drop(size), [*group, order])
+    narrow = items.select(*group, order, size).repartition(*group).sortWithinPartitions(*group, order)
+    schema, k = narrow.select("*").schema.add("batch", "integer"), len(group)
+
+    def fold(batches):
+        at, batch, used, n = None, 0, 0, 0
+        for rows in batches:
+            out = []
+            keys, sizes = zip(*[c.to_pylist() for c in rows.columns[:k]]), [n or 0 for n in rows.column(k + 1).to_pylist()]
+            for key, tokens in zip(keys, sizes):
+                if key != at:
+                    at, batch, used, n = key, 0, 0, 0
+                elif n and (used + tokens > room or n == most_items):
+                    batch, used, n = batch + 1, 0, 0
+                used, n = used + tokens, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int32())], names=[*rows.schema.names, "batch"])
+
+    return items.join(narrow.mapInArrow(fold, schema).drop(size), [*group, order])
 
 
 def request_plan(requests: DataFrame, net: str, order: str, budgets: dict[str, int]) -> DataFrame:

@@ -109,21 +109,24 @@ def listing_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.listing_cut(listed, arm, "line", "day")
 
 
-REACHED = EVENTS + f""", r AS (SELECT day, user_id AS source, event_type AS via, k AS key, value >= 5 AS ok, CASE WHEN value < 45 THEN greatest({hashed_sql("user_id", "a")}, {hashed_sql("user_id", "b")}) >= 0.5 END AS passes FROM e WHERE day >= DATE '2024-01-05'),
+REACHED = EVENTS + f""", r AS (SELECT day, user_id AS source, event_type AS via, k AS key, value >= 5 AS ok, CASE WHEN value < 45 THEN greatest({hashed_sql("user_id", "a")}, {hashed_sql("user_id", "b")}) >= 0.5 END AS passes, CASE WHEN k % 4 <> 0 THEN day - k % 9 END AS published FROM e WHERE day >= DATE '2024-01-05'),
  o AS (SELECT DISTINCT k AS key FROM e WHERE day < DATE '2024-01-05' AND value > 40)"""
 
 
 def reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e, c = events(spark, sf_dir), F.col
     verdict = evaluation.source_verdict(F.array(hashed(c("user_id"), "a"), hashed(c("user_id"), "b")))
-    found = e.filter("day >= '2024-01-05'").select("day", c("user_id").alias("source"), c("event_type").alias("via"), c("k").alias("key"), (c("value") >= 5).alias("chars_ok"), F.when(c("value") < 45, verdict["passes"]).alias("passes"))
+    found = e.filter("day >= '2024-01-05'").select("day", c("user_id").alias("source"), c("event_type").alias("via"), c("k").alias("key"), (c("value") >= 5).alias("chars_ok"), F.when(c("value") < 45, verdict["passes"]).alias("passes"), F.when(c("k") % 4 != 0, F.date_sub("day", c("k") % 9)).alias("published"))
     return found, e.filter("day < '2024-01-05' AND value > 40").select(c("k").alias("key"))
 
 
-@query(REACHED + """SELECT count(DISTINCT source) AS reached, count(DISTINCT source) FILTER (ok) AS screened, count(DISTINCT source) FILTER (ok AND passes IS NULL) AS unjudged, count(DISTINCT r.key) AS keys,
- count(DISTINCT r.key) FILTER (o.key IS NULL) AS keys_new, count(DISTINCT r.key) FILTER (o.key IS NULL AND ok AND passes) AS passed_new FROM r LEFT JOIN o ON r.key = o.key""")
+@query(REACHED + """, n AS (SELECT r.key, count(DISTINCT day) AS u, min(day) - min(published) AS d FROM r ANTI JOIN o ON r.key = o.key WHERE ok AND passes GROUP BY 1), p AS (SELECT count(*) FILTER (u = 1) AS once, count(*) FILTER (u = 2) AS twice, median(d) AS delay, count(*) AS s FROM n),
+ x AS (SELECT count(DISTINCT source) AS reached, count(DISTINCT source) FILTER (ok) AS screened, count(DISTINCT source) FILTER (ok AND passes IS NULL) AS unjudged, count(DISTINCT r.key) AS keys,
+ count(DISTINCT r.key) FILTER (o.key IS NULL) AS keys_new, count(DISTINCT r.key) FILTER (o.key IS NULL AND ok AND passes) AS passed_new, count(DISTINCT day) AS days FROM r LEFT JOIN o ON r.key = o.key)
+SELECT x.*, delay, once, twice, round(s / days, 6) AS passed_a_day, CASE WHEN days >= 10 THEN round(CASE WHEN once = 0 THEN s WHEN twice > 0 THEN s + (days - 1) / days * once * once / (2 * twice) ELSE s + (days - 1) / days * once * (once - 1) / 2 END, 6) END AS chao2 FROM x, p""")
 def intake_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.intake_score(*reached(spark, sf_dir))
+    found = evaluation.intake_score(*reached(spark, sf_dir))
+    return found.withColumns({n: F.round(n, 6) for n in ("passed_a_day", "chao2")})
 
 
 @query(REACHED + "SELECT r.key, min(day) AS first_day, array_to_string(list_sort(list_distinct(list(via))), ',') AS vias FROM r ANTI JOIN o ON r.key = o.key WHERE ok AND passes GROUP BY 1")
@@ -143,10 +146,13 @@ def nearest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.nearest_reviews(rows, "source", "doc_id", "distance").select("source", "doc_id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, octet_length(encode(text)) // 3 + 1 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+ b AS (SELECT conv_id, turn, tokens, i, 0 AS batch, tokens AS used, 1 AS n FROM t WHERE i = 1 UNION ALL
+  SELECT t.conv_id, t.turn, t.tokens, t.i, batch + CASE WHEN used + t.tokens > 350 OR n = 3 THEN 1 ELSE 0 END, CASE WHEN used + t.tokens > 350 OR n = 3 THEN t.tokens ELSE used + t.tokens END, CASE WHEN used + t.tokens > 350 OR n = 3 THEN 1 ELSE n + 1 END FROM b JOIN t ON t.conv_id = b.conv_id AND t.i = b.i + 1)
+SELECT conv_id, turn, tokens, CAST(batch AS INTEGER) AS batch FROM b""")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", keys.estimated_tokens(F.col("text")).alias("tokens"))
-    return evaluation.token_batches(rows, ["conv_id"], "turn", "tokens", 400, 50)
+    return evaluation.token_batches(rows, ["conv_id"], "turn", "tokens", 400, 50, 3)
 
 
 # the weekly review

@@ -11,10 +11,22 @@ from .text import abstract
 WORK = "struct<id:string,doi:string,title:string,publication_date:string,abstract_inverted_index:map<string,array<int>>,primary_topic:struct<display_name:string>>"
 
 
+#: What a parser gives of an item, beside its reply's own columns (request, day and the like).
+ITEM = ("place", "title", "url", "text", "published")
+
+
 def _items(replies: DataFrame, body: str, schema: str, path: str) -> DataFrame:
-    """place (from 0) and i, the items of a list in a JSON reply; replies that don't parse have none."""
+    """A reply's own columns, place (from 0 in each reply) and i, the items of a list in it; replies that don't parse have none.
+
+    Own columns that have a name of ITEM are left out.
+    """
     listed = F.from_json(F.col(body), schema)
-    return replies.select(F.posexplode(listed if not path else listed.getField(path)).alias("place", "i"))
+    own = [c for c in replies.columns if c != body and c not in (*ITEM, "i")]
+    return replies.select(*own, F.posexplode(listed if not path else listed.getField(path)).alias("place", "i"))
+
+
+def _item(rows: DataFrame, title: Column, url: Column, text: Column, published: Column) -> DataFrame:
+    return rows.select(*[c for c in rows.columns if c not in ("place", "i")], "place", title.alias("title"), url.alias("url"), text.alias("text"), published.alias("published"))
 
 
 def _blank(c: Column) -> Column:
@@ -32,7 +44,7 @@ def works(replies: DataFrame, body: str) -> DataFrame:
     rows = _items(replies, body, f"struct<results:array<{WORK}>>", "results")
     text, topic = F.coalesce(abstract(F.col("i.abstract_inverted_index")), F.lit("")), F.col("i.primary_topic.display_name")
     marked = F.when(topic.isNull(), text).otherwise(F.concat_ws("\n", F.nullif(text, F.lit("")), F.concat(F.lit("Topic: "), topic)))
-    return rows.select("place", _blank(F.col("i.title")).alias("title"), paper_url(F.coalesce("i.doi", "i.id")).alias("url"), marked.alias("text"), iso_date(F.col("i.publication_date")).alias("published"))
+    return _item(rows, _blank(F.col("i.title")), paper_url(F.coalesce("i.doi", "i.id")), marked, iso_date(F.col("i.publication_date")))
 
 
 def topic_of(text: Column) -> Column:
@@ -42,7 +54,7 @@ def topic_of(text: Column) -> Column:
 
 def daily_papers(replies: DataFrame, body: str) -> DataFrame:
     rows = _items(replies, body, "array<struct<paper:struct<id:string,title:string,summary:string,publishedAt:string>>>", "")
-    return rows.select("place", _blank(F.col("i.paper.title")).alias("title"), F.concat(F.lit("https://arxiv.org/abs/"), F.col("i.paper.id")).alias("url"), _blank(F.col("i.paper.summary")).alias("text"), iso_date(F.col("i.paper.publishedAt")).alias("published"))
+    return _item(rows, _blank(F.col("i.paper.title")), F.concat(F.lit("https://arxiv.org/abs/"), F.col("i.paper.id")), _blank(F.col("i.paper.summary")), iso_date(F.col("i.paper.publishedAt")))
 
 
 def daily_date(now: Column) -> Column:
@@ -55,7 +67,7 @@ def repositories(replies: DataFrame, body: str) -> DataFrame:
     rows = _items(replies, body, "struct<items:array<struct<full_name:string,html_url:string,description:string,topics:array<string>,pushed_at:string>>>", "items")
     about, topics = _blank(F.col("i.description")), F.array_join("i.topics", ", ")
     text = F.when(F.coalesce(F.size("i.topics"), F.lit(0)) > 0, F.concat(about, F.lit(" Topics: "), topics)).otherwise(about)
-    return rows.filter(about != "").select("place", F.col("i.full_name").alias("title"), F.col("i.html_url").alias("url"), text.alias("text"), iso_date(F.col("i.pushed_at")).alias("published"))
+    return _item(rows.filter(about != ""), F.col("i.full_name"), F.col("i.html_url"), text, iso_date(F.col("i.pushed_at")))
 
 
 def recommended(replies: DataFrame, body: str) -> DataFrame:
@@ -63,7 +75,7 @@ def recommended(replies: DataFrame, body: str) -> DataFrame:
     rows = _items(replies, body, "struct<recommendedPapers:array<struct<title:string,abstract:string,url:string,publicationDate:string,externalIds:struct<ArXiv:string,DOI:string>>>>", "recommendedPapers")
     ids = F.col("i.externalIds")
     url = F.coalesce(F.concat(F.lit("https://arxiv.org/abs/"), ids["ArXiv"]), F.concat(F.lit("https://doi.org/"), ids["DOI"]), F.col("i.url"))
-    return rows.filter(_blank(F.col("i.abstract")) != "").select("place", _blank(F.col("i.title")).alias("title"), url.alias("url"), _blank(F.col("i.abstract")).alias("text"), iso_date(F.col("i.publicationDate")).alias("published"))
+    return _item(rows.filter(_blank(F.col("i.abstract")) != ""), _blank(F.col("i.title")), url, _blank(F.col("i.abstract")), iso_date(F.col("i.publicationDate")))
 
 
 def seed_token(positive: Column, negative: Column, most: int = 100) -> Column:
@@ -86,7 +98,7 @@ def published_on(value: Column) -> Column:
 
 def web_results(replies: DataFrame, body: str) -> DataFrame:
     rows = _items(replies, body, "struct<results:array<struct<title:string,url:string,content:string,published_date:string>>>", "results")
-    return rows.select("place", _blank(F.col("i.title")).alias("title"), F.col("i.url").alias("url"), _blank(F.col("i.content")).alias("text"), published_on(F.col("i.published_date")).alias("published"))
+    return _item(rows, _blank(F.col("i.title")), F.col("i.url"), _blank(F.col("i.content")), published_on(F.col("i.published_date")))
 
 
 def sitemap_pages(replies: DataFrame, body: str, prefix: str, today: Column, days: int = 3) -> DataFrame:
@@ -142,17 +154,29 @@ def marks(notes: DataFrame, text: str = "text") -> DataFrame:
     return rows.filter(F.rlike("_line", F.lit(pattern))).select(*[c for c in notes.columns if c != text], part(2).alias("kind"), part(3).alias("payload"), (F.lower(part(1)) == "x").alias("ticked"))
 
 
-def followed(items: DataFrame, pages: DataFrame, most: int) -> DataFrame:
-    """items with the text of their page where they have none, for the first `most` of them by place; skipped says which had none fetched."""
-    empty = items.filter(F.trim("text") == "").withColumn("_n", F.row_number().over(Window.orderBy("place"))).filter(F.col("_n") <= most)  # a reply's items
-    filled = empty.select("url").join(pages.select("url", F.col("text").alias("_page")), "url")
-    out = items.join(filled.dropDuplicates(["url"]), "url", "left")
-    return out.select(*[F.coalesce(F.nullif(F.trim("text"), F.lit("")), "_page", F.lit("")).alias("text") if c == "text" else F.col(c) for c in items.columns], ((F.trim("text") == "") & F.col("_page").isNull()).alias("skipped"))
+def followed(items: DataFrame, pages: DataFrame, most: int, request: list[str] | None = None) -> DataFrame:
+    """items with the text of their page where they have none, for the first `most` of each request by place; skipped says
+    which of those without a text got none.
+
+    request: columns that name a reply (all of one reply, where there are none). A page that is there twice counts once, by
+    its greatest text.
+    """
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    numbered = items.withColumn("_n", F.row_number().over(Window.partitionBy(*turn_of(request or []), blank).orderBy("place")))
+    text = pages.groupBy("url").agg(F.max("text").alias("_page"))
+    out = numbered.join(text, "url", "left").withColumn("_page", F.when(blank & (F.col("_n") <= most), F.col("_page")))
+    filled = F.coalesce(F.nullif(F.trim("text"), F.lit("")), "_page", F.lit(""))
+    return out.select(*[filled.alias("text") if c == "text" else F.col(c) for c in items.columns], (blank & F.col("_page").isNull()).alias("skipped"))
+
+
+def turn_of(request: list[str]) -> list[Column]:
+    """What a reply's items are numbered within."""
+    return [F.col(c) for c in request] or [F.lit(1)]
 
 
 def first_nets(fetched: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    """fetched with the net that discovered an item first: the stored one where there is one."""
-    known = stored.select(key, F.col("net").alias("_net"))
+    """fetched with the net that discovered an item first: the stored one where there is one (the least, if there are several)."""
+    known = stored.groupBy(key).agg(F.min("net").alias("_net"))
     return fetched.join(known, key, "left").withColumn("net", F.coalesce("_net", "net")).drop("_net")
 
 

@@ -77,3 +77,18 @@ def test_tables_of_versions(spark, tmp_path):
     marks = spark.createDataFrame([("1", "used", None, D(2026, 1, 1)), ("2", "unused", None, D(2026, 1, 1))], "id string, verdict string, seen_on date, surfaced_on date")
     assert [tuple(r) for r in graph.violations(marks, graph.NODE_RULES["used_mark"]()).collect()] == [("1", "seen")]
     assert graph.fresh_requests(rows(("a", 1), ("a", 1), ("c", 1)), rows(("a", 9))).count() == 1
+
+
+def test_items_keep_their_request(spark):
+    import json
+
+    reply = lambda *titles: json.dumps({"results": [{"title": t, "url": f"https://x/{t}", "content": " a  b ", "published_date": "2026-01-02"} for t in titles]})
+    rows = spark.createDataFrame([("r1", "2026-01-01", reply("a", "b"), "own"), ("r2", "2026-01-01", reply("c"), "own"), ("r3", "2026-01-01", "{no json", "own")], "request string, day string, body string, title string")
+    got = [tuple(r) for r in replies.web_results(rows, "body").drop("published").orderBy("request", "place").collect()]
+    assert got == [("r1", "2026-01-01", 0, "a", "https://x/a", "a b"), ("r1", "2026-01-01", 1, "b", "https://x/b", "a b"), ("r2", "2026-01-01", 0, "c", "https://x/c", "a b")]
+    items = spark.createDataFrame([("r1", 0, "u", ""), ("r1", 1, "v", None), ("r1", 2, "w", "has"), ("r2", 0, "v", " ")], "request string, place int, url string, text string")
+    pages = spark.createDataFrame([("u", "page"), ("v", "a"), ("v", "late")], "url string, text string")
+    found = {(r["request"], r["url"], r["text"], r["skipped"]) for r in replies.followed(items, pages, 1, ["request"]).collect()}
+    assert found == {("r1", "u", "page", False), ("r1", "v", "", True), ("r1", "w", "has", False), ("r2", "v", "late", False)}
+    stored = spark.createDataFrame([("i", "b"), ("i", "a")], "id string, net string")
+    assert [tuple(r) for r in replies.first_nets(spark.createDataFrame([("i", "z"), ("j", "z")], "id string, net string"), stored).orderBy("id").collect()] == [("i", "a"), ("j", "z")]
