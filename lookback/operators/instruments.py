@@ -151,7 +151,7 @@ def registry(holidays: list[str], since: str, review_by: str) -> list[Instrument
         Instrument("citation", "I", RUN, c("citing"), run & c("citing").isNotNull(), at=c("citing_at"), review_by=review_by),
         Instrument("used.vault", "OUT", TICK, zero("sighted"), run | c("sighted").isNotNull(), since=since, review_by=review_by),
         Instrument("writer_calls", "D", RUN, F.when(reported, c("writer_calls")), run & c("started_at").isNotNull(), related=F.when(reported, c("written")), expect=agrees, since=since),
-        Instrument("jev_tokens", "D", RUN, F.when(reported, c("tokens")), run, related=F.when(reported, c("questions")), expect=agrees, since=since, stuck_after=3),
+        Instrument("judge_tokens", "D", RUN, F.when(reported, c("tokens")), run, related=F.when(reported, c("questions")), expect=agrees, since=since, stuck_after=3),
         Instrument("o1", "OUT", RUN, c("first_cited"), run, related=F.when(reported, c("previous_cited")), conflict=F.when(reported, broken), expect=not_twice),
         Instrument("claims_posted", "X", RUN, F.when(reported, c("claims")), run, related=F.when(reported, c("previous_claims")), expect=not_twice),
         Instrument("label.first_harvest", "M", TICK, zero("harvested"), run | c("harvested").isNotNull(), conflict=c("unharvested"), since=since),

@@ -46,18 +46,20 @@ def judged_claims(judgments: DataFrame, of_claims: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(about("claim").select("judgment", "claim")).distinct()
 
 
-def propagated_labels(labels: DataFrame, logs: DataFrame, of_claims: DataFrame) -> DataFrame:
-    """subject, verdict, provenance: own for labels of the subject itself, else question_day for what a labelled log holds.
+def propagated_labels(ticks: DataFrame, logs: DataFrame) -> DataFrame:
+    """report, subject, verdict, provenance: a label for each subject that a report's ticks mean.
 
-    labels: subject, verdict; logs: log, claims. A label of a log goes to its claims and their sources. Of several question
-    days the greatest verdict counts.
+    ticks: report, kind (qday, source or claim), subject, verdict, place (in the note). logs: log, claims, sources. The tick
+    of a question day (subject: its log) goes to the log and to the claims and sources that it holds; a report's own tick of
+    a claim counts before that of a source, and that before a question day's. Of two question days the first in the note counts,
+    of two own ticks the last.
     """
-    claims = labels.withColumnRenamed("subject", "log").join(logs.select("log", F.explode("claims").alias("claim")), "log").select("claim", "verdict")
-    sources = claims.join(of_claims.select("claim", "source"), "claim").select(F.col("source").alias("subject"), "verdict")
-    day = claims.withColumnRenamed("claim", "subject").unionByName(sources).withColumn("provenance", F.lit("question_day"))
-    every = labels.select("subject", "verdict", F.lit("own").alias("provenance")).unionByName(day)
-    best = F.max_by(F.struct("verdict", "provenance"), F.struct((F.col("provenance") == "own").alias("own"), "verdict"))
-    return every.groupBy("subject").agg(best.alias("r")).select("subject", "r.*")
+    day = ticks.filter("kind = 'qday'").select("report", F.col("subject").alias("log"), "verdict", "place").join(logs.select("log", F.concat(F.array("log"), "claims", "sources").alias("_all")), "log")
+    held = day.select("report", F.explode("_all").alias("subject"), "verdict", F.lit("question_day").alias("provenance"), (-F.col("place")).alias("place"), F.lit(0).alias("rank"))
+    rank = F.when(F.col("kind") == "claim", 2).otherwise(1)
+    own = ticks.filter("kind IN ('source', 'claim')").select("report", "subject", "verdict", F.col("kind").alias("provenance"), "place", rank.alias("rank"))
+    best = F.max_by(F.struct("verdict", "provenance"), F.struct("rank", "place"))
+    return held.unionByName(own).groupBy("report", "subject").agg(best.alias("r")).select("report", "subject", "r.*")
 
 
 def withdrawn(stored: DataFrame, harvested: DataFrame, blank: DataFrame, key: list[str]) -> DataFrame:

@@ -137,10 +137,10 @@ def fidelity(exceeds: Column, most: float = 0.7) -> Column:
     return F.struct((exceeds < most).alias("accept"), (1 - exceeds).alias("score"))
 
 
-def health_reasons(run: dict[str, Column], unjudged_share: float = 0.5) -> Column:
+def health_reasons(run: dict[str, Column], unjudged_share: float = 0.5, failure_chars: int = 120) -> Column:
     """The reasons for which a line's run is degraded, most actionable first; none is healthy.
 
-    run: writer_refused, failed_drafts, drafts, unverified, failed_pairs, pairs, questions, claims, review, cited,
+    run: writer_refused, failed_drafts (a list of what failed, in order), drafts, unverified, failed_pairs, pairs, questions, claims, review, cited,
     previous_cited (null: no earlier report), failed_fetches (a list), capped.
     """
     c = run
@@ -148,9 +148,9 @@ def health_reasons(run: dict[str, Column], unjudged_share: float = 0.5) -> Colum
     asked = c["questions"] > 0
     listed = F.array(
         F.when(c["writer_refused"], F.lit("writer refused")),
-        F.when(c["failed_drafts"] > 0, F.format_string("prose failed %d/%d drafts", c["failed_drafts"], c["drafts"])),
-        F.when(c["unverified"] > 0, F.format_string("prose unverified in %d section(s)", c["unverified"])),
-        F.when(share >= unjudged_share, F.format_string("unjudged %d/%d pairs", c["failed_pairs"], c["pairs"])),
+        F.when(F.size(c["failed_drafts"]) > 0, F.format_string("prose failed %d/%d drafts (%s)", F.size(c["failed_drafts"]), c["drafts"], F.left(F.try_element_at(c["failed_drafts"], F.lit(1)), F.lit(failure_chars)))),
+        F.when(c["unverified"] > 0, F.format_string("prose unverified (rubric judge failed) in %d section(s)", c["unverified"])),
+        F.when(share >= unjudged_share, F.format_string("unjudged %d/%d pairs (%d%%)", c["failed_pairs"], c["pairs"], F.bround(share * 100).cast("int"))),
         F.when(asked & (c["claims"] == 0) & (c["review"] == 0), F.lit("empty note (no claim, no review)")),
         F.when(asked & (c["cited"] == 0) & (c["previous_cited"] == 0), F.lit("no citation 2 runs in a row")),
         F.when(F.size(c["failed_fetches"]) > 0, F.concat(F.lit("fetch failed: "), F.array_join(F.array_distinct(c["failed_fetches"]), ", "))),

@@ -29,17 +29,18 @@ def more_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(EVENTS + """, r AS (SELECT line, day, count(*) FILTER (event_type = 'error') AS failed, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS claims, count(*) FILTER (event_type = 'signup' AND value > 30) AS cited FROM e GROUP BY 1, 2),
+@query(EVENTS + """, r AS (SELECT line, day, count(*) FILTER (event_type = 'error') AS failed, min(event_id) FILTER (event_type = 'error') AS first, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS claims, count(*) FILTER (event_type = 'signup' AND value > 30) AS cited, count(*) FILTER (event_type = 'view' AND value < 5) AS unverified FROM e GROUP BY 1, 2),
  b AS (SELECT *, lag(cited) OVER (PARTITION BY line ORDER BY day) AS before FROM r)
-SELECT line, day, array_to_string([x for x in [CASE WHEN failed > 0 THEN printf('prose failed %d/%d drafts', failed, n) END, CASE WHEN failed / n >= 0.2 THEN printf('unjudged %d/%d pairs', failed, n) END,
+SELECT line, day, array_to_string([x for x in [CASE WHEN failed > 0 THEN printf('prose failed %d/%d drafts (%s)', failed, n, substr('call ' || first || repeat(' failed', 20), 1, 120)) END, CASE WHEN unverified > 0 THEN printf('prose unverified (rubric judge failed) in %d section(s)', unverified) END, CASE WHEN failed / n >= 0.2 THEN printf('unjudged %d/%d pairs (%d%%)', failed, n, CAST(round_even(failed / n * 100, 0) AS INTEGER)) END,
  CASE WHEN claims = 0 THEN 'empty note (no claim, no review)' END, CASE WHEN cited = 0 AND before = 0 THEN 'no citation 2 runs in a row' END, CASE WHEN n > 40 THEN 'cost cap reached (partial note)' END] if x IS NOT NULL], '; ') AS reasons FROM b""")
 def health_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.windows import with_previous
 
     kind, c = F.col("event_type"), F.col
-    runs = events(spark, sf_dir).groupBy("line", "day").agg(F.count_if(kind == "error").alias("failed"), F.count("*").alias("n"), F.count_if(kind == "purchase").alias("claims"), F.count_if((kind == "signup") & (c("value") > 30)).alias("cited"))
+    runs = events(spark, sf_dir).groupBy("line", "day").agg(F.count_if(kind == "error").alias("failed"), F.count("*").alias("n"), F.count_if(kind == "purchase").alias("claims"), F.count_if((kind == "signup") & (c("value") > 30)).alias("cited"), F.count_if((kind == "view") & (c("value") < 5)).alias("unverified"), F.array_sort(F.collect_list(F.when(kind == "error", c("event_id")))).alias("calls"))
+    said = F.transform("calls", lambda i: F.concat(F.lit("call "), i.cast("string"), F.lit(" failed" * 20)))
     runs, zero, no = with_previous(runs, ["line"], "day", "cited"), F.lit(0), F.lit(False)
-    run = dict(writer_refused=no, failed_drafts=c("failed"), drafts=c("n"), unverified=zero, failed_pairs=c("failed"), pairs=c("n"), questions=F.lit(1), claims=c("claims"), review=zero, cited=c("cited"), previous_cited=c("previous"), failed_fetches=F.array().cast("array<string>"), capped=c("n") > 40)
+    run = dict(writer_refused=no, failed_drafts=said, drafts=c("n"), unverified=c("unverified"), failed_pairs=c("failed"), pairs=c("n"), questions=F.lit(1), claims=c("claims"), review=zero, cited=c("cited"), previous_cited=c("previous"), failed_fetches=F.array().cast("array<string>"), capped=c("n") > 40)
     return runs.select("line", "day", F.array_join(routing.health_reasons(run, 0.2), "; ").alias("reasons"))
 
 

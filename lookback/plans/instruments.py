@@ -60,19 +60,19 @@ SQL = EVENTS + f""", r AS (SELECT line, day, CASE WHEN day(day) % 13 <> 0 THEN m
   UNION ALL SELECT 'citation', CAST(line AS VARCHAR), day, n, NULL, fetched, NULL FROM st WHERE s = 2
   UNION ALL SELECT 'used.vault', 'tick', day, coalesce(n, 0), NULL, NULL, NULL FROM td FULL JOIN si USING (day) WHERE day >= DATE '{SINCE}'
   UNION ALL SELECT 'writer_calls', CAST(r.line AS VARCHAR), r.day, CASE WHEN reported THEN writer_calls END, CASE WHEN reported THEN coalesce(wr.n, 0) END, NULL, NULL FROM r LEFT JOIN wr ON wr.line = r.line AND wr.day = r.day WHERE started_at IS NOT NULL AND r.day >= DATE '{SINCE}'
-  UNION ALL SELECT 'jev_tokens', CAST(line AS VARCHAR), day, CASE WHEN reported THEN tokens END, CASE WHEN reported THEN questions END, NULL, NULL FROM r WHERE day >= DATE '{SINCE}'
+  UNION ALL SELECT 'judge_tokens', CAST(line AS VARCHAR), day, CASE WHEN reported THEN tokens END, CASE WHEN reported THEN questions END, NULL, NULL FROM r WHERE day >= DATE '{SINCE}'
   UNION ALL SELECT 'o1', CAST(line AS VARCHAR), day, v, CASE WHEN reported THEN pv END, NULL, CASE WHEN reported THEN conflict END FROM op1
   UNION ALL SELECT 'claims_posted', CAST(line AS VARCHAR), day, cl, CASE WHEN reported THEN pc END, NULL, NULL FROM op1
   UNION ALL SELECT 'label.first_harvest', 'tick', day, coalesce(n, 0), NULL, NULL, conflict FROM td FULL JOIN lt USING (day) WHERE day >= DATE '{SINCE}'
   UNION ALL SELECT 'opened', 'tick', day, coalesce(n, 0), NULL, NULL, conflict FROM td FULL JOIN op USING (day) WHERE day >= DATE '{SINCE}'),
  x AS (SELECT *, CASE WHEN instrument = 'firehose.arxiv' THEN CASE WHEN fetched IS NOT NULL AND ({weekend(LISTING_DAY)} OR {LISTING_DAY} - 1 = DATE '{HOLIDAYS[0]}') THEN 'zero' ELSE 'positive' END WHEN instrument = 'firehose.hf' THEN CASE WHEN fetched IS NOT NULL AND {weekend("CAST(fetched AS DATE) - 1")} THEN 'zero' ELSE 'positive' END
-  WHEN instrument IN ('writer_calls', 'jev_tokens') THEN CASE WHEN related > 0 THEN 'agrees' ELSE 'any' END WHEN instrument IN ('o1', 'claims_posted') THEN CASE WHEN related = 0 THEN 'positive' ELSE 'any' END ELSE 'any' END AS expect, instrument IN ('citation', 'used.vault') AS declared FROM c),
+  WHEN instrument IN ('writer_calls', 'judge_tokens') THEN CASE WHEN related > 0 THEN 'agrees' ELSE 'any' END WHEN instrument IN ('o1', 'claims_posted') THEN CASE WHEN related = 0 THEN 'positive' ELSE 'any' END ELSE 'any' END AS expect, instrument IN ('citation', 'used.vault') AS declared FROM c),
  y AS (SELECT *, CASE WHEN value IS NULL THEN 'missing' WHEN conflict IS NOT NULL OR (value > 0 AND expect = 'zero') THEN 'contradiction' WHEN value > 0 THEN 'live' WHEN expect = 'agrees' THEN 'contradiction' WHEN declared THEN CASE WHEN day > DATE '{REVIEW_BY}' THEN 'unexplained-zero' ELSE 'declared-degenerate' END WHEN expect = 'positive' THEN 'unexplained-zero' ELSE 'expected-zero' END AS s FROM x),
  z AS (SELECT *, CASE WHEN s = 'live' THEN sum(CASE WHEN s = 'live' AND (before IS NULL OR before <> value) THEN 1 ELSE 0 END) OVER (PARTITION BY instrument, line ORDER BY day) END AS island FROM (SELECT *, lag(value) OVER (PARTITION BY instrument, line, s = 'live' ORDER BY day) AS before FROM y))
 """
 
 
-@query(SQL + """SELECT instrument, line, day, CAST(value AS BIGINT) AS value, CAST(related AS BIGINT) AS related, conflict, expect, CASE WHEN s = 'live' AND instrument IN ('firehose.arxiv', 'jev_tokens') AND row_number() OVER (PARTITION BY instrument, line, island ORDER BY day) >= 3 THEN 'stuck' ELSE s END AS status FROM z""")
+@query(SQL + """SELECT instrument, line, day, CAST(value AS BIGINT) AS value, CAST(related AS BIGINT) AS related, conflict, expect, CASE WHEN s = 'live' AND instrument IN ('firehose.arxiv', 'judge_tokens') AND row_number() OVER (PARTITION BY instrument, line, island ORDER BY day) >= 3 THEN 'stuck' ELSE s END AS status FROM z""")
 def instrument_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = instruments.grouped(facts(spark, sf_dir))
     return instruments.readings(rows, instruments.registry(HOLIDAYS, SINCE, REVIEW_BY)).drop("part", "at")

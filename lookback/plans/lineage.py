@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lineage
@@ -74,18 +74,22 @@ def judged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.judged_claims(judgments, chain(spark, sf_dir))
 
 
-@query("""WITH g AS (SELECT l_orderkey AS log, list_distinct(list(l_partkey)) AS claims FROM lineitem GROUP BY 1), c AS (SELECT l_partkey AS claim, min(l_suppkey) AS source FROM lineitem GROUP BY 1),
- l AS (SELECT 'o' || o_orderkey AS subject, o_orderstatus AS verdict FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'p' || p_partkey, p_brand FROM part WHERE p_size > 40),
- d AS (SELECT 'p' || claim AS subject, claim, verdict FROM (SELECT unnest(claims) AS claim, o_orderstatus AS verdict FROM g JOIN orders ON log = o_orderkey WHERE o_orderpriority = '1-URGENT')),
- a AS (SELECT subject, verdict, 'own' AS provenance FROM l UNION ALL SELECT subject, verdict, 'question_day' FROM d UNION ALL SELECT 's' || source, verdict, 'question_day' FROM d JOIN c USING (claim)),
- r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY provenance = 'own' DESC, verdict DESC) AS i FROM a) SELECT subject, verdict, provenance FROM r WHERE i = 1""")
+@query("""WITH g AS (SELECT 'o' || l_orderkey AS log, list_distinct(list('p' || l_partkey)) || list_distinct(list('s' || l_suppkey)) || ['o' || l_orderkey] AS held FROM lineitem GROUP BY 1),
+ t AS (SELECT o_custkey % 50 AS report, 'qday' AS kind, 'o' || o_orderkey AS subject, o_orderstatus AS verdict, o_orderkey AS place FROM orders WHERE o_orderpriority = '1-URGENT'
+  UNION ALL SELECT p_partkey % 50, 'claim', 'p' || p_partkey, p_brand, p_partkey FROM part WHERE p_size > 40 UNION ALL SELECT s_suppkey % 50, 'source', 's' || s_suppkey, s_name, s_suppkey FROM supplier),
+ a AS (SELECT report, unnest(held) AS subject, verdict, 'question_day' AS provenance, 0 AS rank, -place AS place FROM t JOIN g ON log = subject WHERE kind = 'qday' UNION ALL SELECT report, subject, verdict, kind, CASE kind WHEN 'claim' THEN 2 ELSE 1 END, place FROM t WHERE kind <> 'qday'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY report, subject ORDER BY rank DESC, place DESC) AS i FROM a) SELECT report, subject, verdict, provenance FROM r WHERE i = 1""")
 def propagated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, name = table(spark, sf_dir, "lineitem"), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    days = items.groupBy(name("o", "l_orderkey").alias("log")).agg(F.array_distinct(F.collect_list(name("p", "l_partkey"))).alias("claims"))
-    of = items.groupBy(name("p", "l_partkey").alias("claim")).agg(F.min("l_suppkey").alias("s")).select("claim", name("s", "s").alias("source"))
-    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(name("o", "o_orderkey").alias("subject"), F.col("o_orderstatus").alias("verdict"))
-    own = table(spark, sf_dir, "part").filter("p_size > 40").select(name("p", "p_partkey").alias("subject"), F.col("p_brand").alias("verdict"))
-    return lineage.propagated_labels(urgent.unionByName(own), days, of)
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    logs = table(spark, sf_dir, "lineitem").groupBy(name("o", "l_orderkey").alias("log")).agg(F.collect_set(name("p", "l_partkey")).alias("claims"), F.collect_set(name("s", "l_suppkey")).alias("sources"))
+
+    def tick(rows: DataFrame, kind: str, report: str, subject: Column, verdict: str, place: str) -> DataFrame:
+        return rows.select((F.col(report) % 50).alias("report"), F.lit(kind).alias("kind"), subject.alias("subject"), F.col(verdict).alias("verdict"), F.col(place).alias("place"))
+
+    urgent = tick(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'"), "qday", "o_custkey", name("o", "o_orderkey"), "o_orderstatus", "o_orderkey")
+    claims = tick(table(spark, sf_dir, "part").filter("p_size > 40"), "claim", "p_partkey", name("p", "p_partkey"), "p_brand", "p_partkey")
+    sources = tick(table(spark, sf_dir, "supplier"), "source", "s_suppkey", name("s", "s_suppkey"), "s_name", "s_suppkey")
+    return lineage.propagated_labels(urgent.unionByName(claims).unionByName(sources), logs)
 
 
 @query("""WITH s AS (SELECT doc_id, CASE WHEN quality = 1 THEN DATE '2024-01-05' END AS f FROM labels WHERE toxic = 0)

@@ -43,12 +43,12 @@ def test_a_healthy_line(spark):
     got = read(spark)
     assert len(got) == 9 * 5  # no run sent a citation request
     status = lambda i: [got[i, n]["status"] for n in range(1, 6)]
-    assert status("firehose.arxiv") == status("o1") == status("jev_tokens") == status("writer_calls") == status("label.first_harvest") == status("opened") == status("claims_posted") == ["live"] * 5
+    assert status("firehose.arxiv") == status("o1") == status("judge_tokens") == status("writer_calls") == status("label.first_harvest") == status("opened") == status("claims_posted") == ["live"] * 5
     # the list of the day before is empty on a Monday
     assert status("firehose.hf") == ["contradiction", "live", "live", "live", "live"]
     assert status("used.vault") == ["declared-degenerate", "live", "declared-degenerate", "unexplained-zero", "unexplained-zero"]
     assert [(got["o1", n]["value"], got["o1", n]["related"]) for n in (1, 2)] == [(1, None), (1, 1)]
-    assert got["jev_tokens", 2]["related"] == 3 and got["writer_calls", 2]["related"] == 1 and got["firehose.arxiv", 2]["value"] == 6
+    assert got["judge_tokens", 2]["related"] == 3 and got["writer_calls", 2]["related"] == 1 and got["firehose.arxiv", 2]["value"] == 6
 
 
 def test_faults(spark):
@@ -63,9 +63,9 @@ def test_faults(spark):
     got = read(spark, fault)
     find = lambda i, n: (got[i, n]["value"], got[i, n]["status"], got[i, n]["conflict"])
     assert find("firehose.arxiv", 3) == (None, "missing", None) and ("citation", 1) not in got and find("citation", 2) == (0, "declared-degenerate", None)
-    assert find("writer_calls", 2) == find("jev_tokens", 2) == (0, "contradiction", None)
+    assert find("writer_calls", 2) == find("judge_tokens", 2) == (0, "contradiction", None)
     assert find("o1", 3) == (0, "contradiction", "q3 [2] resolves to no source")
-    assert [find(i, 4) for i in ("o1", "claims_posted", "writer_calls", "jev_tokens")] == [(None, "missing", None)] * 4
+    assert [find(i, 4) for i in ("o1", "claims_posted", "writer_calls", "judge_tokens")] == [(None, "missing", None)] * 4
     assert (got["o1", 5]["related"], got["claims_posted", 5]["related"]) == (0, 2)  # Thursday is skipped
     assert find("label.first_harvest", 5) == (1, "contradiction", "late: first harvest after the latest harvest")
     assert find("label.first_harvest", 4)[2] == "none: no first harvest on a note written since it is kept"
