@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import notes
-from ..operators import days, posterior, replay, routing, unions
+from ..operators import admission, days, posterior, replay, routing, unions
 from ..operators.evaluation import Arm
 from ..sources import documents
 from .queries import EVENTS, PAIRS, events, hashed, outcome_sql, pairs
@@ -105,3 +105,19 @@ def safe_sql() -> str:
 def safe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = notes.sanitized(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", safe.alias("t")).select("doc_id", F.md5("t").alias("safe"), F.length("t").cast("long").alias("n"))
+
+
+BUDGETS, CREDITS = {"view": 6, "click": 5, "purchase": 4, "signup": 9}, 7
+
+
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of a line's day: clicks and purchases are metered, some replies say that a limit is reached."""
+    c = F.col
+    cost = F.when(c("event_type").isin("click", "purchase"), 1 + c("k") % 2).otherwise(0)
+    return events(spark, sf_dir).select("line", "day", "event_id", c("event_type").alias("net"), (c("k") % 3).cast("string").alias("adapter"), cost.alias("cost"), (c("value") < 2).alias("limited"))
+
+
+@query()
+def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request with why it is held back; a plain loop over the same rows is in the tests."""
+    return admission.admitted(request_rows(spark, sf_dir), ["line", "day"], "event_id", BUDGETS, CREDITS, frozenset({"signup/2"}))
