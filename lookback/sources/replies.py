@@ -57,6 +57,12 @@ def daily_papers(replies: DataFrame, body: str) -> DataFrame:
     return _item(rows, _blank(F.col("i.paper.title")), F.concat(F.lit("https://arxiv.org/abs/"), F.col("i.paper.id")), _blank(F.col("i.paper.summary")), iso_date(F.col("i.paper.publishedAt")))
 
 
+def searched_papers(replies: DataFrame, body: str) -> DataFrame:
+    """Papers that a search of a hub's papers found; their address is the hub's own."""
+    rows = _items(replies, body, "array<struct<paper:struct<id:string,title:string,summary:string,publishedAt:string>>>", "")
+    return _item(rows, _blank(F.col("i.paper.title")), F.concat(F.lit("https://huggingface.co/papers/"), F.col("i.paper.id")), _blank(F.col("i.paper.summary")), iso_date(F.col("i.paper.publishedAt")))
+
+
 def daily_date(now: Column) -> Column:
     """The UTC day before."""
     return F.date_sub(F.to_date(now), 1)

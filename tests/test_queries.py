@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lookback.plans import arms, evaluation, index, instruments, judgments, lineage, measures, queries, review  # noqa: F401
+from lookback.plans import arms, cases, evaluation, index, instruments, judgments, lineage, measures, queries, review  # noqa: F401
 from lookback.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
