@@ -402,7 +402,17 @@ def iso_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", keys.iso_week(F.col("day")).alias("week"), cohorts.week_of("day").alias("monday"))
 
 
-@query()
+def stripped_sql(html: str) -> str:
+    bare = rf"regexp_replace(regexp_replace({html}, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+    for name, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = f"replace({bare}, '{name}', '{character}')"
+    return rf"trim(regexp_replace({bare}, '\s+', ' ', 'g'))"
+
+
+MAIN = "coalesce(" + ", ".join(f"nullif(regexp_extract(html, '(?is)<{t}[^>]*>(.*)</{t}>', 1), '')" for t in ("article", "main", "body")) + ", html)"
+
+
+@query(f"SELECT url, nullif({stripped_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title, substr({stripped_sql(MAIN)}, 1, 4000) AS text FROM pages")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.pages(table(spark, sf_dir, "pages"))
 
