@@ -57,7 +57,27 @@ def iso_date(value: Column) -> Column:
 
 def iso_week(day: Column) -> Column:
     """A label such as 2024-W01."""
-    return F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day).cast("int"), F.weekofyear(day))
+    return F.when(day.isNotNull(), F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day).cast("int"), F.weekofyear(day)))
+
+
+def week_start(label: Column) -> Column:
+    """The Monday of a week's label; null for what is none, or a week that its year doesn't have."""
+    year, week = (F.regexp_extract(label, r"^(\d{4})-W(\d{2})$", k).try_cast("int") for k in (1, 2))
+    monday = F.to_date(F.date_add(F.date_trunc("WEEK", F.make_date(year, F.lit(1), F.lit(4))).cast("date"), (week - 1) * 7))
+    return F.when(iso_week(monday) == label, monday)
+
+
+def shifted_week(label: Column, weeks: int) -> Column:
+    return iso_week(F.date_add(week_start(label), 7 * weeks))
+
+
+def in_week(label: Column, day: Column) -> Column:
+    return (day >= week_start(label)) & (day <= F.date_add(week_start(label), 6))
+
+
+def last_complete_week(day: Column) -> Column:
+    """The latest week that ended before a day: on a Monday, the one before."""
+    return iso_week(F.date_sub(F.date_trunc("WEEK", day).cast("date"), 7))
 
 
 def estimated_tokens(value: Column) -> Column:
@@ -134,6 +154,15 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+# Fixed value: what ends a block of HTML.
+BLOCK_END = r"(?i)<br\s*/?>|</(?:p|li|h[1-6]|div|tr|blockquote|pre|dt|dd)\s*>"
+
+
+def html_lines(html: Column) -> Column:
+    """Text of HTML with each block (paragraph, list item, heading) on a line of its own."""
+    return F.array_join(F.filter(F.transform(F.split(html, BLOCK_END), strip_tags), lambda x: x != ""), "\n")
+
+
 def page_title(html: Column) -> Column:
     found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     return F.nullif(strip_tags(found), F.lit(""))
@@ -253,6 +282,11 @@ def usage_price(tokens_in: Column, tokens_out: Column, price_in: Column, price_o
     return (tokens_in * price_in + tokens_out * price_out) / 1_000_000
 
 
+def price_bound(state: Column, most_out: Column, price_in: Column, price_out: Column) -> Column:
+    """The most that a call can cost: its state's estimated tokens, and all that it may answer."""
+    return usage_price(estimated_tokens(state), most_out, price_in, price_out)
+
+
 def query_line(line: Column) -> Column:
     """struct(adapter, query) of `adapter: query`; null without a colon or a query."""
     query = F.trim(F.substr(line, F.locate(":", line) + 1))

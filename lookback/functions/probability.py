@@ -11,6 +11,12 @@ def answer(answers: Column, key: str) -> Column:
     return F.try_element_at(F.filter(answers, lambda a: a["key"] == key), F.lit(1))
 
 
+def required_answer(answers: Column, key: str) -> Column:
+    """The first answer with a key; the query fails where there is none."""
+    found = answer(answers, key)
+    return F.when(found.isNull(), F.raise_error(F.lit(f"no answer to {key}"))).otherwise(found)
+
+
 def expected_position(p: Column) -> Column:
     """Mean place among the levels, from 0 to 1."""
     weighted = F.aggregate(F.zip_with(p, F.sequence(F.lit(0), F.size(p) - 1), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +60,3 @@ def repeats(posted: DataFrame, key: list[str], day: str) -> DataFrame:
 def poisoned_sum(value: Column) -> Column:
     """The sum, null if any value is."""
     return F.when(F.count_if(value.isNull()) == 0, F.sum(value))
-
-
-def half_width(n: int) -> float:
-    return 1.96 * math.sqrt(n)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..functions.keys import citations
 
 
@@ -62,6 +63,26 @@ def propagated_labels(ticks: DataFrame, logs: DataFrame) -> DataFrame:
     return held.unionByName(own).groupBy("report", "subject").agg(best.alias("r")).select("report", "subject", "r.*")
 
 
+def recommender_seeds(labels: DataFrame, of_claims: DataFrame, sources: DataFrame, today: Column, seed: str, negatives: int = 5) -> DataFrame:
+    """One row: positive, negative, lists of paper ids that a line's labels point to, by address; where nothing is labelled wrong,
+    negatives are drawn by a hash of the seed from papers fetched before today that aren't positive.
+
+    labels: subject (a source or a claim), verdict. of_claims: claim, source. sources: source, url, fetched (day). The lists
+    are as long as the author has labelled, or `negatives`.
+    """
+    own = labels.join(sources.select(F.col("source").alias("subject")), "subject", "left_semi").select(F.col("subject").alias("source"), "verdict")
+    claimed = labels.join(of_claims.select(F.col("claim").alias("subject"), "source"), "subject").select("source", "verdict")
+    papers = sources.select("source", "url", "fetched", keys.recommender_id(F.col("url")).alias("paper")).filter("paper IS NOT NULL")
+    named = own.unionByName(claimed).join(papers, "source").select("verdict", "url", "paper").distinct()
+    listed = lambda v: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("verdict") == v, F.struct("url", "paper")))), lambda x: x["paper"]))
+    sides = named.agg(listed("correct").alias("positive"), listed("incorrect").alias("negative"))
+    good = named.filter("verdict = 'correct'").select("paper").distinct()
+    pool = papers.filter(F.col("fetched") < today).select("paper").distinct().join(good, "paper", "left_anti")
+    order = F.xxhash64(F.lit(seed), F.col("paper"))
+    drawn = pool.orderBy(order, "paper").limit(negatives).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "paper"))), lambda x: x["paper"]).alias("drawn"))
+    return sides.crossJoin(F.broadcast(drawn)).select("positive", F.when(F.size("negative") > 0, F.col("negative")).otherwise(F.col("drawn")).alias("negative"))  # a row each
+
+
 def withdrawn(stored: DataFrame, harvested: DataFrame, blank: DataFrame, key: list[str]) -> DataFrame:
     """Stored labels whose box is blank now and that no new label replaces."""
     return stored.join(blank.select(*key), key, "left_semi").join(harvested.select(*key), key, "left_anti")

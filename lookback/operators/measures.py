@@ -48,16 +48,38 @@ def upper_median(value: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
-def jitter(answers: DataFrame, key: list[str], asked_at: str, before: str, again: str, cut: float) -> DataFrame:
-    """One row: n, flips, mean and most change between a stored answer and the latest one to the same question."""
-    latest = answers.groupBy(*key).agg(F.max_by(F.struct(before, again), asked_at).alias("r"))
+def jitter(answers: DataFrame, key: list[str], asked_at: str, before: str, again: str, cut: float, day: str | None = None) -> DataFrame:
+    """One row: n, flips, mean and most change between a stored answer and the latest one to the same question; with `day`,
+    days, on how many of them these were asked."""
+    kept = [before, again, *([day] if day else [])]
+    latest = answers.groupBy(*key).agg(F.max_by(F.struct(*kept), asked_at).alias("r"))
     change = F.abs(F.col(f"r.{before}") - F.col(f"r.{again}"))
     flip = (F.col(f"r.{before}") >= cut) != (F.col(f"r.{again}") >= cut)
-    return latest.agg(F.count("*").alias("n"), F.count_if(flip).alias("flips"), F.avg(change).alias("mean_change"), F.max(change).alias("most_change"))
+    days = [F.count_distinct(f"r.{day}").alias("days")] if day else []
+    return latest.agg(F.count("*").alias("n"), F.count_if(flip).alias("flips"), F.avg(change).alias("mean_change"), F.max(change).alias("most_change"), *days)
 
 
-def weighted_accuracy(df: DataFrame, score: str, gold: str, weight: Column, cut: float) -> DataFrame:
-    right = (F.col(score) >= cut) == F.col(gold)
+def item_labels(calls: DataFrame, rubrics: DataFrame, positive: tuple[str, ...] = ("yes", "partial")) -> DataFrame:
+    """item, answer, positive: the latest answered call of an item under its kind's rubric of today.
+
+    calls: item, kind, at, answer (null: none), rubric. rubrics: kind, rubric, a row a kind.
+    """
+    today = calls.filter(F.col("answer").isNotNull()).join(F.broadcast(rubrics), ["kind", "rubric"], "left_semi")
+    latest = today.groupBy("item").agg(F.max_by("answer", F.struct("at", "answer")).alias("answer"))
+    return latest.withColumn("positive", F.col("answer").isin(*positive))
+
+
+def pooled_difference(days: DataFrame, unit: list[str], now: str, then: str) -> DataFrame:
+    """paired_difference() of all lines' days together, each a unit of its own, with the sums of both arms: now, then."""
+    rows = days.select(F.concat_ws("|", *unit).alias("unit"), (F.col(then) - F.col(now)).alias("d"))
+    sums = days.agg(F.sum(now).alias("now"), F.sum(then).alias("then"))
+    return sums.crossJoin(F.broadcast(statistics.paired_difference(rows, "unit", "d")))  # a row each
+
+
+def weighted_accuracy(df: DataFrame, score: str, gold: str, weight: Column, cut: float, below: bool = False) -> DataFrame:
+    """One row: the weighted share of labels that the cut gets right; with `below`, scores under it are the positive ones."""
+    positive = F.col(score) < cut if below else F.col(score) >= cut
+    right = positive == F.col(gold)
     return df.agg((F.sum(F.when(right, weight).otherwise(0.0)) / F.sum(weight)).alias("accuracy"))
 
 

@@ -120,6 +120,20 @@ def moved(position: Column, policy: Policy) -> Column:
     return F.struct((position >= policy.novelty).alias("accept"), position.alias("score"))
 
 
+# Names of movements by level.
+MOVEMENTS = ("none", "new_evidence_same_answer", "answer_changed")
+
+
+def movement_name(level: Column) -> Column:
+    return F.try_element_at(F.array(*map(F.lit, MOVEMENTS)), (level + 1).cast("int"))
+
+
+def floors_cleared(score: Column, levels: Column, policy: Policy) -> Column:
+    """Places (from 0) of the questions, by their trust levels, whose floor a score clears."""
+    places = F.transform(levels, lambda level, i: F.when(trust(score, level, policy)["accept"], i))
+    return F.filter(places, lambda i: i.isNotNull())
+
+
 def all_axes(*positions: Column, least: float = 0.5) -> Column:
     """Every axis reaches the threshold; the score is the least, null where one is missing."""
     there = F.greatest(*[p.isNull() for p in positions])

@@ -100,3 +100,29 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     days = events(spark, sf_dir).groupBy("day").agg((F.count_if(kind == "click") - F.count_if(kind == "view")).alias("d"))
     return measures.bootstrap(days, "day", "d")
+
+
+@query(EVENTS + """, w AS (SELECT DISTINCT printf('%04d-W%02d', isoyear(day), weekofyear(day)) AS week, day FROM e)
+SELECT week, day, CAST(date_trunc('week', day) AS DATE) AS start, printf('%04d-W%02d', isoyear(date_trunc('week', day) - INTERVAL 21 DAY), weekofyear(date_trunc('week', day) - INTERVAL 21 DAY)) AS before,
+ printf('%04d-W%02d', isoyear(date_trunc('week', day) - INTERVAL 7 DAY), weekofyear(date_trunc('week', day) - INTERVAL 7 DAY)) AS complete, true AS holds FROM w""")
+def weeks_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select(keys.iso_week(F.col("day")).alias("week"), "day").distinct()
+    return rows.select("week", "day", keys.week_start(F.col("week")).alias("start"), keys.shifted_week(F.col("week"), -3).alias("before"), keys.last_complete_week(F.col("day")).alias("complete"), keys.in_week(F.col("week"), F.col("day")).alias("holds"))
+
+
+@query(EVENTS + """, d AS (SELECT line, day, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'purchase') AS b FROM e GROUP BY 1, 2), m AS (SELECT sum(b - a) AS total, count(*) AS days, stddev_samp(b - a) AS sd, sum(a) AS a, sum(b) AS b FROM d)
+SELECT CAST(a AS BIGINT) AS now, CAST(b AS BIGINT) AS "then", CAST(total AS DOUBLE) AS total, days FROM m""")
+def pooled_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines' days as the units of one difference; its interval and p by draws are tested against paired_difference()."""
+    kind = F.col("event_type")
+    days = events(spark, sf_dir).groupBy("line", "day").agg(F.count_if(kind == "click").alias("a"), F.count_if(kind == "purchase").alias("b"))
+    return measures.pooled_difference(days, ["line", "day"], "a", "b").select("now", "then", "total", "days")
+
+
+@query("""WITH c AS (SELECT doc_id % 700 AS item, CASE WHEN doc_id % 2 = 0 THEN 's' ELSE 'x' END AS kind, doc_id AS asked, CASE WHEN n_chars % 5 > 0 THEN ['yes', 'partial', 'no'][n_chars % 3 + 1] END AS answer, 'r' || doc_id % 3 AS rubric FROM documents),
+ t AS (SELECT item, arg_max(answer, asked) AS answer FROM c WHERE answer IS NOT NULL AND rubric = CASE kind WHEN 's' THEN 'r0' ELSE 'r1' END GROUP BY 1) SELECT item, answer, answer IN ('yes', 'partial') AS positive FROM t""")
+def item_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    answer = F.when(c("n_chars") % 5 > 0, F.element_at(F.array(*map(F.lit, ("yes", "partial", "no"))), (c("n_chars") % 3 + 1).cast("int")))
+    calls = table(spark, sf_dir, "documents").select((c("doc_id") % 700).alias("item"), F.when(c("doc_id") % 2 == 0, "s").otherwise("x").alias("kind"), c("doc_id").alias("at"), answer.alias("answer"), F.concat(F.lit("r"), (c("doc_id") % 3).cast("string")).alias("rubric"))
+    return measures.item_labels(calls, spark.createDataFrame([("s", "r0"), ("x", "r1")], "kind string, rubric string"))

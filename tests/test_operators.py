@@ -345,3 +345,51 @@ def test_top_matches_equal_the_best_of_all_scores(spark, common):
         got = search.top_matches(docs, "d", w, asked, "q", w, 4, stopwords=stop, common=common).collect()
         key = lambda rows: sorted((r["query"], r["place"], r["document"], round(r["score"], 6)) for r in rows)
         assert key(got) == key(want) and key(got)
+
+
+def test_weeks_by_label(spark):
+    rows = [("2026-W53", D(2027, 1, 3)), ("2026-W01", D(2026, 1, 5)), ("2025-W53", D(2025, 12, 30)), ("2024-W1", D(2024, 1, 1)), ("x", None), ("2020-W53", D(2020, 12, 28))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, w string, d date")
+    got = df.select("i", keys.week_start(F.col("w")), keys.shifted_week(F.col("w"), 1), keys.in_week(F.col("w"), F.col("d")), keys.last_complete_week(F.col("d"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        (D(2026, 12, 28), "2027-W01", True, "2026-W52"), (D(2025, 12, 29), "2026-W02", False, "2026-W01"), (None, None, None, "2025-W52"),
+        (None, None, None, "2023-W52"), (None, None, None, None), (D(2020, 12, 28), "2021-W01", True, "2020-W52"),
+    ]
+
+
+def test_small_readings(spark):
+    assert one(spark, keys.html_lines(F.col("h")), h="<h2>One</h2><ul><li>a <b>b</b></li><li>c</li></ul><p></p>d<br/>e<script>x</script>").split("\n") == ["One", "a b", "c", "d", "e"]
+    assert abs(one(spark, keys.price_bound(F.col("s"), F.lit(1_000), F.lit(3.0), F.lit(15.0)), s="x" * 300) - (101 * 3 + 1_000 * 15) / 1e6) < 1e-12
+    assert [one(spark, routing.movement_name(F.col("n")), n=n) for n in (0, 2, 7)] == ["none", "answer_changed", None]
+    assert one(spark, routing.floors_cleared(F.lit(0.3), F.col("l"), routing.Policy()), l=["personal", "report", "personal"]) == [0, 2]
+    answers = spark.createDataFrame([([("a", 0.5)],)], "x array<struct<key:string,p:double>>")
+    assert answers.select(probability.required_answer(F.col("x"), "a").alias("v")).first()["v"]["p"] == 0.5
+    with pytest.raises(Exception, match="no answer to b"):
+        answers.select(probability.required_answer(F.col("x"), "b")).collect()
+    below = spark.createDataFrame([(0.2, True), (0.9, False), (0.8, True)], "s double, g boolean")
+    assert measures.weighted_accuracy(below, "s", "g", F.lit(1.0), 0.5, below=True).first()[0] == pytest.approx(2 / 3)
+    again = spark.createDataFrame([("q", 1, D(2026, 1, 1), 0.4, 0.6), ("r", 1, D(2026, 1, 1), 0.4, 0.4), ("s", 2, D(2026, 1, 2), 0.1, 0.1)], "q string, t int, d date, a double, b double")
+    assert measures.jitter(again, ["q"], "t", "a", "b", 0.5, "d").first()["days"] == 2
+
+
+def test_pooled_days_are_one_difference(spark):
+    rows = [(line, d, d % 3, d % 3 + (1 if d % 4 == 0 else 0)) for line in "ab" for d in range(6)]
+    days = spark.createDataFrame(rows, "line string, day int, a int, b int")
+    got = measures.pooled_difference(days, ["line", "day"], "a", "b").first()
+    plain = statistics.paired_difference(days.select(F.concat_ws("|", "line", "day").alias("k"), (F.col("b") - F.col("a")).alias("d")), "k", "d").first()
+    assert (got["now"], got["then"], got["total"], got["days"]) == (sum(r[2] for r in rows), sum(r[3] for r in rows), 4.0, 12) and got["p"] == plain["p"] == 2 / 16
+    with pytest.raises(ValueError, match="more than 5"):
+        statistics.paired_difference(days.select(F.concat("line", "day").alias("k"), F.lit(1).alias("d")), "k", "d", bound=5)
+
+
+def test_recommender_seeds(spark):
+    frame = spark.createDataFrame
+    sources = frame([("s1", "https://arxiv.org/abs/2601.00002v1", D(2026, 1, 1)), ("s2", "https://doi.org/10.1/x", D(2026, 1, 1)), ("s3", "https://blog/x", D(2026, 1, 1)), ("s4", "https://arxiv.org/abs/2601.00001", D(2026, 1, 9))] + [(f"p{n}", f"https://doi.org/10.2/{n}", D(2026, 1, 1)) for n in range(9)], "source string, url string, fetched date")
+    of = frame([("c1", "s4"), ("c2", "s2")], "claim string, source string")
+    labels = frame([("s1", "correct"), ("c1", "correct"), ("s3", "correct"), ("gone", "correct")], "subject string, verdict string")
+    day = F.lit("2026-01-09").cast("date")
+    got = lineage.recommender_seeds(labels, of, sources, day, "line").first()
+    assert got["positive"] == ["ARXIV:2601.00001", "ARXIV:2601.00002"] and len(set(got["negative"])) == 5 and not set(got["negative"]) & set(got["positive"])
+    assert got == lineage.recommender_seeds(labels.repartition(3), of, sources.repartition(3), day, "line").first()
+    wrong = lineage.recommender_seeds(labels.unionByName(frame([("c2", "incorrect")], labels.schema)), of, sources, day, "line").first()
+    assert wrong["negative"] == ["DOI:10.1/x"]
