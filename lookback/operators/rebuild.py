@@ -69,3 +69,40 @@ def recovered_orders(judgments: DataFrame, recorded: DataFrame, versions: DataFr
     match = shown.filter(states.input_hash(F.col("_state")) == F.col("state_sha256"))
     first = match.groupBy(key).agg(F.min_by(F.transform("questions", lambda q: q["id"]), "place").alias("_matched"))
     return known.join(first, key, "left").withColumn("asked", F.coalesce("_recorded", "_matched")).drop("_recorded", "_matched")
+
+
+def judgment_id(function: Column, subjects: Column, model: Column, state_sha256: Column, bundle_sha256: Column) -> Column:
+    """The id under which an answer is stored: all that it depends on."""
+    parts = F.struct(bundle_sha256.alias("bundle"), function.alias("function"), model.alias("model"), state_sha256.alias("state"), subjects.alias("subjects"))
+    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+
+
+def replayed(asks: DataFrame, stored: DataFrame, bundles: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """(asks with judgment and answer where a stored one has them; what must still be asked, with how many asks wait for it).
+
+    asks: ask (unique), function, subjects, state_sha256. stored: judgment (an id of judgment_id()), answer. bundles: function,
+    place, bundle_sha256: the forms under which an answer counts, the first place before others; as many as there are
+    wordings, broadcast. Asks of one function, subjects and state are one request, under the function's first form.
+    """
+    forms = F.broadcast(bundles.select("function", "place", "bundle_sha256"))
+    ids = asks.join(forms, "function").withColumn("judgment", judgment_id(F.col("function"), F.col("subjects"), F.lit(model), F.col("state_sha256"), F.col("bundle_sha256")))
+    hit = ids.select("ask", "place", "judgment").join(stored.select("judgment", "answer").dropDuplicates(["judgment"]), "judgment")
+    first = hit.groupBy("ask").agg(F.min_by(F.struct("judgment", "answer"), "place").alias("r")).select("ask", "r.*")
+    found = asks.join(first, "ask", "left")
+    today = ids.groupBy("ask").agg(F.min_by("judgment", "place").alias("request"))
+    open_ = found.filter(F.col("judgment").isNull()).select("ask", "function", "subjects", "state_sha256").join(today, "ask")
+    return found, open_.groupBy("request").agg(*[F.min(c).alias(c) for c in ("function", "subjects", "state_sha256")], F.count("*").alias("waiting"))
+
+
+def named_fetches(records: DataFrame, queries: DataFrame, days: DataFrame, net: str = "keyword") -> DataFrame:
+    """records with the adapter and text of the query that each answered, null where none gives its key.
+
+    records: input_sha256 and more. queries: adapter, text. days: day, those that records are of. A record's key is the hash
+    of its adapter, net, text and day: the keys of all queries on all days are made, and meet records by the hash.
+    """
+    asked = queries.select("adapter", "text").distinct().crossJoin(F.broadcast(days.select("day").distinct()))  # a line's queries and days
+    body = F.struct(F.col("adapter").alias("adapter"), F.lit(net).alias("net"), F.col("text").alias("query"), F.col("day").cast("string").alias("run_date"))
+    keyed = states.with_json(asked, "_json", body).select(states.input_hash(F.col("_json")).alias("input_sha256"), F.col("adapter").alias("_adapter"), F.col("text").alias("_text"))
+    known = records.select("input_sha256").distinct().join(keyed, "input_sha256")
+    named = records.join(known, "input_sha256", "left")
+    return named.select(*records.columns, F.col("_adapter").alias("adapter"), F.col("_text").alias("text"))

@@ -170,3 +170,44 @@ def known_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = wording.form_table(spark, known_forms())
     found = rebuild.readable(rebuild.readable(judged, forms, ["any"], earlier=True).drop("form", "earlier"), forms, ["today"])
     return found.groupBy("function", "form", "earlier").agg(F.count("*").alias("judgments"), F.count("today").alias("read_today"), F.count("any").alias("read_any"), F.round(F.avg("today"), 6).alias("mean"))
+
+
+FETCHED = EVENTS + """, f AS (SELECT event_id, day, event_type, user_id % 40 AS u, CASE WHEN event_id % 4 = 3 THEN sha256('gone ' || event_id) ELSE
+  sha256('{"adapter":"' || event_type || '","net":"keyword","query":"words of ' || user_id % 40 || CASE WHEN event_id % 4 = 2 THEN ' older' ELSE '' END || '","run_date":"' || day || '"}') END AS key FROM e)"""
+
+
+@query(FETCHED + " SELECT event_id, CASE WHEN event_id % 4 < 2 AND event_type <> 'error' THEN event_type END AS adapter, CASE WHEN event_id % 4 < 2 AND event_type <> 'error' THEN 'words of ' || u END AS text FROM f")
+def named_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, text = F.col, lambda s: F.lit(s)
+    e = events(spark, sf_dir)
+    words = F.concat(text("words of "), (c("user_id") % 40).cast("string"), F.when(c("event_id") % 4 == 2, " older").otherwise(""))
+    body = F.concat(text('{"adapter":"'), c("event_type"), text('","net":"keyword","query":"'), words, text('","run_date":"'), c("day").cast("string"), text('"}'))
+    key = F.when(c("event_id") % 4 == 3, F.sha2(F.concat(text("gone "), c("event_id").cast("string")), 256)).otherwise(F.sha2(body, 256))
+    asked = e.filter("event_type <> 'error'").select(c("event_type").alias("adapter"), F.concat(text("words of "), (c("user_id") % 40).cast("string")).alias("text"))
+    return rebuild.named_fetches(e.select("event_id", key.alias("input_sha256")), asked, e.select("day")).select("event_id", "adapter", "text")
+
+
+#: Documents as asks: their text's first letters are the state, so that many ask alike; those of every third state are stored.
+ASKED = """WITH a AS (SELECT doc_id, lang, lower(substr(coalesce(text, ''), 1, 2)) AS state FROM documents), s AS (SELECT DISTINCT lang, state FROM a WHERE ascii(state || ' ') % 3 = 0)"""
+
+
+@query(ASKED + " SELECT doc_id, CASE WHEN s.state IS NOT NULL THEN s.state || '!' END AS answer FROM a LEFT JOIN s ON s.lang IS NOT DISTINCT FROM a.lang AND s.state = a.state")
+def replayed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_parts(spark, sf_dir)[0].select(F.col("ask").alias("doc_id"), "answer")
+
+
+@query(ASKED + " SELECT a.lang, a.state, count(*) AS waiting FROM a LEFT JOIN s ON s.lang IS NOT DISTINCT FROM a.lang AND s.state = a.state WHERE s.state IS NULL GROUP BY 1, 2")
+def open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replay_parts(spark, sf_dir)[1]
+    return found.select(F.element_at("subjects", 1).alias("lang"), F.col("state_sha256").alias("state"), "waiting")
+
+
+def replay_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = F.col
+    asks = table(spark, sf_dir, "documents").select(c("doc_id").alias("ask"), F.lit("screen").alias("function"), F.array("lang").alias("subjects"), F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 2)).alias("state_sha256"))
+    # stored under the second form where the state's letter is even, else under the first
+    form = F.when(F.ascii(F.concat("state_sha256", F.lit(" "))) % 2 == 0, "batched").otherwise("single")
+    known = asks.filter(F.ascii(F.concat("state_sha256", F.lit(" "))) % 3 == 0).select("function", "subjects", "state_sha256").distinct()
+    stored = known.select(rebuild.judgment_id(c("function"), c("subjects"), F.lit("m"), c("state_sha256"), form).alias("judgment"), F.concat("state_sha256", F.lit("!")).alias("answer"))
+    bundles = spark.createDataFrame([("screen", 0, "single"), ("screen", 1, "batched")], "function string, place int, bundle_sha256 string")
+    return rebuild.replayed(asks, stored, bundles, "m")
