@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import states, wording
 from ..operators import rebuild
+from ..sources import scan
 from .queries import EVENTS, events
 from .registry import query, table
 
@@ -211,3 +212,14 @@ def replay_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     stored = known.select(rebuild.judgment_id(c("function"), c("subjects"), F.lit("m"), c("state_sha256"), form).alias("judgment"), F.concat("state_sha256", F.lit("!")).alias("answer"))
     bundles = spark.createDataFrame([("screen", 0, "single"), ("screen", 1, "batched")], "function string, place int, bundle_sha256 string")
     return rebuild.replayed(asks, stored, bundles, "m")
+
+
+@query()
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of all pages, as documents of three kinds of which long ones aren't read; how scans go on is in the tests."""
+    c = F.col
+    kind = F.element_at(F.array(*map(F.lit, scan.PLACES)), (c("page_id") % 3 + 1).cast("int"))
+    path = F.concat(F.element_at(F.split("url", "/"), 3), F.lit("/"), c("page_id").cast("string"), F.lit(".md"))
+    files = table(spark, sf_dir, "pages").select(path.alias("path"), kind.alias("kind"), F.when(F.length("html") <= 30_000, c("html")).alias("text"))
+    made = scan.scan(files, files.filter(F.endswith("path", F.lit("7.md"))).select("path"), own_mark="track(1)")
+    return made.found.join(made.tainted.withColumn("unsure", F.lit(True)), "key", "left").select("key", "place", "path", F.coalesce("unsure", F.lit(False)).alias("unsure"))

@@ -15,7 +15,7 @@ def json_strings(docs: DataFrame, key: str, body: str) -> DataFrame:
 
     path is $ with .name and [place] for each step down; a name with other characters than letters, digits and _ is quoted.
     Texts that are no JSON, and nulls, have none. Names themselves aren't values. The documents go down a level at a time, as
-    deep as the deepest; a level is written before the next is read, and only objects and lists go on to it.
+    deep as the deepest (key mustn't be named path, v, kind or text); a level is written before the next is read, and only objects and lists go on to it.
     """
     spark = docs.sparkSession
     level = docs.select(key, F.lit("$").alias("path"), F.try_parse_json(body).alias("v")).filter("v IS NOT NULL")
