@@ -220,6 +220,6 @@ def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     kind = F.element_at(F.array(*map(F.lit, scan.PLACES)), (c("page_id") % 3 + 1).cast("int"))
     path = F.concat(F.element_at(F.split("url", "/"), 3), F.lit("/"), c("page_id").cast("string"), F.lit(".md"))
-    files = table(spark, sf_dir, "pages").select(path.alias("path"), kind.alias("kind"), F.when(F.length("html") <= 30_000, c("html")).alias("text"))
+    files = table(spark, sf_dir, "pages").select(path.alias("path"), kind.alias("kind"), F.when(F.length("html") <= 30_000, F.concat("url", F.lit(" "), "html")).alias("text"))
     made = scan.scan(files, files.filter(F.endswith("path", F.lit("7.md"))).select("path"), own_mark="track(1)")
     return made.found.join(made.tainted.withColumn("unsure", F.lit(True)), "key", "left").select("key", "place", "path", F.coalesce("unsure", F.lit(False)).alias("unsure"))
