@@ -23,6 +23,7 @@ LEVEL = 3
 STEP = 1 << 16
 VERSION, END = b"WARC/1.1", b"\r\n\r\n"
 GZIP, MARK, VERSION_LINE = b"\x1f\x8b\x08", b"WARC/", re.compile(rb"WARC/\d\.\d+\r\n")
+CONTROLS = re.compile(r"[\x00-\x08\x0a-\x1f\x7f]")
 #: Bytes of a file that a reader holds, but for a longer record or member; bytes of the longest header, and those that are
 #: looked at before the rest of it.
 WINDOW, HEADER, FIRST = 1 << 22, 1 << 20, 1 << 12
@@ -102,10 +103,12 @@ def stored_bytes(data: bytes) -> Stored:
 
 def header_fields(head: bytes) -> dict[str, str]:
     """Fields of a header by lower-case name; a line that begins with white space goes on with the one before, and of a name
-    that repeats the first counts. Bytes that aren't UTF-8 are replaced."""
+    that repeats the first counts. Bytes that aren't UTF-8 are replaced, but a header with control characters is none."""
     out: dict[str, str] = {}
     name = None
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if CONTROLS.search(line):
+            raise ValueError("bad header")
         if line[:1] in (" ", "\t"):
             if name is not None:
                 out[name] += " " + line.strip()
