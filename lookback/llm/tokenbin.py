@@ -129,7 +129,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
     """Writes token files in ascending doc_id order and a file of ranks, and gives the manifest.
 
     manifest: file (its place in the order), path, documents, tokens, start (ids in the files before it). Null ids
-    come first. Rows that repeat a doc_id are all written, next to each other.
+    come first. Rows that repeat a doc_id are all written, next to each other. Null and empty texts are the end id alone. Very
+    long texts are encoded piece by piece and written whole; a file that has file_tokens ids is closed behind the document
+    that it has begun. An empty table gives an empty manifest. Other columns are not read.
     """
     spark = docs.sparkSession
     width = id_width(vocabulary)
@@ -178,7 +180,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, ids of every document in the files of a manifest; start counts all ids before it."""
+    """doc_id, start, ids of every document in the files of a manifest; start counts all ids before it.
+
+    ids are little-endian unsigned 32-bit integers, never none, as each document has its end id. A task reads a file at a
+    time; one that is damaged is an error. An empty manifest gives no row. Other columns of it are not read.
+    """
 
     def run(batches):
         by_rank = np.frombuffer(read_file(f"{folder}/ranks.bin"), "<u4")
