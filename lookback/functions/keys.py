@@ -128,6 +128,12 @@ def ascii_of(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.lower()
 
 
+@F.pandas_udf(StringType())
+def casefolded(text: pd.Series) -> pd.Series:
+    """Case folding, which is more than lower case: ß becomes ss."""
+    return text.str.casefold()
+
+
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC and case folding."""
@@ -245,12 +251,19 @@ def cited_work(url: Column) -> Column:
 
 
 def best_match(text: Column, probe: Column) -> Column:
-    """struct(start, end), from 0, of the longest word of a probe (over three characters, the first of equal ones by value) that a text has."""
-    words = F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(probe), r"\s+", " ")), " "), lambda w: F.length(w) > 3))
+    """struct(start, end), from 0, of the longest word of a probe (over three characters, the first of equal ones by value) that a
+    text has; both by folded case, in which places are counted."""
+    long = F.filter(F.split(F.trim(F.regexp_replace(probe, r"\s+", " ")), " "), lambda w: F.length(w) > 3)
+    words = F.array_distinct(F.filter(F.split(casefolded(F.array_join(long, " ")), " "), lambda w: w != ""))
     ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    low = F.lower(text)
-    found = F.try_element_at(F.filter(ranked, lambda x: F.contains(low, x["w"])), F.lit(1))["w"]
-    return F.when(found.isNotNull(), F.struct((F.position(found, low) - 1).alias("start"), (F.position(found, low) - 1 + F.length(found)).alias("end")))
+
+    def place(z: Column) -> Column:
+        found = F.try_element_at(F.filter(z["words"], lambda x: F.contains(z["text"], x["w"])), F.lit(1))["w"]
+        start = F.position(found, z["text"]) - 1
+        return F.when(found.isNotNull(), F.struct(start.alias("start"), (start + F.length(found)).alias("end")))
+
+    # what is folded is folded before the search, which is within an array's element
+    return F.transform(F.array(F.struct(casefolded(text).alias("text"), ranked.alias("words"))), place)[0]
 
 
 def paragraphs(text: Column, marks: tuple[str, ...]) -> Column:

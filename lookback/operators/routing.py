@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import casefolded
 from ..functions.probability import certainty
 
 
@@ -92,8 +93,8 @@ def detection(p_advances: Column, p_contradicts: Column, p_checkable: Column, po
 
 
 def supported(source_text: Column, claim: Column, p_support: Column, policy: Policy) -> Column:
-    """The claim's words are in the source, or the judged choice says so."""
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    """The claim's words are in the source, by folded case and whatever the white space, or the judged choice says so."""
+    plain = lambda c: casefolded(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
     return F.contains(plain(source_text), plain(claim)) | F.coalesce(p_support >= policy.support, F.lit(False))
 
 

@@ -393,3 +393,18 @@ def test_recommender_seeds(spark):
     assert got == lineage.recommender_seeds(labels.repartition(3), of, sources.repartition(3), day, "line").first()
     wrong = lineage.recommender_seeds(labels.unionByName(frame([("c2", "incorrect")], labels.schema)), of, sources, day, "line").first()
     assert wrong["negative"] == ["DOI:10.1/x"]
+
+
+def test_equal_live_readings_get_stuck(spark):
+    rows = [("l", 1, 5, "live"), ("l", 2, 5, "live"), ("l", 3, None, "missing"), ("l", 4, 5, "live"), ("l", 5, 6, "live"), ("m", 1, 5, "live")]
+    cells = spark.createDataFrame(rows, "line string, day int, value int, status string")
+    got = [(r["line"], r["day"], r["status"]) for r in health.with_stuck(cells, ["line"], "day", "value", 3).orderBy("line", "day").collect()]
+    assert got == [("l", 1, "live"), ("l", 2, "live"), ("l", 3, "missing"), ("l", 4, "stuck"), ("l", 5, "live"), ("m", 1, "live")]
+
+
+def test_support_by_folded_words(spark):
+    rows = [("Die STRASSE  ist\nlang.", "straße ist", None), ("other", "words", 0.9), ("other", "words", 0.1), ("other", "words", None), (None, "x", 0.9)]
+    df = spark.createDataFrame(rows, "s string, c string, p double").coalesce(1)
+    got = [r[0] for r in df.select(routing.supported(F.col("s"), F.col("c"), F.col("p"), routing.Policy())).collect()]
+    assert got[:4] == [True, True, False, False] and got[4] is True
+    assert tuple(one(spark, keys.best_match(F.col("t"), F.lit("Straße abc")), t="eine STRASSE")) == (5, 12)
