@@ -417,7 +417,18 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.pages(table(spark, sf_dir, "pages"))
 
 
-@query()
+#: Units in SQL: an end is marked behind what ends a sentence; a long one is cut piece by piece.
+BARE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+LEAD = r"(length({0}) - length(regexp_replace({0}, '^\s+', '')))"
+
+
+@query(rf"""WITH RECURSIVE m AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(57344), ' '), '[.!?]\s+|[。！？]|\n+', '\0' || chr(57344), 'g'), chr(57344)) AS s FROM documents WHERE text IS NOT NULL),
+ n AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM m), o AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) - length(s) AS off FROM n),
+ p AS (SELECT doc_id, i, 0 AS j, off + {LEAD.format("s")} AS off, {BARE.format("s")} AS rest FROM o WHERE length({BARE.format("s")}) > 0),
+ r AS (SELECT doc_id, i, j, off, rest, CASE WHEN length(rest) <= 600 THEN length(rest) WHEN strpos(reverse(substr(rest, 2, 599)), ' ') > 0 THEN 600 - strpos(reverse(substr(rest, 2, 599)), ' ') ELSE 600 END AS k FROM p UNION ALL
+  SELECT doc_id, i, j + 1, off + k, substr(rest, CAST(k + 1 AS INTEGER)), CASE WHEN length(rest) - k <= 600 THEN length(rest) - k WHEN strpos(reverse(substr(rest, CAST(k + 2 AS INTEGER), 599)), ' ') > 0 THEN 600 - strpos(reverse(substr(rest, CAST(k + 2 AS INTEGER), 599)), ' ') ELSE 600 END FROM r WHERE length(rest) > k),
+ u AS (SELECT doc_id, i, j, off, substr(rest, 1, CAST(k AS INTEGER)) AS t FROM r), w AS (SELECT doc_id, i, j, off + {LEAD.format("t")} AS start, {BARE.format("t")} AS text FROM u)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", text FROM w WHERE length(text) >= 20""")
 def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
