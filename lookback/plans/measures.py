@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..operators import measures, windows
 from ..sources import graph
-from .queries import EVENTS, PAIRS, events, pairs
+from .queries import EVENTS, PAIRS, QUERY, URL, events, pairs, stripped_sql
 from .registry import query, table
 
 
@@ -89,7 +89,14 @@ def reported_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1995-03-01").cast("timestamp_ntz")).select("o_custkey", "o_orderpriority").distinct()
 
 
-@query()
+#: Addresses of the shared pages name no registered work, so a page's key is its normalized address.
+SLUG = r"trim(regexp_replace(lower(regexp_replace(strip_accents(title), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(QUERY + rf""", k AS (SELECT page_id, 'url:' || {URL} AS key, {stripped_sql("html")} AS line, nullif({stripped_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title FROM q),
+ h AS (SELECT *, substr(line, 1, 120) AS head, {SLUG} AS words FROM k), b AS (SELECT *, length(head) - strpos(reverse(head), ' ') AS back FROM h)
+SELECT page_id, key, CASE WHEN length(line) <= 120 THEN line ELSE regexp_replace(CASE WHEN contains(head, ' ') AND back > 60 THEN substr(head, 1, CAST(back AS INTEGER)) ELSE head END, '[ ,;:—-]+$', '') || '…' END AS gist,
+ CASE WHEN words = '' THEN 'q-' || substr(sha256(title), 1, 8) ELSE trim(substr(words, 1, 40), '-') END AS slug FROM b""")
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
     return rows.select("page_id", keys.paper_key(F.col("url")).alias("key"), keys.gist(keys.strip_tags(F.col("html"))).alias("gist"), keys.slug(keys.page_title(F.col("html"))).alias("slug"))
