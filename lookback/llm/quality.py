@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Buckets of hashed n-grams, and trusted documents that the target model reads (by a hash of doc_id): so many ids at
-#: most are broadcast. The raw model reads every document.
-BUCKETS, TRUSTED = 1 << 14, 50_000
+#: Buckets of hashed n-grams, and bitmaps of trusted ids (4 KB each, of 32,768 neighbouring ids) that are broadcast at most;
+#: with more of them, texts and ids are joined by a shuffle, which gives the same.
+BUCKETS, BITMAPS = 1 << 14, 4_096
 #: Documents whose mean log ratio is lower are rejected.
 THRESHOLD = -0.3
 #: What each side's count is smoothed with, in parts of the other side's distribution (target) or as a constant (raw).
@@ -66,23 +66,31 @@ def hashed_ngrams(text: Column) -> tuple[Column, Column]:
     return found, F.concat(one, two)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
+def marked(docs: DataFrame, good: DataFrame, bitmaps: int = BITMAPS) -> DataFrame:
+    """doc_id, text and _trusted: 1 where good (doc_id, each once, none null) has the id, else null. Speed alone depends on bitmaps."""
+    if {str(t.schema["doc_id"].dataType) for t in (docs, good)} == {"LongType()"}:
+        place = F.bitmap_bit_position("doc_id")
+        bits = good.groupBy(F.bitmap_bucket_number("doc_id").alias("_group")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+        bits = shared.materialize(bits, "trusted-bits")
+        if bits.count() <= bitmaps:
+            byte = F.conv(F.hex(F.substr("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            held = F.when(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(1))
+            placed = docs.select("doc_id", "text").withColumn("_group", F.bitmap_bucket_number("doc_id"))
+            return placed.join(F.broadcast(bits), "_group", "left").select("doc_id", "text", held.alias("_trusted"))
+    return docs.select("doc_id", "text").join(good.withColumn("_trusted", F.lit(1)), "doc_id", "left")
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, bitmaps: int = BITMAPS) -> DataFrame:
     """bucket, ratio: log(p_target / p_raw) of every bucket that occurs.
 
-    Raw counts are over all documents. Target counts are over trusted ones (quality 1 and not toxic), at most about
-    `trusted` of them by a hash of doc_id. Both are smoothed: raw with PRIOR, target with PRIOR times the bucket's raw
-    probability times BUCKETS, so that a bucket that trusted text lacks gets a finite ratio and one that the corpus
-    lacks gets none.
+    Raw counts are over all documents, target counts over all trusted ones (quality 1 and not toxic), however many there
+    are. Both are smoothed: raw with PRIOR, target with PRIOR times the bucket's raw probability times BUCKETS, so that a
+    bucket that trusted text lacks gets a finite ratio and one that the corpus lacks gets none.
     """
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     good = shared.materialize(good.select("doc_id").distinct(), "trusted")
-    count = good.count()
-    if count > trusted:
-        good = good.filter(F.pmod(F.xxhash64(F.lit("trusted"), F.col("doc_id")), F.lit(1 << 40)) < int(trusted / count * (1 << 40))).limit(2 * trusted)
-    # 2 * trusted ids of 8 bytes at most
-    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("_trusted", F.lit(1))), "doc_id", "left")
     found, buckets = hashed_ngrams(F.col("text"))
-    grams = marked.withColumn("_tokens", found).select(F.explode(buckets).alias("bucket"), "_trusted")
+    grams = marked(docs, good, bitmaps).withColumn("_tokens", found).select(F.explode(buckets).alias("bucket"), "_trusted")
     counts = shared.materialize(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target")), "ngram-counts")
     # no more rows than buckets from here on
     sums = counts.agg(F.sum("raw").alias("n"), F.sum("target").alias("m"))
