@@ -108,13 +108,26 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, width: str)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
+def in_steps(values: list[bytes], size: int):
+    """Lists of values, one after the other, of about so many bytes each; none is empty."""
+    held, total = [], 0
+    for x in values:
+        held.append(x)
+        total += len(x)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def id_counts(encoded: DataFrame, width: str) -> DataFrame:
     """How often each id occurs; each task hands on at most one row an id."""
 
     def run(batches):
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
+            for ids in (b"".join(x) for x in in_steps(batch.column(0).to_pylist(), 4 << 20)):
                 c = np.bincount(np.frombuffer(ids, width))
                 if len(c) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(c) - len(counts), np.int64)])

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
 from . import shared
 
@@ -24,7 +25,7 @@ WORD = rf"[{LATIN}]++(?=[{SPACE}{EDGE}]|\Z)"
 BYTE_LEVEL = re.compile(rf" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: The lower-casing vocabulary drops white space.
 WORD_LEVEL = re.compile(rf"{WORD}|[^{SPACE}]+")
-#: Pieces whose ids a worker keeps; when it has more, it starts anew. Speed only.
+#: Pieces whose ids a worker keeps; when it has more, it drops the newer half, in which rare ones are. Speed only.
 KEEP = 800_000
 
 
@@ -61,6 +62,12 @@ class Pieces(dict):
         ids = self[piece] = array("I", found).tobytes()
         return ids
 
+    def shorten(self, least: int) -> None:
+        """Leaves the pieces that came first, among which the frequent ones are."""
+        first = list(islice(self.items(), least))
+        self.clear()
+        self.update(first)
+
 
 def encoder(path: str, pattern: re.Pattern):
     """A function from text to the bytes of its ids; kept by the worker process across tasks."""
@@ -70,7 +77,7 @@ def encoder(path: str, pattern: re.Pattern):
 
     def encode(text: str) -> bytes:
         if len(coder) > KEEP:
-            coder.clear()
+            coder.shorten(KEEP // 2)
         if special is not None and special.search(text):  # what lies between them is split by itself
             parts = special.split(text)
             return b"".join(get(x) if k % 2 else b"".join(map(get, find(x))) for k, x in enumerate(parts))
