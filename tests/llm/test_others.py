@@ -257,6 +257,59 @@ def test_rare_contexts_of_a_large_corpus(spark):
     assert got[-1]["score"] > -8  # p by itself has about -5.8, q and r follow; the root alone gives less than -17
 
 
+class AnyWordTree(PlainTree):
+    """Contexts of any words; next symbols are the most frequent words, the end and all others."""
+
+    def __init__(self, train, depth, symbols):
+        super().__init__(train, 0, symbols)
+        self.depth = depth
+        for path in (["^", *suffixtree.tokens_of(t), None] for t in train):
+            for k in range(1, len(path)):
+                for c in self.contexts(path, k):
+                    self.follows.setdefault(c, Counter())[self.symbol(path[k])] += 1
+        for c, after in sorted(self.follows.items(), key=lambda x: len(x[0])):
+            total, gain = sum(after.values()), 0.0
+            for w, k in after.items() if total > 1 else ():
+                above = self.p(c[1:], w)
+                without = ((k - 1 - self.d) if k > 1 else 0.0) / (total - 1) + self.d * (len(after) - (k == 1)) / (total - 1) * above
+                gain += k * math.log(max(without, 1e-30) / above)
+            if gain >= suffixtree.DIVERGENCE:
+                self.kept.add(c)
+
+    def contexts(self, path, k):
+        return (tuple(path[k - size : k]) for size in range(1, min(k, self.depth) + 1))
+
+    def score(self, text):
+        path, out = ["^", *suffixtree.tokens_of(text), None], 0.0
+        for k in range(1, len(path)):
+            s = self.symbol(path[k])
+            longest = max(self.contexts(path, k), key=len, default=())
+            out += math.log10(self.p(longest, s)) + (math.log10(self.root(path[k]) / self.p((), "?")) if s == "?" else 0.0)
+        return out
+
+
+@pytest.mark.parametrize("how", [{"common": 4}, {"common": 4, "head": 4}, {"common": 9, "head": 12, "hot": 3}, {"common": 4, "hot": 2, "depth": 3}, {}])
+def test_contexts_are_of_any_words(spark, how, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(suffixtree, "HOT_SHARE", 0.0)
+    sentences = ["a b c d e f g", "z b c d e f h", "x y x y x z", "q c d e f g", "u m n r a", "v m n s b"]
+    train = [" ".join(f"{a} {b} {a}{b}" for a, b in zip(rng.choice(list("abcde"), 12), rng.choice(list("xyz"), 12))) for _ in range(40)]
+    train += [" ".join(rng.choice(sentences, 4)) for _ in range(90)] + ["p q r a"] * 3 + ["once a b"]
+    ask = ["p q r a", "a x ax p q b", "x a q", "", "new words a", "a b c d e f h", "z b c d e f g z b c d e f", "u m n r a v m n s b", "once a b"]
+    plain = AnyWordTree(train, how.get("depth", suffixtree.DEPTH), min(how.get("common", suffixtree.SYMBOLS), how.get("head", suffixtree.HEAD)))
+    assert not how or {len(c) for c in plain.kept if any(plain.symbol(w) == "?" for w in c if w != "^")} >= {1, 2, 3}
+    for t, r in zip(train + ask, scored(spark, train, ask, **how)):
+        assert r["score"] == pytest.approx(plain.score(t), abs=1e-4), t
+
+
+def test_words_beyond_the_symbols_are_contexts(spark):
+    common = [f"w{k}" for k in range(suffixtree.SYMBOLS)]
+    rng = np.random.default_rng(7)
+    train = [" ".join(rng.permutation(common)) for _ in range(6)] + [f"z{k} w{k}" for k in range(50) for _ in range(3)]
+    follows, other = scored(spark, train, ["z7 w7", "z7 w8"])[-2:]
+    assert follows["score"] > other["score"] + 2  # the root alone gives both words about 1.5e-4
+
+
 # top-k
 
 
