@@ -41,8 +41,9 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values; lengths come from the table by control byte."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     ends = np.cumsum(lengths, dtype=np.int64)
-    starts, raw, out = ends - lengths, np.frombuffer(data, np.uint8), np.zeros(n, np.uint32)
-    for k in range(4):
+    starts, raw = ends - lengths, np.frombuffer(data, np.uint8)
+    out = raw[starts].astype(np.uint32)  # every value has a first byte, few have a third
+    for k in range(1, lengths.max(initial=1)):
         has = np.flatnonzero(lengths > k)
         out[has] |= raw[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out

@@ -7,6 +7,7 @@ piece are kept: the library encodes each different piece once for every worker p
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from array import array
@@ -34,7 +35,12 @@ PLAIN = re.compile(rf" ?[{LATIN}]+")
 #: Characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow from 256.
 _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _others = [b for b in range(256) if b not in _printable]
-BYTE_CHARACTERS = {b: b for b in _printable} | {b: 256 + k for k, b in enumerate(_others)}
+_character = {b: b for b in _printable} | {b: 256 + k for k, b in enumerate(_others)}
+BYTE_CHARACTERS = "".join(chr(_character[b]) for b in range(256))
+
+
+def in_byte_characters(word: str) -> str:
+    return codecs.charmap_decode(word.encode(), "strict", BYTE_CHARACTERS)[0]
 
 
 class Pieces(dict):
@@ -55,8 +61,7 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if PLAIN.fullmatch(piece):
-            word = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(BYTE_CHARACTERS)
-            found = [t.id for t in self.model.tokenize(word)]
+            found = [t.id for t in self.model.tokenize(in_byte_characters(piece.lower() if self.lower else piece))]
         else:
             found = self.tokenizer.encode(piece, add_special_tokens=False).ids
         ids = self[piece] = array("I", found).tobytes()

@@ -33,6 +33,14 @@ def test_pieces_give_the_librarys_ids(name, pattern):
         assert np.frombuffer(encode(t), "<u4").tolist() == reference(name, t), repr(t)
 
 
+def test_words_in_byte_characters():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    for word in ["plain", " lead", "ñuegabo", " Ciónó", "".join(map(chr, range(0x700)))]:
+        pieces = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(word)
+        assert tokens.in_byte_characters(word) == "".join(x for x, _ in pieces)
+
+
 def test_variable_length_codes():
     values = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for n in range(len(values) + 1):
