@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from dataclasses import dataclass
@@ -211,22 +212,27 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
     return Model(languages, weights, start, move, lexicon)
 
 
-def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of about per_language labelled documents of each language.
+def picked(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """doc_id, text and lang of about per_language labelled documents of each language.
 
     Whole texts with a letter; documents are picked by a hash of doc_id and text at a rate that follows from the
     language's count, so that their number is binomial with mean per_language at most.
     """
     fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = shared.materialize(fit.groupBy("lang").count(), "languages")
-    languages = counts.count()
-    rows: list[tuple[str, str]] = []
-    if languages:
-        chance = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 40)) / float(1 << 40)
-        rated = fit.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang")  # one row a language
-        picked = rated.filter(chance < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))).select("doc_id", "text", "lang")
-        rows = [(r["text"], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
-    return rows
+    chance = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 40)) / float(1 << 40)
+    rated = fit.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang")  # one row a language
+    return rated.filter(chance < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))).select("doc_id", "text", "lang")
+
+
+def in_order(rows: list[dict]) -> list[tuple[str, str]]:
+    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    return [(r["text"], r["lang"]) for r in rows]
+
+
+def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
+    """(text, lang) of what picked() gives, always in the same order."""
+    return in_order([r.asDict() for r in picked(docs, per_language).collect()])
 
 
 class Scored(dict):
@@ -296,8 +302,18 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
 
 
 def fit(docs: DataFrame) -> Model:
-    """A field trained on the documents whose crc32(doc_id as text) mod 3 is not 1."""
-    return train(sample(docs.filter(shared.crc_remainder(F.col("doc_id"), 3) != 1)))
+    """A field trained on the documents whose crc32(doc_id as text) mod 3 is not 1.
+
+    One task has the sample and trains on it; the driver gets the field alone.
+    """
+
+    def run(batches):
+        rows = in_order([r for batch in batches for r in batch.to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+
+    learns = docs.filter(shared.crc_remainder(F.col("doc_id"), 3) != 1)
+    found = picked(learns).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([])
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

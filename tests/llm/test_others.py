@@ -60,6 +60,17 @@ def test_language_learns_from_whole_texts_of_all_labels(spark):
     assert [r["lang_pred"] for r in langid.predict(asked, middle).orderBy("doc_id").collect()] == ["ja", "zh"]
 
 
+def test_language_is_not_trained_by_the_driver(spark, monkeypatch):
+    rows = [(k, t, "fr" if k % 2 else "en", None, None) for k in range(40) for t in texts(FR if k % 2 else EN, 1, k)]
+    docs = docs_of(spark, rows)
+    want = langid.train(langid.sample(docs.filter(shared.crc_remainder(F.col("doc_id"), 3) != 1)))
+    monkeypatch.setattr(langid, "sample", lambda *_: pytest.fail("texts went to the driver"))
+    got = langid.fit(docs)
+    assert got.languages == want.languages and got.lexicon == want.lexicon
+    assert (got.weights == want.weights).all() and (got.start == want.start).all() and (got.move == want.move).all()
+    assert langid.fit(docs.limit(0)).languages == [] and langid.fit(docs.withColumn("lang", F.lit(None).cast("string"))).languages == []
+
+
 def test_forward_backward_equals_all_paths():
     rng = np.random.default_rng(1)
     scores, start, move = rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
