@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -321,6 +322,31 @@ def test_words_beyond_the_symbols_are_contexts(spark):
     assert follows["score"] > other["score"] + 2  # the root alone gives both words about 1.5e-4
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_are_gone_when_scores_are_asked_for(spark):
+    before = shuffle_files(spark)
+    found = suffixtree.score(docs_of(spark, [(k, f"a b w{k} c d", None, None, None) for k in range(50)]), F.lit(True))
+    until = time.time() + 10  # they are deleted in the background
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and found.count() == 50
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_each_token_is_in_one_share(spark, monkeypatch):
+    train, got = ["a b c d x y", "y x w0 b c d", "q r s"] * 30, []
+    for shares in (1, 3, 50):  # some of 50 have no token
+        monkeypatch.setattr(suffixtree, "SHARES", shares)
+        got.append([r["score"] for r in scored(spark, train, ["a b c d x y", "", "q r new", None], common=3)])
+    assert got[1] == pytest.approx(got[0], abs=1e-4) and got[2] == pytest.approx(got[0], abs=1e-4)
+    words = np.arange(60_000, dtype=np.uint64)
+    assert np.bincount(suffixtree.share_of(words, 3).astype(int)).min() > 19_000
+
+
 # top-k
 
 
