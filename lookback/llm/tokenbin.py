@@ -25,28 +25,37 @@ VOCABULARY_BOUND = 1 << 21
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
+def bytes_written(lengths: np.ndarray, width: int) -> np.ndarray:
+    """Which bytes of values in a fixed width are written, by their lengths."""
+    mask = np.empty((len(lengths), width), bool)
+    for k in range(width):
+        np.greater(lengths, k, out=mask[:, k])
+    return mask
+
+
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes, of four values each, and the values' bytes, lowest first."""
-    v = np.ascontiguousarray(values, "<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    v, width = np.ascontiguousarray(values, "<u4"), 4
+    code = (v > 0xFF).astype(np.uint8)
+    if v.max(initial=0) > 0xFFFF:
+        code += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
+    else:  # as ranks of most vocabularies are: half of the bytes to look at
+        v, width = v.astype("<u2"), 2
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[: len(v)] = code
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    data = v.view(np.uint8).reshape(-1, width)[bytes_written(code + 1, width)]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values; lengths come from the table by control byte."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(lengths, dtype=np.int64)
-    starts, raw = ends - lengths, np.frombuffer(data, np.uint8)
-    out = raw[starts].astype(np.uint32)  # every value has a first byte, few have a third
-    for k in range(1, lengths.max(initial=1)):
-        has = np.flatnonzero(lengths > k)
-        out[has] |= raw[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+    width = 2 if lengths.max(initial=1) <= 2 else 4
+    out = np.zeros((n, width), np.uint8)
+    out[bytes_written(lengths, width)] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{width}").ravel().astype(np.uint32)
 
 
 def file_bytes(doc_ids: list, lengths: np.ndarray, ranks: np.ndarray) -> bytes:

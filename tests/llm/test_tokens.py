@@ -141,3 +141,14 @@ def test_steps_of_rows_hold_few_bytes():
     assert all(len(s) <= 5 and (len(s) == 1 or sum(len(t or "") for t in s.column("text").to_pylist()) <= 100) for s in steps)
     assert list(shared.row_steps(batch.slice(0, 0))) == []
     assert [len(s) for s in shared.row_steps(batch.select(["id"]), rows=5)] == [5, 5, 4]
+
+
+@pytest.mark.parametrize("top,width", [(200, 2), (50_000, 2), (1 << 20, 4), ((1 << 32) - 1, 4)])
+def test_bytes_of_values_as_plain_python_writes_them(top, width):
+    values = [top, 0, 255, *np.random.default_rng(2).integers(0, top, 41).tolist()]
+    control, data = tokenbin.encode_values(np.array(values, np.uint32))
+    sizes = [max(1, -(-v.bit_length() // 8)) for v in values]
+    assert data == b"".join(v.to_bytes(n, "little") for v, n in zip(values, sizes))
+    assert tokenbin.decode_values(control, data, len(values)).tolist() == values
+    # values of two bytes at most are looked at in two, not four
+    assert tokenbin.bytes_written(np.array(sizes), width).sum() == len(data)
